@@ -23,7 +23,32 @@ from .common import append_columns, as_bytes, word_list
 MAX_TRAIN_ROWS = 12_000
 FOLDS = 5
 #: Words a model may use, and how far their share must differ between the classes, in standard errors.
-MAX_WORDS, LEAST_Z, LEAST_DOCS = 400, 6.0, 8
+MAX_WORDS, LEAST_Z, LEAST_DOCS = 160, 6.0, 6
+#: Words also count by their first bytes, so that a stem with many endings is one feature.
+STEMS = (6, 7, 8)
+
+
+def features(text: bytes, among: frozenset | None = None) -> tuple[dict[bytes, int], int]:
+    """Occurrences of words and stems (marked by ``*``), only those of ``among`` if given, and the number of words."""
+    words = word_list(text)
+    counts = Counter(words)
+    found: dict[bytes, int] = {}
+    for w, n in counts.items():
+        for f in (w, *[w[:k] + b"*" for k in STEMS if len(w) > k]) if len(w) > STEMS[0] else (w,):
+            if among is None or f in among:
+                found[f] = found.get(f, 0) + n
+    return found, len(words)
+
+
+def _values(rows: list[tuple[dict[bytes, int], int]], words: list[bytes]) -> np.ndarray:
+    """For each word whether a text holds it, then how often per 1000 words (20 at most, as tenths)."""
+    out = np.zeros((len(rows), 2 * len(words)))
+    column = {w: k for k, w in enumerate(words)}
+    for i, (own, n) in enumerate(rows):
+        for w in own.keys() & column.keys():
+            out[i, column[w]] = 1.0
+            out[i, len(words) + column[w]] = min(20.0, 1000.0 * own[w] / n) / 10
+    return out
 
 
 @dataclass
@@ -47,7 +72,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _choose_words(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
+def _choose_words(sets: list[dict[bytes, int]], y: np.ndarray) -> list[bytes]:
     """Words whose document share differs most between the classes."""
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     with_, all_ = Counter(), Counter()
@@ -59,17 +84,13 @@ def _choose_words(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     for word, n in all_.items():
         if n >= LEAST_DOCS:
             a, b, p = with_[word] / n1, (n - with_[word]) / n0, n / len(y)
-            z = abs(a - b) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+            z = abs(a - b) / np.sqrt(max(0.0, p * (1 - p)) * (1 / n1 + 1 / n0) + 1e-12)
             if z >= LEAST_Z:
                 scored.append((-z, word))
     return [word for _, word in sorted(scored)[:MAX_WORDS]]
 
 
-def _matrix(sets: list[set[bytes]], words: list[bytes]) -> np.ndarray:
-    return np.array([[w in own for w in words] for own in sets], dtype=np.float64).reshape(len(sets), len(words))
-
-
-def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[np.ndarray, float]:
+def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
@@ -87,12 +108,13 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[np.ndarra
 
 def fit_chain(texts: list[bytes], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     """Fit a model per category, in the order of ``labels`` (0/1 arrays)."""
-    sets = [set(word_list(t)) for t in texts]
+    rows = [features(t) for t in texts]
+    sets = [own for own, _ in rows]
     chain, before = Chain(), np.zeros((len(sets), 0))
     for category, y in labels.items():
         y = y.astype(float)
         words = _choose_words(sets, y)
-        x = _matrix(sets, words)
+        x = _values(rows, words)
         k, both = x.shape[1], np.hstack([x, before])
         w, bias = _fit(both, y)
         chain.models.append(LinearModel(category, words, w[:k], w[k:], bias))
@@ -147,22 +169,13 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", prefix: str
 
     def make():
         models = shared.value.models
-        column = {}
-        for m in models:
-            for w in m.words:
-                column.setdefault(w, len(column))
-        vocabulary = frozenset(column)
-        pick = [np.array([column[w] for w in m.words], dtype=int) for m in models]
+        vocabulary = frozenset(w for m in models for w in m.words)
 
         def work(texts):
-            present = np.zeros((len(texts), len(column)), dtype=np.float64)
-            for i, text in enumerate(as_bytes(texts)):
-                if text:
-                    for w in vocabulary.intersection(word_list(text)):
-                        present[i, column[w]] = 1.0
+            rows = [features(t, vocabulary) if t else ({}, 0) for t in as_bytes(texts)]
             before = np.zeros((len(texts), 0))
-            for m, at in zip(models, pick, strict=True):
-                before = np.hstack([before, _sigmoid(m.logits(present[:, at], before))[:, None]])
+            for m in models:
+                before = np.hstack([before, _sigmoid(m.logits(_values(rows, m.words), before))[:, None]])
             return [pa.array(before[:, i], pa.float64()) for i in range(len(models))]
 
         return work
