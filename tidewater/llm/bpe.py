@@ -1,19 +1,20 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words are split in Spark tasks and counted; each distinct word that occurs more
-than once is encoded once into a table (words, ids, pieces) whose size is bounded
-by ``max_table_words``, most frequent first; ids join back by the word's
-position. A word outside the table (a word that occurs once, or the tail of a
-vocabulary over the bound) is encoded where it stands, so no text is shortened
-and results do not depend on the bound. Decoding joins ids with the id-to-piece
-table, whose size is the tokenizer's vocabulary.
+Words (what white space separates, normalised) are split in Spark tasks and
+counted; each distinct word that occurs more than once is encoded once into a
+table (word, ids) whose size is bounded by ``MAX_TABLE_WORDS``, most frequent
+first; ids join back by the word's position. A word outside the table (a word
+that occurs once, a very long one, or the tail of a vocabulary over the bound) is
+encoded where it stands, so no text is shortened and results do not depend on the
+bound. Decoding joins ids with the id-to-piece table, whose size is the
+tokenizer's vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -24,16 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, materialize
 
 #: Bound of the broadcast table.
 MAX_TABLE_WORDS = 300_000
 _FLUSH = 200_000
+#: Longer words are never in the table, which bounds its bytes.
+MAX_WORD_CHARS = 64
 
 #: White space of the tokenizer's normaliser (Unicode White_Space).
 _SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+_NOT_SPACE, _CONTROL = re.compile(f"[^{_SPACE}]+"), re.compile("[\x1c-\x1f]")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -56,12 +62,18 @@ class WordSplitter:
         pattern = split["pattern"]["Regex"]
         self.special = {x["content"]: x["id"] for x in j["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._words = regex.compile(pattern.replace("\\s", _SPACE), regex.V0)
+        self._pieces = regex.compile(pattern.replace("\\s", _SPACE), regex.V0)
+
+    def pieces(self, word: str) -> list[str]:
+        """The pre-tokenizer's pieces of a word."""
+        return self._pieces.findall(word)
 
     def words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._words.findall(text.lower())
+        text = text.lower()
+        # split() also cuts at four control characters that the tokenizer doesn't count as space
+        return _NOT_SPACE.findall(text) if _CONTROL.search(text) else text.split()
 
     def parts(self, text: str) -> Iterator[tuple[bool, list[str]]]:
         """Runs of words (False) and special tokens (True), in order."""
@@ -75,15 +87,23 @@ class WordSplitter:
                 yield False, self.words(part)
 
 
-def _word_tokenizer(config: str):
-    """The tokenizer for single words that are normalised already."""
-    from tokenizers import Tokenizer, normalizers
+class WordEncoder:
+    """Ids of single normalised words, straight from the BPE model."""
+
+    def __init__(self, config: str):
+        from tokenizers import Tokenizer
+
+        if json.loads(config)["model"]["type"] != "BPE":
+            raise ValueError("only BPE models are supported")
+        self.splitter, self.model = WordSplitter(config), Tokenizer.from_str(config).model
+        # byte-level alphabet: printable bytes stand for themselves, the others for what follows U+0100
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    t = Tokenizer.from_str(config)
-    t.no_truncation()
-    t.no_padding()
-    t.normalizer = normalizers.Sequence([])
-    return t
+    def __call__(self, word: str) -> list[int]:
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        return [t.id for p in self.splitter.pieces(word) for t in tokenize(p.encode().decode("latin1").translate(alphabet))]
 
 
 def _config(path: str | None) -> str:
@@ -98,6 +118,8 @@ def word_counts(docs: DataFrame, config, text_col: str = "text") -> DataFrame:
         splitter, counts = WordSplitter(config.value), Counter()
 
         def rows():
+            for word in [w for w in counts if len(w) > MAX_WORD_CHARS]:
+                del counts[word]
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
@@ -114,10 +136,8 @@ def word_counts(docs: DataFrame, config, text_col: str = "text") -> DataFrame:
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, config, text_col: str = "text", max_words: int = MAX_TABLE_WORDS) -> dict[str, tuple[int, ...]]:
-    """Ids of the distinct words that repeat, at most ``max_words``, each encoded once in a task."""
-    from .common import materialize
-
+def word_table(docs: DataFrame, config, text_col: str = "text", max_words: int = MAX_TABLE_WORDS) -> dict[str, str]:
+    """Ids (decimal, joined by a space) of the distinct words that repeat, at most ``max_words``, each encoded once in a task."""
     counts = materialize(word_counts(docs, config, text_col).where("n > 1"), "words")
     by_count = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator()
     least, total = 1 << 62, 0
@@ -128,14 +148,13 @@ def word_table(docs: DataFrame, config, text_col: str = "text", max_words: int =
         least = r["n"]
 
     def run(batches):
-        t = _word_tokenizer(config.value)
+        encode_word = WordEncoder(config.value)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            ids = [" ".join(map(str, encode_word(w))) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string())], names=["word", "ids"])
 
-    table = counts.where(F.col("n") >= F.lit(least)).select("word").mapInArrow(run, "word string, ids array<int>")
-    return {r.word: tuple(r.ids) for r in table.toLocalIterator(prefetchPartitions=False)}
+    table = counts.where(F.col("n") >= F.lit(least)).select("word").mapInArrow(run, "word string, ids string")
+    return {r.word: r.ids for r in table.toLocalIterator(prefetchPartitions=False)}
 
 
 _FIELDS = [
@@ -143,35 +162,59 @@ _FIELDS = [
     T.StructField("ids_sha256", T.StringType()),
     T.StructField("decoded_sha256", T.StringType()),
 ]
+#: Words outside the table that a task remembers.
+_REMEMBERED = 50_000
+
+
+class _Ids(dict):
+    """Word to ids: the table, and the encoder for what it lacks."""
+
+    def __init__(self, table: dict[str, str], config: str):
+        super().__init__(table)
+        self.encode, self.room = WordEncoder(config), len(table) + _REMEMBERED
+
+    def __missing__(self, word: str) -> str:
+        ids = " ".join(map(str, self.encode(word)))
+        if len(self) < self.room and len(word) <= MAX_WORD_CHARS:
+            self[word] = ids
+        return ids
+
+
+class _Decoded(dict):
+    """Ids of a word to its pieces, through the id-to-piece table."""
+
+    def __init__(self, config: str):
+        self.piece = {str(i): p for i, p in _pieces(config).items()}
+
+    def __missing__(self, ids: str) -> str:
+        text = " ".join(map(self.piece.__getitem__, ids.split(" ")))
+        if len(self) < MAX_TABLE_WORDS and len(ids) <= 4 * MAX_WORD_CHARS:
+            self[ids] = text
+        return text
 
 
 class _Encoder:
-    """Positions to ids in one task: table first, the tokenizer for words that are not in it."""
+    """Positions to ids in one task."""
 
-    def __init__(self, config: str, table: dict[str, tuple[int, ...]]):
-        self.splitter, self.tokenizer = WordSplitter(config), _word_tokenizer(config)
-        self.table = table
+    def __init__(self, config: str, table: dict[str, str]):
+        self.splitter, self.ids = WordSplitter(config), _Ids(table, config)
 
-    def encode(self, text: str | None) -> list[tuple[int, ...]]:
-        """Ids of each word, by position."""
-        out: list[tuple[int, ...]] = []
+    def encode(self, text: str | None) -> list[str]:
+        """Ids of each word and special token, by position."""
+        out: list[str] = []
         for special, words in self.splitter.parts(text or ""):
             if special:
-                out.append((self.splitter.special[words[0]],))
-                continue
-            found = list(map(self.table.get, words))
-            if None in found:
-                gaps = [i for i, x in enumerate(found) if x is None]
-                for i, e in zip(gaps, self.tokenizer.encode_batch_fast([words[i] for i in gaps], add_special_tokens=False), strict=True):
-                    found[i] = tuple(e.ids)
-            out += found
+                out.append(str(self.splitter.special[words[0]]))
+            else:
+                out += map(self.ids.__getitem__, words)
         return out
 
 
 def encode(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "text", max_words: int = MAX_TABLE_WORDS) -> DataFrame:
     """``docs`` with ``ids`` array<int>, the tokenizer's encoding without added special tokens.
 
-    Null is encoded like the empty text, to no ids. A column ``ids`` is replaced.
+    Null is encoded like the empty text, to no ids. A column ``ids`` is replaced;
+    repeated rows are encoded alike.
     """
     sc = docs.sparkSession.sparkContext
     config = sc.broadcast(_config(tokenizer))
@@ -181,7 +224,7 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "te
         encoder = _Encoder(config.value, table.value)
 
         def work(texts):
-            return [pa.array([[i for w in encoder.encode(t) for i in w] for t in texts.to_pylist()], pa.list_(pa.int32()))]
+            return [pa.array([[int(i) for w in encoder.encode(t) for i in w.split(" ")] for t in texts.to_pylist()], pa.list_(pa.int32()))]
 
         return work
 
@@ -189,7 +232,7 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "te
 
 
 def decode(docs: DataFrame, *, tokenizer: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``decoded``: pieces of the ids joined by a space (this tokenizer has no decoder)."""
+    """``docs`` with ``decoded``: pieces of the ids joined by a space (this tokenizer has no decoder); null ids decode to the empty text."""
     config = docs.sparkSession.sparkContext.broadcast(_config(tokenizer))
 
     def make():
@@ -212,40 +255,25 @@ def _pieces(config: str) -> dict[int, str]:
 
 
 def digests(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "text", max_words: int = MAX_TABLE_WORDS) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of whole texts."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of whole texts; null counts as the empty text."""
     sc = docs.sparkSession.sparkContext
     config = sc.broadcast(_config(tokenizer))
     table = sc.broadcast(word_table(docs, config, text_col, max_words))
 
     def make():
-        encoder, piece = _Encoder(config.value, table.value), _pieces(config.value)
-        shown: dict[tuple[int, ...], tuple[str, str]] = {}
-
-        def show(ids):
-            got = shown.get(ids)
-            if got is None:
-                got = (" ".join(map(str, ids)), " ".join(map(piece.__getitem__, ids)))
-                if len(shown) < MAX_TABLE_WORDS:
-                    shown[ids] = got
-            return got
+        encoder, decoded = _Encoder(config.value, table.value), _Decoded(config.value)
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
         def work(texts):
             n, by_ids, by_text = [], [], []
-            for text in texts.to_pylist():
-                words = encoder.encode(text)
-                n.append(sum(map(len, words)))
-                both = list(map(show, words))
-                by_ids.append(hashlib.sha256(" ".join([x[0] for x in both]).encode()).hexdigest())
-                by_text.append(hashlib.sha256(" ".join([x[1] for x in both]).encode()).hexdigest())
+            for text in texts:
+                words = encoder.encode(text.as_py())
+                ids = " ".join(words)
+                n.append(ids.count(" ") + 1 if ids else 0)
+                by_ids.append(digest(ids))
+                by_text.append(digest(" ".join(map(decoded.__getitem__, words))))
             return [pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())]
 
         return work
 
     return append_columns(docs, [text_col], _FIELDS, make)
-
-
-def tokenizer_exists() -> bool:
-    try:
-        return os.path.exists(default_tokenizer())
-    except ImportError:
-        return False
