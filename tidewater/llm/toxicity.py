@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, word_list
+from .common import append_columns, as_bytes, materialize, word_list
 
 #: Most labelled rows that the models are fitted on (a sample by the hash of the id); scoring covers all rows.
-MAX_TRAIN_ROWS = 12_000
+MAX_TRAIN_ROWS = 10_000
 FOLDS = 5
 #: Words a model may use, and how far their share must differ between the classes, in standard errors.
-MAX_WORDS, LEAST_Z, LEAST_DOCS = 160, 6.0, 6
+MAX_WORDS, LEAST_Z, LEAST_DOCS = 120, 4.5, 6
 #: Words also count by their first bytes, so that a stem with many endings is one feature.
 STEMS = (6, 7, 8)
 
@@ -72,22 +72,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _choose_words(sets: list[dict[bytes, int]], y: np.ndarray) -> list[bytes]:
-    """Words whose document share differs most between the classes."""
-    n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    with_, all_ = Counter(), Counter()
-    for own, label in zip(sets, y, strict=True):
-        all_.update(own)
-        if label:
-            with_.update(own)
-    scored = []
-    for word, n in all_.items():
-        if n >= LEAST_DOCS:
-            a, b, p = with_[word] / n1, (n - with_[word]) / n0, n / len(y)
-            z = abs(a - b) / np.sqrt(max(0.0, p * (1 - p)) * (1 / n1 + 1 / n0) + 1e-12)
-            if z >= LEAST_Z:
-                scored.append((-z, word))
-    return [word for _, word in sorted(scored)[:MAX_WORDS]]
+def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
+    """For each category the words whose document share differs most between its classes.
+
+    labelled: __text binary, __y0, __y1, …; tasks count before the shuffle, only the chosen words reach the driver.
+    """
+    ys = [f"__y{i}" for i in range(n_categories)]
+
+    def run(batches):
+        counts: dict[bytes, np.ndarray] = {}
+
+        def rows():
+            table = np.array(list(counts.values()), dtype=np.int64).reshape(len(counts), n_categories + 1)
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *[pa.array(table[:, k]) for k in range(n_categories + 1)]], names=["word", "n", *ys])
+
+        for batch in batches:
+            labels = np.array([c.to_pylist() for c in batch.columns[1:]]).T
+            for text, y in zip(batch.column(0), labels, strict=True):
+                one = np.concatenate(([1], y))
+                for f in features(text.as_py())[0]:
+                    before = counts.get(f)
+                    counts[f] = one if before is None else before + one
+                if len(counts) > 100_000:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    by_word = labelled.select("__text", *ys).mapInArrow(run, "word binary, n long, " + ", ".join(f"{y} long" for y in ys))
+    counts = materialize(by_word.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= LEAST_DOCS), "counts")
+    total = labelled.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
+    out = []
+    for y in ys:
+        n1, n = max(1.0, total[y] or 0), float(total["n"])
+        n0 = max(1.0, n - (total[y] or 0))
+        share = F.col("n") / n
+        spread = F.sqrt(F.greatest(F.lit(1e-12), share * (1 - share) * (1 / n1 + 1 / n0)))
+        z = F.abs(F.col(y) / n1 - (F.col("n") - F.col(y)) / n0) / spread
+        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
+        out.append([bytes(r.word) for r in best.collect()])
+    return out
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:
@@ -106,18 +129,14 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray
     return w[:-1], float(w[-1])
 
 
-def fit_chain(texts: list[bytes], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
-    """Fit a model per category, in the order of ``labels`` (0/1 arrays)."""
-    rows = [features(t) for t in texts]
-    sets = [own for own, _ in rows]
-    chain, before = Chain(), np.zeros((len(sets), 0))
-    for category, y in labels.items():
+def fit_chain(values: list[np.ndarray], words: list[list[bytes]], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
+    """Fit a model per category, in the order of ``labels`` (0/1 arrays), on the values of its words."""
+    chain, before = Chain(), np.zeros((len(folds), 0))
+    for x, own_words, (category, y) in zip(values, words, labels.items(), strict=True):
         y = y.astype(float)
-        words = _choose_words(sets, y)
-        x = _values(rows, words)
         k, both = x.shape[1], np.hstack([x, before])
         w, bias = _fit(both, y)
-        chain.models.append(LinearModel(category, words, w[:k], w[k:], bias))
+        chain.models.append(LinearModel(category, own_words, w[:k], w[k:], bias))
         held_out = np.full(len(y), y.mean())
         for f in range(FOLDS):
             train, test = folds != f, folds == f
@@ -150,17 +169,31 @@ def train(
     n = marks.count()
     if n > max_rows:
         marks = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
-    # the words of a text decide, in any order: what travels to the driver is bounded by max_rows distinct-word lists
-    rows = (
-        docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    ys = [f"__y{i}" for i in range(len(categories))]
+    labelled = materialize(
+        docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
         .join(F.broadcast(marks), "__id")
-        .select("__id", "__text", *[f"__y{i}" for i in range(len(categories))], F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).alias("fold"))
+        .select("__text", *ys, F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).alias("fold")),
+        "labelled",
     )
-    ordered = sorted(rows.toLocalIterator(), key=lambda r: (r["__id"], r["__text"]))
-    if not ordered:
+    words = _choose_words(labelled, len(categories))
+    vocabulary = frozenset(w for own in words for w in own)
+
+    def run(batches):
+        for batch in batches:
+            rows = [features(t.as_py(), vocabulary) for t in batch.column(0)]
+            cells = [pa.array([v.astype(np.float32).tobytes() for v in _values(rows, own)], pa.binary()) for own in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cells], names=[*batch.schema.names[1:], *[f"x{i}" for i in range(len(words))]])
+
+    # at most about max_rows rows of 2 * MAX_WORDS numbers reach the driver
+    table = labelled.mapInArrow(run, ", ".join([*[f"{y} int" for y in ys], "fold long", *[f"x{i} binary" for i in range(len(words))]])).toArrow()
+    n = len(table)
+    if not n:
         return Chain([LinearModel(c, [], np.zeros(0), np.zeros(i), -35.0) for i, c in enumerate(categories)])
-    ys = {c: np.array([r[f"__y{i}"] for r in ordered]) for i, c in enumerate(categories)}
-    return fit_chain([r["__text"].encode("utf-8", "surrogatepass") for r in ordered], ys, np.array([r["fold"] for r in ordered]))
+    values = [np.frombuffer(b"".join(table[f"x{i}"].to_pylist()), np.float32).reshape(n, -1).astype(float) for i in range(len(words))]
+    order = np.lexsort([*[v[:, k] for v in values for k in range(v.shape[1])][:50], *[table[y].to_numpy() for y in ys], table["fold"].to_numpy()])  # rows arrive in any order
+    labels_ = {c: table[y].to_numpy()[order] for c, y in zip(categories, ys, strict=True)}
+    return fit_chain([v[order] for v in values], words, labels_, table["fold"].to_numpy()[order])
 
 
 def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", prefix: str = "p_") -> DataFrame:
