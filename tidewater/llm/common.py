@@ -57,6 +57,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Smaller Arrow batches than Spark's default, for whole texts; a value that was set stays."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],
@@ -69,6 +78,7 @@ def append_columns(
     one array for each of ``fields``. An input column that has the name of a new
     column is replaced; all others, whatever their names, pass through.
     """
+    bound_batches(df.sparkSession)
     new = {f.name for f in fields}
     keep = [c for c in df.columns if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
@@ -86,6 +96,17 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
-def as_bytes(column: pa.Array) -> list:
-    """Texts as UTF-8 bytes (None stays None), without decoding them."""
-    return column.cast(pa.large_binary()).to_pylist()
+def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """Texts as UTF-8 bytes (None stays None), without decoding them, some at a time."""
+    for start in range(0, len(column), 200):
+        yield from column.slice(start, 200).cast(pa.large_binary()).to_pylist()
+
+
+def numbered(df: DataFrame, column: str) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns c0, c1, …, the new name of ``column``, and what gives their names back and drops others.
+
+    So operators can add columns of any name beside those of the input.
+    """
+    names = df.columns
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return inner, f"c{names.index(column)}", lambda out: out.select(*[out[f"c{i}"].alias(n) for i, n in enumerate(names)])

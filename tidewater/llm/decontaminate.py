@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, materialize, word_list
+from .common import append_columns, as_bytes, materialize, numbered, word_list
 
 #: Most bytes of test items in one automaton; larger benchmarks take several passes.
 MAX_AUTOMATON_BYTES = 16 << 20
@@ -230,11 +230,10 @@ def decontaminate(
 
     Columns of ``docs`` are kept as they are. Rows without hits are unchanged.
     """
-    columns, types = docs.columns, {f.name: f for f in docs.schema.fields}
-    inner = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[text_col].alias("__text"))
-    found = find_hits(inner, benchmark, text_col="__text", **options).where(~is_contaminated(coverage))
+    inner, text, restored = numbered(docs, text_col)
+    found = find_hits(inner, benchmark, text_col=text, **options).where(~is_contaminated(coverage))
     if max_span is None:
-        return found.select(*[F.col("row")[c].alias(c) for c in columns])
+        return restored(found)
 
     def make():
         def work(texts, spans):
@@ -250,10 +249,8 @@ def decontaminate(
 
         return work
 
-    trimmed = append_columns(found, ["__text", "hit_spans"], [T.StructField("__text", T.StringType())], make)
-    return trimmed.select(
-        *[(F.col("__text") if c == text_col else F.col("row")[c]).cast(types[c].dataType).alias(c) for c in columns]
-    )
+    # the new text takes the place of the old one
+    return restored(append_columns(found, [text, "hit_spans"], [T.StructField(text, T.StringType())], make))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, word_list
+from .common import bound_batches, materialize, word_list
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 #: Sets of a bucket that are compared with each other; larger buckets are split.
@@ -53,7 +53,7 @@ class _Words(dict):
 
     def __missing__(self, word):
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -381,6 +381,7 @@ def near_classes(
     null and empty texts link with nothing and are their own class, as are
     documents of null id without links. Repeated rows are documents of their own.
     """
+    bound_batches(docs.sparkSession)
     sets = materialize(describe(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall, words=words), "sets")
     firsts = [F.first(c).alias(c) for c in ("n", "sketch", "b1", "p2", "b2", "p3", "b3")]
     classes = materialize(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, materialize, word_list
+from .common import append_columns, as_bytes, materialize, numbered, word_list
 
 #: Most labelled rows that the models are fitted on (a sample by the hash of the id); scoring covers all rows.
 MAX_TRAIN_ROWS = 10_000
@@ -230,7 +230,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents judged toxic."""
     chain = train(docs, labels, categories=CATEGORIES)
-    columns = docs.columns
-    inner = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["text"].alias("__text"))
-    kept = score(inner, chain, text_col="__text", prefix="__p_").where(F.col("__p_toxic") < LIMIT)
-    return kept.select(*[F.col("row")[c].alias(c) for c in columns])
+    inner, text, restored = numbered(docs, "text")
+    return restored(score(inner, chain, text_col=text).where(F.col("p_toxic") < LIMIT))
