@@ -1,11 +1,37 @@
-"""All registered queries and their SQL."""
+"""All registered queries and the SQL that states the same result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(ids: str, sql: str | None = None):
+    """Register a query under its function's name; ``ids`` are the operators of the survey that it covers."""
+
+    def add(f):
+        f.ids = ids
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import expression_queries, metric_queries, retrieval_queries, sequence_queries, stream_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
