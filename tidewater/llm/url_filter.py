@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 _RULE_SCHEMA = "verdict string, host string, path string"
@@ -112,8 +112,8 @@ def production_rules(spark: SparkSession) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH r(verdict, host, path) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('block','net','/de/'),
-  ('allow','example.net','/de/8'), ('block','org','/es/')),
+WITH r(verdict, host, path) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'),
+  ('block','example.net','/de/8'), ('block','org','/es/')),
 p AS (SELECT page_id, row_number() OVER () AS rid,
   translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
