@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, word_list
+from .common import bound_batches, materialize, release_memory, word_list
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 #: Sets of a bucket that are compared with each other; larger buckets are split.
@@ -131,9 +131,9 @@ def describe(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, r
         shingles = Shingler(words)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            for start in range(0, len(texts), 2000):
-                rows = [shingles(t) for t in texts[start : start + 2000].to_pylist()]
-                ids = batch.column(0)[start : start + 2000]
+            for start in range(0, len(texts), 500):
+                rows = [shingles(t) for t in texts[start : start + 500].to_pylist()]
+                ids = batch.column(0)[start : start + 500]
                 empty = np.zeros(0, np.uint64)
                 paths = [_paths(s, seeds, threshold) if len(s) else [empty] * (2 * _DEPTH - 1) for s in rows]
                 yield pa.RecordBatch.from_arrays(
@@ -146,6 +146,8 @@ def describe(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, r
                     ],
                     names=[c.split()[0] for c in _SETS_SCHEMA.split(", ")],
                 )
+        del shingles
+        release_memory()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, _SETS_SCHEMA)
 
@@ -220,6 +222,8 @@ def _bucket_edges(threshold: float, limit: int | None):
                 held = tuple(x[cut:] for x in held)
         if held[0]:
             yield emit(solve(np.array(held[0], np.int64), held[1], np.array(held[2]), held[3]))
+        held = None
+        release_memory()
 
     def emit(rows):
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -295,19 +299,22 @@ def _exact(threshold: float):
         many = np.bincount(col)[col] > 1  # a token of one set is in no intersection
         owner, col = owner[many], np.unique(col[many], return_inverse=True)[1]
         common = np.zeros((m, m), np.float32)
-        width = 2048
+        width, some = 1024, 256
         for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
             a, b = np.searchsorted(col, [c, c + width])
             part = np.zeros((m, min(width, int(col[-1]) + 1 - c)), np.float32)
             part[owner[a:b], col[a:b] - c] = 1
-            common += part @ part.T
-        need = (n[:, None] + n[None, :]) * (threshold / (1 + threshold))
-        linked = common >= need - 1e-3
+            for r in range(0, m, some):
+                common[r : r + some] += part[r : r + some] @ part.T
+        linked = np.zeros((m, m), bool)
+        for r in range(0, m, some):  # whole-matrix temporaries would take several times its memory
+            linked[r : r + some] = common[r : r + some] >= (n[r : r + some, None] + n[None, :]) * (threshold / (1 + threshold)) - 1e-3
+        del common
         np.fill_diagonal(linked, False)
         if lo != hi:
             side = np.array(blocks) == lo
             linked &= side[:, None] != side[None, :]
-        counts = linked @ w
+        counts = np.array([int(w[row].sum()) for row in linked])
         out = [(classes[i], None, int(counts[i])) for i in np.flatnonzero(counts)]
         left = np.ones(m, bool)
         for seed in range(m):
@@ -340,6 +347,8 @@ def _exact(threshold: float):
                 held.append(row)
         if held:
             yield flush()
+        held = None
+        release_memory()
 
     return run
 
@@ -356,6 +365,8 @@ def _sets_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*batch.schema.names[1:], "tokens"]
             ).filter(same)
+        del shingles
+        release_memory()
 
     rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"))
     own = members.select(F.col("first_id").alias("__first"), "class", "root", "n_docs", "n_members")
