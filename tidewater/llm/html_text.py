@@ -26,13 +26,13 @@ MAX_BLOCKS = 2048
 #: A neighbour that shares this part of the open text is a copy.
 COPY_SHARE = 0.8
 
-DROP, MAIN, OPEN = 0, 1, 2
+MAIN, OPEN = 1, 2
 
 #: HTML elements whose content is never article text.
 _SKIPPED = frozenset("script style noscript template svg math canvas iframe object embed audio video head title select option datalist button form input textarea nav footer aside menu dialog map".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr script style noscript template svg button input select".split())
 #: Words in class, id and role that name what is not the article.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle banner banners sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices "
@@ -40,25 +40,28 @@ _NAMES = frozenset(
     "footer foot masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion "
     "widget widgets pagination pager skip search disclaimer copyright tags tagcloud complementary contentinfo".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[a-zA-Z][^<>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_PART = re.compile(r"[a-z]+|[0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 
 
-def _named_off(tag: str) -> bool:
-    """Whether class, id, role or hiding marks of a tag say that it is not the article."""
+def _named_off(tag: str, main: bool) -> bool:
+    """Whether class, id, role or hiding marks of a tag say that it is not the article; a header in the article is its own."""
     for name, a, b, c in _ATTR.findall(tag):
-        value, name = (a or b or c).lower(), name.lower()
+        raw, name = a or b or c, name.lower()
+        value = raw.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
                 return True
-        elif not _NAMES.isdisjoint(_PART.findall(value)):
-            return True
+        else:
+            parts = {x.lower() for x in _PART.findall(raw)} | set(value.split())
+            if not _NAMES.isdisjoint(parts) or not main and "header" in parts:
+                return True
     return False
 
 
@@ -70,6 +73,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
     pieces: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, is off, is in the article
     off = main = False
+    in_main = False  # of the block that is being read
     at, n = 0, len(page)
 
     def end_block():
@@ -78,12 +82,13 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(text.split())
             pieces.clear()
             if text:
-                out.append((DROP if off else MAIN if main else OPEN, text))
+                out.append((MAIN if in_main else OPEN, text))
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at and not off:
+            in_main = in_main if pieces else main
             pieces.append(page[at : m.start()])
         at = m.end()
         tag = _TAG.match(m[0])
@@ -92,14 +97,13 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         closing, name = tag[1], tag[2].lower()
         if name not in _INLINE:
             end_block()
+        elif name == "br" and pieces:
+            pieces.append(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if stack[k][1:] != (off, main) or name not in _INLINE:
-                        end_block()
                     del stack[k:]
                     off, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    # what an enclosing element says holds for the rest of it
                     break
             continue
         if name in _RAW:
@@ -116,17 +120,16 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
                     break
                 if stack[k][0] not in _INLINE:
                     break
-        now_off = off or name in _SKIPPED or name not in ("html", "body") and len(m[0]) > len(name) + 2 and _named_off(m[0])
+        now_off = off or name in _SKIPPED or name not in ("html", "body") and len(m[0]) > len(name) + 2 and _named_off(m[0], main)
         now_off = now_off or name == "header" and not main
-        now_main = main or name in ("article", "main")
-        if (now_off, now_main) != (off, main):
-            end_block()
+        now_main = main or name in ("article", "main") or "main" in m[0] and re.search(r"role\s*=\s*[\"']?main\b", m[0], re.I) is not None
         off, main = now_off, now_main
         stack.append((name, off, main))
     if at < n and not off:
+        in_main = in_main if pieces else main
         pieces.append(page[at:])
     end_block()
-    return [x for x in out if x[0] != DROP]
+    return out
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
