@@ -184,3 +184,31 @@ def test_shuffle_is_a_bijection(spark):
     df = spark.createDataFrame([Row(k=1, i=i) for i in range(50)])
     pos = sorted(r.p for r in df.withColumn("h", S.seeded_order(3, "k", "i")).select(S.ordinal(["k"], ["h", "i"]).alias("p")).collect())
     assert pos == list(range(50))
+
+
+def test_windowed_stream_equals_batch(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = St.late_safe(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "1 day")
+    q = St.tumbling(stream, "6 hours", "event_type").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    key = lambda r: (r.start, r.event_type, r.n)
+    assert sorted(map(key, spark.sql("select * from windows").collect())) == sorted(map(key, St.tumbling(St.late_safe(events, "1 day"), "6 hours", "event_type").collect()))
+
+
+def test_asof_forward(spark):
+    ticks = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 2.5), (2, 0.0)], "k long, tick double")
+    points = spark.createDataFrame([(1, 1.0), (1, 2.0)], "k long, p double")
+    got = {(r.k, r.tick): r.p for r in S.first_at_or_after(ticks, points, ["k"], "tick", "p").collect()}
+    assert got == {(1, 0.0): 1.0, (1, 1.0): 1.0, (1, 2.5): None, (2, 0.0): None}
+
+
+def test_frame_segments(spark):
+    df = spark.createDataFrame([(1, i) for i in range(6)], "k long, i long")
+    assert [r.segment for r in St.segments(df, "k", ["i"], 2, 2).orderBy("i").collect()] == ["init", "init", "global", "global", "local", "local"]
+    assert St.sink_and_window(df, "k", ["i"], 2, 2).count() == 4
+
+
+def test_adaptive_controller_and_whitening(spark):
+    assert value(spark, N.adaptive_kl(F.array(F.lit(12.0)), 0.2, 6.0, 100.0, 10)) == pytest.approx(0.2 * 1.02)
+    assert value(spark, N.preference_loss(F.lit(2.0), F.lit(1.0), 0.1, "hinge")) == pytest.approx(0.9)

@@ -67,4 +67,5 @@ def sessions(events: DataFrame, gap: str, key: str) -> DataFrame:
 
 
 def late_safe(events: DataFrame, delay: str) -> DataFrame:
-    return events.withWatermark("ts", delay)
+    """With a watermark on ``ts``, which becomes a timestamp of the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
