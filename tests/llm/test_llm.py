@@ -64,7 +64,9 @@ def test_shards_of_awkward_rows(spark, tmp_path):
 # 2
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most", [0, warc.MAX_BROADCAST_GROUPS])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_GROUPS", most)
     fake = "x WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0 y"
     tricky = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\nWARC/1.1\r\n"
     rows = [(1, "http://a/\r\nb", fake), (2, None, fake), (3, "u", None), (4, "u", ""), (5, "u", tricky), (6, "u", "é" * 5000), (7, "u", "plain"), (8, "u", "plain"), (9, "u", "plain"), (10, "u", "\r\n\r\n")]

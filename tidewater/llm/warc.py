@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_path
 
 MAGIC = "WARC/1."
+#: Most groups of equal payloads that are broadcast to the writers; beyond, payloads are shuffled to their group.
+MAX_BROADCAST_GROUPS = 500_000
 _CRLF = "\r\n"
 
 
@@ -51,7 +53,9 @@ def write_warc(
         .where("n > 1")
         .select(F.col("sha").alias("again"), F.col("size").alias("again_size"), F.col("first.pos").alias("first_pos"), F.col("first.id").alias("first_id"))
     )
-    joined = rows.join(again, (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
+    again = materialize(again, "groups")
+    few = again.count() <= MAX_BROADCAST_GROUPS
+    joined = rows.join(F.broadcast(again) if few else again, (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
     revisit = F.col("first_pos").isNotNull() & (F.col("first_pos") != F.col("pos"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c, F.lit("")), F.lit(">"))
