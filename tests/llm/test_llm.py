@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
