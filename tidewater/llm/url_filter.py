@@ -66,12 +66,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", def
             "verdict",
         ).alias("hit"),
         F.length(F.coalesce("path", F.lit(""))).alias("path_size"),
+        F.size(F.split("host", r"\.")).alias("labels"),
     )
-    facts = rules.agg(F.count("*").alias("n"), F.collect_set("path_size").alias("sizes"), F.min(F.col("hit.host_size")).alias("least")).first()
+    facts = rules.agg(F.count("*").alias("n"), F.collect_set("path_size").alias("sizes"), F.min(F.col("hit.host_size")).alias("least"), F.max("labels").alias("labels")).first()
     sizes = sorted(facts.sizes)  # a rule's path is at most as long as a URL
+    # a suffix of more labels than any rule's host fits none, so a host of very many labels costs no more
+    labels = F.least(F.size(F.split("__host", r"\.")), F.lit(facts.labels or 1))
     hosts = F.filter(
         F.transform(
-            F.sequence(F.lit(1), F.size(F.split("__host", r"\."))),
+            F.sequence(F.lit(1), labels),
             lambda i: F.call_function("substring_index", F.col("__host"), F.lit("."), -i),
         ),
         lambda h: F.length(h) >= F.lit(facts.least or 0),
