@@ -25,7 +25,7 @@ FOLDS = 5
 #: Words a model may use, and how far their share must differ between the classes, in standard errors.
 MAX_WORDS, LEAST_Z, LEAST_DOCS = 120, 4.5, 6
 #: Words also count by their first bytes, so that a stem with many endings is one feature.
-STEMS = (6, 7, 8)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def features(text: bytes, among: frozenset | None = None) -> tuple[dict[bytes, int], int]:
@@ -72,10 +72,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def spread_out(ranked: list[tuple[bytes, float]], most: int = MAX_WORDS) -> list[bytes]:
+    """At most ``most`` words and stems of (word, standard errors), best first: those that no shorter stem of theirs equals, then others.
+
+    Else the endings of the commonest stems would leave no place for rarer stems.
+    """
+    errors = dict(ranked)
+    alone, implied = [], []
+    for w, z in ranked:
+        body = w.rstrip(b"*")
+        shorter = [errors.get(body[:k] + b"*", 0.0) for k in STEMS if k < len(body)]
+        (implied if max(shorter, default=0.0) >= z else alone).append(w)
+    return (alone + implied)[:most]
+
+
 def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
     """For each category the words whose document share differs most between its classes.
 
-    labelled: __text binary, __y0, __y1, …; tasks count before the shuffle, only the chosen words reach the driver.
+    labelled: __text binary, __y0, __y1, …; tasks count before the shuffle, the best 20 * MAX_WORDS words reach the driver.
     """
     ys = [f"__y{i}" for i in range(n_categories)]
 
@@ -108,8 +122,8 @@ def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
         share = F.col("n") / n
         spread = F.sqrt(F.greatest(F.lit(1e-12), share * (1 - share) * (1 / n1 + 1 / n0)))
         z = F.abs(F.col(y) / n1 - (F.col("n") - F.col(y)) / n0) / spread
-        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
-        out.append([bytes(r.word) for r in best.collect()])
+        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(20 * MAX_WORDS)
+        out.append(spread_out([(bytes(r.word), r.z) for r in best.collect()]))
     return out
 
 
@@ -218,7 +232,9 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", prefix: str
 
 #: Categories of the registered query, in chain order.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-LIMIT = 0.5
+#: Probability from which a document is rejected. Held-out probabilities of clean documents lie close to 0, those of toxic
+#: ones with rare words between this and 0.5.
+LIMIT = 0.3
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
