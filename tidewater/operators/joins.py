@@ -67,9 +67,10 @@ def track_boxes(boxes: DataFrame, key: str, *, threshold: float = 0.7, least: in
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracks: list[list[tuple]] = []
+        last: list[list[tuple]] = []  # tracks with a box in the frame before
         for frame, rows in pdf.sort_values(["frame", "x1", "y1"]).groupby("frame"):
             new = [(int(frame), float(r.x1), float(r.y1), float(r.x2), float(r.y2)) for r in rows.itertuples()]
-            live = [t for t in tracks if t[-1][0] == frame - 1]
+            live = [t for t in last if t[-1][0] == frame - 1]
             ranked = sorted(((-iou(t[-1][1:], b[1:]), i, j) for i, t in enumerate(live) for j, b in enumerate(new)))
             used, taken = set(), set()
             for s, i, j in ranked:
@@ -77,7 +78,9 @@ def track_boxes(boxes: DataFrame, key: str, *, threshold: float = 0.7, least: in
                     live[i].append(new[j])
                     used.add(i)
                     taken.add(j)
-            tracks += [[b] for j, b in enumerate(new) if j not in taken]
+            fresh = [[b] for j, b in enumerate(new) if j not in taken]
+            tracks += fresh
+            last = [live[i] for i in sorted(used)] + fresh
         out = [(pdf[key].iloc[0], k, *b) for k, t in enumerate(x for x in tracks if len(x) >= least) for b in t]
         return pd.DataFrame(out, columns=[key, "track", "frame", "x1", "y1", "x2", "y2"])
 

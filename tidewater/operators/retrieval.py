@@ -81,6 +81,12 @@ def recent_and_best(votes: DataFrame, total: int, recent: int, best: int) -> Dat
     return top.union(last).distinct()
 
 
+def latest_and_best(votes: DataFrame, blocks: DataFrame, recent: int, best: int) -> DataFrame:
+    """Ids of the ``recent`` latest of all ``blocks`` and of the ``best`` voted ones, each once."""
+    top = votes.orderBy(F.desc("votes"), "vec_id").limit(best).select("vec_id")
+    return top.union(blocks.select("vec_id").orderBy(F.desc("vec_id")).limit(recent)).distinct()
+
+
 def window_overlap(windows: DataFrame, seconds: DataFrame, keys: list[str]) -> DataFrame:
     """Recall, precision and F1 of retrieved seconds against ground-truth windows.
 

@@ -96,6 +96,21 @@ def recent_union_topk(spark, sf):
     return R.recent_and_best(R.layer_votes(_hits(spark, sf), 2), 40, 5, 6)
 
 
+def _whole_votes(spark, sf):
+    top = R.top_k_per(_scored(spark, sf).select("label", "vec_id", "score"), ["label"], 5)
+    return R.layer_votes(top.select(F.col("label").alias("layer"), "vec_id", (1.0 + F.pmod("label", F.lit(2))).cast("double").alias("weight")), 2)
+
+
+@query("G12")
+def layer_vote_blocks(spark, sf):
+    return _whole_votes(spark, sf)
+
+
+@query("G13 G14 G15 J18")
+def recent_union_blocks(spark, sf):
+    return R.latest_and_best(_whole_votes(spark, sf), table(spark, sf, "embeddings"), 5, 6)
+
+
 @query("G16 G17 G18", f"""WITH {_SCORED}, k AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC) AS rn, max(score) OVER (PARTITION BY label) AS top FROM s),
 e AS (SELECT label, exp(score - top) AS x, sum(exp(score - top)) OVER (PARTITION BY label) AS z FROM k WHERE rn <= 10), h AS (SELECT label, -sum(x / z * ln(x / z + 1e-10)) / ln(10) AS h FROM e GROUP BY label),
 a AS (SELECT label, h, avg(h) OVER (ORDER BY label ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM h)
@@ -232,8 +247,9 @@ def interval_stab(spark, sf):
 
 @query("H12")
 def track_faces(spark, sf):
-    b = table(spark, sf, "events").select(F.pmod("user_id", F.lit(20)).alias("video"), F.pmod("event_id", F.lit(50)).alias("frame"), F.pmod("event_id", F.lit(3)).cast("double").alias("x1"))
-    b = b.dropDuplicates(["video", "frame", "x1"]).select("video", "frame", (F.col("x1") * 20).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x1") * 20 + 15).alias("x2"), F.lit(10.0).alias("y2"))
+    frame = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    x1 = F.coalesce("value", F.lit(0.0))
+    b = table(spark, sf, "events").select(F.col("user_id").alias("video"), frame.alias("frame"), x1.alias("x1"), F.lit(0.0).alias("y1"), (x1 + 100).alias("x2"), F.lit(10.0).alias("y2"))
     return J.track_boxes(b, "video")
 
 
