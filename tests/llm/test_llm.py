@@ -214,6 +214,30 @@ def test_licenses(spark):
     assert licenses.find_licenses(d.limit(0)).count() == 0
 
 
+def test_all_licenses_of_a_block(spark):
+    text = [
+        "Licensed under the MIT License. Licensed under the Apache License, Version 2.0.",
+        "Released under the MIT License. All rights reserved. " + "z " * 300 + "Licensed under CC BY 4.0. All rights reserved. Licensed under CC BY 4.0.",
+    ]
+    got = [[(h["license"], t[h["start"] : h["end"]]) for h in licenses.Scanner().scan(t)] for t in text]
+    assert got[0] == [("MIT", "Licensed under the MIT License"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0")]
+    assert [name for name, _ in got[1]] == ["MIT", "proprietary", "CC-BY-4.0", "proprietary", "CC-BY-4.0"]
+    many = " ".join(t for _, t in licenses.TEMPLATES)
+    assert len(licenses.Scanner().scan(many)) >= len(licenses.TEMPLATES)
+
+
+def test_near_windows_lose_none():
+    rnd = random.Random(3)
+    for _ in range(300):
+        template = [rnd.choice("abcde") for _ in range(rnd.randint(2, 14))]
+        block = [rnd.choice("abcdexyz") for _ in range(rnd.randint(1, 20))]
+        at = rnd.randint(0, len(block))
+        block[at:at] = [w for w in template if rnd.random() > 0.1]
+        cost, start = licenses.window_ends(block, template)
+        want = {(c, j) for j, c in enumerate(cost) if c <= licenses.MAX_DIFFERENCE * len(template) and j > start[j]}
+        assert {(d, j) for d, _, j in licenses.near_windows(block, template, set(template))} == want
+
+
 def test_best_window_is_least_edits():
     def edits(a, b):
         row = list(range(len(b) + 1))

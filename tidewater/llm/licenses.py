@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-A candidate block is compressed alone and with each license template as a raw
-zstandard dictionary; templates are ranked by how much they reduce its size, and
-the best are confirmed by the words in which block and template differ.
+A candidate block is compressed with each license template as a raw zstandard
+dictionary and templates are ranked by its size; each that has enough words in the
+block is confirmed by the words in which a stretch and the template differ. The
+confirmed stretches are cut out and the remainders ranked again until none is left.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ TEMPLATES = [
 ]
 #: What a block must hold to be a candidate; in lower case.
 TRIGGERS = ("licens", "licenc", "spdx", "copyright", "all rights reserved", "free of charge", "redistribut", "public domain", "cc by", "cc0")
-#: Templates per block that are confirmed, and the share of words that may differ.
-RANKED, MAX_DIFFERENCE = 4, 0.15
+#: The share of a template's words that may differ.
+MAX_DIFFERENCE = 0.15
 
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"[0-9a-z]+(?:[.\-+][0-9a-z]+)*", re.I)
@@ -68,8 +69,8 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def best_window(block: list[str], template: list[str]) -> tuple[int, int, int]:
-    """(differences, first word, end word) of the stretch of ``block`` with the fewest word edits to ``template``."""
+def window_ends(block: list[str], template: list[str]) -> tuple[list[int], list[int]]:
+    """For each end word, the fewest word edits of a stretch that ends there to ``template``, and that stretch's first word."""
     n = len(template)
     cost, start = [0] * (len(block) + 1), list(range(len(block) + 1))
     for i in range(1, n + 1):
@@ -81,10 +82,41 @@ def best_window(block: list[str], template: list[str]) -> tuple[int, int, int]:
             least = min(change, drop, add)
             cost[j] = least
             start[j] = before_start[j - 1] if least == change else before_start[j] if least == drop else start[j - 1]
+    return cost, start
+
+
+def best_window(block: list[str], template: list[str]) -> tuple[int, int, int]:
+    """(differences, first word, end word) of the stretch of ``block`` with the fewest word edits to ``template``."""
+    cost, start = window_ends(block, template)
     end = min(range(len(block) + 1), key=lambda j: (cost[j], j))
     return cost[end], start[end], end
 
 
+def near_windows(block: list[str], template: list[str], vocabulary: set[str]) -> list[tuple[int, int, int]]:
+    """(differences, first word, end word) of a stretch for each end word that has one within ``MAX_DIFFERENCE``.
+
+    Such a stretch has at most ``most`` words more than the template, and all but
+    ``most`` of the template's words: edits are counted only where words are that dense.
+    """
+    n = len(template)
+    most = int(MAX_DIFFERENCE * n)
+    at = [i for i, w in enumerate(block) if w in vocabulary]
+    regions: list[list[int]] = []
+    for first, last in zip(at, at[n - most - 1 :]):
+        if last - first >= n + most:
+            continue
+        a, b = max(0, first - 2 * most), min(len(block), first + n + 2 * most)
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = b
+        else:
+            regions.append([a, b])
+    out = []
+    for a, b in regions:
+        cost, start = window_ends(block[a:b], template)
+        out += [(c, a + start[j], a + j) for j, c in enumerate(cost) if c <= most and j > start[j]]
+    return out
+
+
 class Scanner:
     """Compressors for each template, made once per task."""
 
@@ -92,6 +124,7 @@ class Scanner:
         templates = templates or TEMPLATES
         self.names = [name for name, _ in templates]
         self.texts = [words(text) for _, text in templates]
+        self.vocabularies = [set(t) for t in self.texts]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(
@@ -101,25 +134,34 @@ class Scanner:
             for t in self.texts
         ]
 
-    def block(self, text: str) -> tuple[str, float, int, int, int] | None:
-        """(license, reduction, differences, start, end) of the block's best confirmed template."""
-        own = words(text)
+    def stretches(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
+        """(first word, end word, license, reduction, differences) of the block's confirmed stretches, none of which overlap."""
+        found, left = [], [(0, len(own))]
+        while left:
+            a, b = left.pop()
+            cut = self._confirmed(own[a:b])
+            if not cut:
+                continue
+            found += [(a + i, a + j, *rest) for i, j, *rest in cut]
+            ends = [0, *(x for i, j, *_ in cut for x in (i, j)), b - a]
+            left += [(a + i, a + j) for i, j in zip(ends[::2], ends[1::2]) if j > i]
+        return sorted(found)
+
+    def _confirmed(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
+        near = {k: n for k, t in enumerate(self.texts) if (n := near_windows(own, t, self.vocabularies[k]))}
+        if not near:
+            return []
         data = " ".join(own).encode()
-        alone = len(self.plain.compress(data))
-        sizes = [len(c.compress(data)) for c in self.given]
-        ranked = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))[:RANKED]
-        confirmed = []
-        for k in ranked:
-            if sizes[k] >= alone:
+        sizes = {k: len(self.given[k].compress(data)) for k in near}
+        ranked = sorted((d / len(self.texts[k]), -len(self.texts[k]), sizes[k], k, j, i, d) for k, n in near.items() for d, i, j in n)
+        taken, out = bytearray(len(own)), []
+        for _, _, _, k, j, i, d in ranked:
+            if 1 in taken[i:j]:
                 continue
-            differences, a, b = best_window(own, self.texts[k])
-            if b > a and differences <= MAX_DIFFERENCE * len(self.texts[k]):
-                confirmed.append((differences / len(self.texts[k]), -len(self.texts[k]), sizes[k], k, differences, a, b))
-        if not confirmed:
-            return None
-        *_, size, k, differences, a, b = min(confirmed)
-        at = [m.span() for m in _WORD.finditer(text)]
-        return self.names[k], 1 - size / alone, differences, at[a][0], at[b - 1][1]
+            taken[i:j] = b"\1" * (j - i)
+            stretch = " ".join(own[i:j]).encode()
+            out.append((i, j, self.names[k], 1 - len(self.given[k].compress(stretch)) / len(self.plain.compress(stretch)), d))
+        return sorted(out)
 
     def scan(self, text: str) -> list[dict]:
         low = text.lower()
@@ -131,9 +173,9 @@ class Scanner:
             if not any(t in line for t in TRIGGERS):
                 continue
             for start, end in _pieces(m[0]):
-                if hit := self.block(m[0][start:end]):
-                    name, gain, differences, a, b = hit
-                    out.append({"start": m.start() + start + a, "end": m.start() + start + b, "license": name, "reduction": round(gain, 6), "n_different": differences})
+                found = list(_WORD.finditer(text, m.start() + start, m.start() + end))
+                for a, b, name, gain, differences in self.stretches([w[0].lower() for w in found]):
+                    out.append({"start": found[a].start(), "end": found[b - 1].end(), "license": name, "reduction": round(gain, 6), "n_different": differences})
         return out
 
 
