@@ -226,6 +226,27 @@ def test_all_licenses_of_a_block(spark):
     assert len(licenses.Scanner().scan(many)) >= len(licenses.TEMPLATES)
 
 
+def test_wrapped_licenses():
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    gpl = [
+        " * This program is free software: you can redistribute it and/or modify", " * it under the terms of the GNU General Public License as published by",
+        " * the Free Software Foundation, either version 3 of the License, or", " * (at your option) any later version.",
+    ]
+    scan = licenses.Scanner().scan
+    for text, name in ((mit, "MIT"), (bsd, "BSD-3-Clause"), ("\r\n".join(gpl), "GPL-3.0"), ("// All rights\n// reserved.", "proprietary")):
+        text = "before it\n\n" + text + "\n\nafter it " + "z " * 200
+        assert [(h["license"], h["n_different"]) for h in scan(text)] == [(name, 0)]
+    both = scan(f"{bsd}\n\n{mit}\n")
+    assert [h["license"] for h in both] == ["BSD-3-Clause", "MIT"] and both[0]["end"] <= both[1]["start"]
+    for i, (name, template) in enumerate(licenses.TEMPLATES):
+        for k in (1, 2, 5):
+            ws = template.split()
+            text = "\n".join(" ".join(ws[j : j + k]) for j in range(0, len(ws), k))
+            assert [h["license"] for h in scan(text)] == [h["license"] for h in scan(template)]
+            assert scan(text)[0]["license"] == name
+
+
 def test_near_windows_lose_none():
     rnd = random.Random(3)
     for _ in range(300):

@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-A candidate block is compressed with each license template as a raw zstandard
-dictionary and templates are ranked by its size; each that has enough words in the
-block is confirmed by the words in which a stretch and the template differ. The
-confirmed stretches are cut out and the remainders ranked again until none is left.
+Candidate blocks are the words around trigger words, across lines. A block is
+compressed with each license template as a raw zstandard dictionary and templates
+are ranked by its size; each that has enough words in the block is confirmed by
+the words in which a stretch and the template differ. Confirmed stretches are cut
+out and the remainders ranked again until none is left.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -49,7 +52,9 @@ TRIGGERS = ("licens", "licenc", "spdx", "copyright", "all rights reserved", "fre
 #: The share of a template's words that may differ.
 MAX_DIFFERENCE = 0.15
 
-_LINE = re.compile(r"[^\n]+")
+#: Triggers as they may be broken over lines and comment marks, and a word of each that its text must hold.
+_TRIGGER = re.compile("|".join(r"[\W_]+".join(map(re.escape, t.split())) for t in TRIGGERS), re.I)
+_HINTS = tuple(dict.fromkeys(max(t.split(), key=len) for t in TRIGGERS))
 _WORD = re.compile(r"[0-9a-z]+(?:[.\-+][0-9a-z]+)*", re.I)
 _HITS = T.ArrayType(
     T.StructType(
@@ -125,6 +130,7 @@ class Scanner:
         self.names = [name for name, _ in templates]
         self.texts = [words(text) for _, text in templates]
         self.vocabularies = [set(t) for t in self.texts]
+        self.reach = max(len(t) + int(MAX_DIFFERENCE * len(t)) for t in self.texts)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(
@@ -165,45 +171,41 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         low = text.lower()
-        if not any(t in low for t in TRIGGERS):
+        if not any(t in low for t in _HINTS):
             return []
+        hits = [m.start() for m in _TRIGGER.finditer(text)]
+        if not hits:
+            return []
+        starts, ends = array("q"), array("q")
+        for m in _WORD.finditer(text):
+            starts.append(m.start())
+            ends.append(m.end())
         out = []
-        for m in _LINE.finditer(text):
-            line = m[0].lower()
-            if not any(t in line for t in TRIGGERS):
-                continue
-            for start, end in _pieces(m[0]):
-                found = list(_WORD.finditer(text, m.start() + start, m.start() + end))
-                for a, b, name, gain, differences in self.stretches([w[0].lower() for w in found]):
-                    out.append({"start": found[a].start(), "end": found[b - 1].end(), "license": name, "reduction": round(gain, 6), "n_different": differences})
+        for first, last in self._blocks(starts, hits):
+            own = [text[starts[i] : ends[i]].lower() for i in range(first, last)]
+            for a, b, name, gain, differences in self.stretches(own):
+                out.append({"start": starts[first + a], "end": ends[first + b - 1], "license": name, "reduction": round(gain, 6), "n_different": differences})
         return out
 
-
-def _pieces(line: str) -> list[tuple[int, int]]:
-    """A line's stretches around its trigger words; short lines are one block, in long ones near triggers share a block."""
-    if len(line) <= 400:
-        return [(0, len(line))]
-    low, out = line.lower(), []
-    if len(low) != len(line):  # a letter whose lower case is longer
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
-    for t in TRIGGERS:
-        for m in re.finditer(re.escape(t), low):
-            out.append((max(0, m.start() - 150), min(len(line), m.end() + 200)))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(out):
-        if merged and a <= merged[-1][1] and b - merged[-1][0] <= 1000:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+    def _blocks(self, starts, hits: list[int]) -> list[tuple[int, int]]:
+        """(first word, end word) of the windows around trigger words, as wide as the longest stretch on either side; those that overlap are one block."""
+        out: list[tuple[int, int]] = []
+        for at in hits:
+            i = bisect_right(starts, at) - 1
+            a, b = max(0, i - self.reach), min(len(starts), i + self.reach + 1)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        return out
 
 
 def find_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licenses``: start and end (code points), license, size reduction and differing words of each notice.
 
     Null and empty texts have none; a column ``licenses`` is replaced; repeated
-    rows are scanned alike; very long lines are scanned in stretches around their
-    trigger words.
+    rows are scanned alike; texts are scanned in blocks of words around trigger
+    words, so line breaks, white space and comment marks within a notice don't count.
     """
     from .common import append_columns
 
