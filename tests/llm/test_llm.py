@@ -82,6 +82,29 @@ def test_warc_round_trip(spark, monkeypatch, most):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_magic_in_headers(spark, tmp_path):
+    ids = ["a", "WARC/1.0 id", "50%2F%", "x\r\nWARC/1.1", "last", None]
+    rows = [(i, f"http://h/WARC/1.{n}?WARC/1.1\r\nContent-Length: 0", f"page {n % 4}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"))
+    got = {r.id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert set(got) == {i or "" for i in ids} and all(r.payload_bytes == 6 for r in got.values())
+    firsts = {"page 0": "last", "page 1": ids[1]}
+    assert {i: r.refers_to for i, r in got.items() if r.refers_to} == {i: firsts[h] for i, _, h in rows if i is not None and firsts.get(h, i) != i} | {"": ids[1]}
+
+
+def test_warc_broken_chain_is_an_error(spark, tmp_path):
+    record = "WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\n%sContent-Length: 1\r\n\r\nz\r\n\r\n"
+    (tmp_path / "w").mkdir()
+    for middle, n in (("", 3), ("WARC-Target-URI: WARC/1.1\r\n", None)):
+        (tmp_path / "w" / "a.txt").write_bytes("".join(record % (i, middle if i == 1 else "") for i in range(3)).encode())
+        if n:
+            assert warc.read_warc(spark, str(tmp_path / "w")).count() == n
+        else:
+            with pytest.raises(ValueError, match="breaks off"):
+                warc.read_warc(spark, str(tmp_path / "w"))
+
+
 def test_warc_chain_over_many_splits(spark, tmp_path):
     fake = "WARC/1.1\r\nContent-Length: 1\r\n\r\nz\r\n\r\n"
     df = spark.createDataFrame([(i, "u", (fake * (i % 3)) + "p" * (i * 37 % 900)) for i in range(200)], "page_id long, url string, html string")

@@ -36,8 +36,9 @@ def write_warc(
     Of rows with equal payloads of ``revisit_min_bytes`` or more, that with the
     largest id is a response and the others are revisits without a body. Null
     payloads are empty, null ids are written empty and come after all ids; of
-    repeated rows with the largest id one is the response. Line breaks in urls
-    are percent-encoded. Other columns are not written.
+    repeated rows with the largest id one is the response. Line breaks and the
+    magic are percent-encoded in urls and ids, and so is ``%`` in ids, which
+    ``read_warc`` decodes. Other columns are not written.
     """
     rows = records.select(
         records[id_col].cast("string").alias("id"),
@@ -58,13 +59,13 @@ def write_warc(
     joined = rows.join(F.broadcast(again) if few else again, (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
     revisit = F.col("first_pos").isNotNull() & (F.col("first_pos") != F.col("pos"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c, F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), _one_line(F.replace(F.coalesce(c, F.lit("")), F.lit("%"), F.lit("%25"))), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{_CRLF}{name}: "), value)
     text = F.concat(
         F.lit(f"{MAGIC}1"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", urn(F.col("id"))),
-        line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
+        line("WARC-Target-URI", _one_line(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("WARC-Payload-Length", F.col("size").cast("string")),
         F.when(revisit, line("WARC-Refers-To", urn(F.col("first_id")))).otherwise(F.lit("")),
@@ -75,6 +76,21 @@ def write_warc(
     joined.select(text.alias("value")).write.option("lineSep", _CRLF * 2).text(path)
 
 
+def _one_line(c: Column) -> Column:
+    """A header's value without line breaks and without the magic, at which readers cut."""
+    for old, new in (("\r", "%0D"), ("\n", "%0A"), (MAGIC, MAGIC.replace("/", "%2F"))):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def _page(header: str) -> Column:
+    """The id that a header's urn holds."""
+    c = F.regexp_extract(F.coalesce(_header(header), F.lit("")), r"^<urn:page:(.*)>$", 1)
+    for old, new in (("%2F", "/"), ("%0A", "\n"), ("%0D", "\r"), ("%25", "%")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
 def _header(name: str) -> Column:
     """A header's value; null if it is absent."""
     found = F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)\r?$", 1)
@@ -113,9 +129,9 @@ def candidates(parts: DataFrame) -> DataFrame:
         (F.lit(len(MAGIC) + 4) + F.col("head_bytes") + F.col("content")).alias("skip"),
         "head_bytes",
         "content",
-        F.regexp_extract(F.coalesce(_header("WARC-Record-ID"), F.lit("")), r"^<urn:page:(.*)>$", 1).alias("id"),
+        _page("WARC-Record-ID").alias("id"),
         F.lower(_header("WARC-Type")).alias("record_type"),
-        F.regexp_extract(F.coalesce(_header("WARC-Refers-To"), F.lit("")), r"^<urn:page:(.*)>$", 1).alias("refers_to"),
+        _page("WARC-Refers-To").alias("refers_to"),
         F.regexp_replace(_header("WARC-Payload-Digest"), "^sha1:", "").alias("stated_digest"),
         _header("WARC-Payload-Length").try_cast("long").alias("stated_bytes"),
         F.when(F.length("seg") == F.col("head_bytes") + F.col("content") + 4, sha1_base32(body)).alias("digest"),
@@ -132,10 +148,11 @@ def candidates(parts: DataFrame) -> DataFrame:
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """Rows of ``found`` (file, block, offset, successor, …) on the chain that starts at offset 0 of each file.
+    """Rows of ``found`` (file, block, offset, length, successor, …) on the chain that starts at offset 0 of each file.
 
     Stretches of a split in which each candidate's successor is the next one are
-    contracted first; pointers jump between stretches, twice as far each round.
+    contracted first; pointers jump between stretches, twice as far each round. A
+    chain that does not end where its file does is an error: records would be lost.
     """
     inner = W.partitionBy("file", "block").orderBy("offset")
     linked = F.lag("successor").over(inner).eqNullSafe(F.col("offset"))
@@ -163,6 +180,10 @@ def reachable(found: DataFrame) -> DataFrame:
         if jump.isEmpty():
             break
     entries = seen.select("file", "at.block", "at.run", "entry")
+    ends = runs.groupBy("file").agg(F.max(F.col("offset") + F.col("length") + len(MAGIC)).alias("end"))
+    reached = exits.join(entries, ["file", "block", "run"]).groupBy("file").agg(F.max("exit").alias("reached"))
+    if broken := ends.join(reached, "file", "left").where("not end <=> reached").limit(3).collect():
+        raise ValueError("the chain of records breaks off: " + ", ".join(f"{r.file} at {r.reached} of {r.end} bytes" for r in broken))
     return runs.join(entries, ["file", "block", "run"]).where("offset >= entry").drop("entry", "run")
 
 
