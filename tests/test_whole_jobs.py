@@ -31,3 +31,30 @@ def test_votes_of_whole_blocks(spark, sf):
     assert got == set(con.sql("select vec_id, votes from v").fetchall())
     want = con.sql("select vec_id from (select * from v order by votes desc, vec_id limit 6) union select vec_id from (select vec_id from embeddings order by vec_id desc limit 5)")
     assert {(r.vec_id,) for r in entry.queries()["recent_union_blocks"](spark, sf).collect()} == set(want.fetchall())
+
+
+def _write(spark, path, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_priority_match_of_whole_texts(spark, tmp_path):
+    same = "the same twenty characters "
+    texts = ["Label Me", "label me", "\tlabel me \n", "entire_005_x", "x", same + "a", same + "b", None, ""]
+    _write(spark, tmp_path, documents=([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string"), labels=([(2, 1, 0), (4, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.quality for r in entry.queries()["priority_match_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: "1", 2: "1", 3: "1", 4: "0", 5: "0", 6: "1", 7: "", 8: "", 9: ""}
+
+
+def test_joins_of_whole_tables(spark, sf):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "benchmark", "conversations"):
+        con.sql(f"create view {t} as from '{sf}/{t}.parquet'")
+    run = lambda name: sorted(map(tuple, entry.queries()[name](spark, sf).collect()))
+    exact = con.sql("select d.doc_id, max(x.quality)::varchar from documents d join (select text, quality from documents join labels using (doc_id)) x on d.text = x.text group by d.doc_id").fetchall()
+    got = run("priority_match_texts")
+    assert len(got) == con.sql("select count(*) from documents").fetchall()[0][0] and set(exact) <= set(got)
+    assert run("prefix_match_benchmark") == sorted(con.sql("select doc_id, item_id from documents d join benchmark b on starts_with(d.text, b.text)").fetchall())
+    n = "select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations where role = "
+    want = con.sql(f"select u.conv_id, u.turn, a.turn from ({n} 'user') u join ({n} 'assistant') a on u.conv_id = a.conv_id and u.n = a.n").fetchall()
+    assert run("consumed_replies") == sorted(want) and want

@@ -198,6 +198,35 @@ def greedy_consumption(spark, sf):
     return J.greedy_pairs(a, b, "lang", "a", "b")
 
 
+@query("H1 D10 D12")
+def priority_match_texts(spark, sf):
+    from tidewater.operators.sequences import with_rank
+
+    # digests stand for whole texts, so that texts are not shuffled; 'entire_007_x' matches x of the seventh document
+    key = lambda c: F.sha2(c.cast("binary"), 256)
+    n = F.regexp_extract("text", r"(?s)^entire_(\d{3,18})_", 1).try_cast("long")
+    rest = F.when(F.col("text").startswith(F.format_string("entire_%03d_", n)), F.regexp_replace("text", r"(?s)^entire_\d+_", ""))
+    tried = [F.col("text"), F.lower("text"), F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")]
+    d = table(spark, sf, "documents").select("doc_id", *[key(c).alias(f"q{i}") for i, c in enumerate(tried)], n.alias("n"), key(rest).alias("rest"))
+    right = d.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+    right = right.select("quality", F.col("q0").alias("rk"), F.concat(F.col("n").cast("string"), F.lit("_"), F.col("rest")).alias("ro"))
+    left = with_rank(d.drop("n", "rest"), "doc_id").withColumn("q3", F.concat((F.col("rank") + 1).cast("string"), F.lit("_"), F.col("q0")))
+    tries = [(F.col(f"q{i}"), F.col("rk")) for i in range(3)] + [(F.col("q3"), F.col("ro"))]
+    return J.priority_lookup(left, right, tries, "quality").select("doc_id", "quality")
+
+
+@query("H2")
+def prefix_match_benchmark(spark, sf):
+    return J.prefix_match(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("p")), "text", "p").select("doc_id", "item_id")
+
+
+@query("H2")
+def consumed_replies(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    a, b = c.where("role = 'user'").select("conv_id", F.col("turn").alias("a")), c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"))
+    return J.greedy_pairs(a, b, "conv_id", "a", "b")
+
+
 @query("H3", f"WITH {RESULTS} SELECT a.qid FROM r a JOIN (SELECT qid, CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS correct FROM r) b ON a.qid = b.qid WHERE a.correct = 1 AND b.correct = 0")
 def run_diff(spark, sf):
     r = results(spark, sf)
