@@ -377,13 +377,55 @@ def test_join_splits_large_buckets_and_components(spark, monkeypatch):
     assert got == want
 
 
+def _group(rnd, size, edits, name, n=300):
+    """Texts that differ from one text by up to so many words each."""
+    base = [f"{name}{i}" for i in range(n)]
+    for i in range(size):
+        own = list(base)
+        for _ in range(rnd.randint(0, edits)):
+            own[rnd.randrange(n)] = f"{name}x{i}y{rnd.randint(0, 9)}"
+        yield " ".join(own)
+
+
+@pytest.mark.parametrize("edits", [2, 8, 14])
+def test_large_components_by_slack(spark, monkeypatch, edits):
+    """Near a reference (few edits), around the threshold, and far from it."""
+    for name, value in (("BLOCK", 12), ("REFERENCE", 5)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(edits)
+    texts = [t for g in "abc" for t in _group(rnd, 50, edits, g)]
+    rows = list(enumerate(texts + texts[:7]))
+    assert _near(spark, rows) == ngram_join.brute_force([(i, t.encode()) for i, t in rows])
+
+
+def test_crowded_buckets_at_the_last_level(spark, monkeypatch):
+    """Buckets that no token splits any further are compared in blocks; large tables are looked up without broadcast."""
+    for name, value in (("MAX_BROADCAST_MEMBERS", 3), ("HOT", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(8)
+    rows = list(enumerate(t for g in "ab" for t in _group(rnd, 30, 3, g, 60)))
+    want = ngram_join.brute_force([(i, t.encode()) for i, t in rows])
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_classes(docs(spark, rows), limit=4).collect()} == want
+
+
+def test_sketches_tell_small_sets_apart():
+    """Unrelated short texts are no candidates, however few bins they occupy."""
+    rnd, shingles = random.Random(3), ngram_join.Shingler()
+    sets = [shingles(" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(1, 60))).encode()) for _ in range(400)]
+    sk = ngram_join._Sketches([ngram_join._sketch(s) for s in sets], np.array([len(s) for s in sets]), 0.8)
+    i, j = np.triu_indices(len(sets), 1)
+    assert sk.similar(i, j).sum() <= 5
+
+
 def test_join_of_awkward_rows(spark):
     a = awkward(spark)
     got = ngram_join.near_classes(a).collect()
     assert len(got) == 8 and [r.n_links for r in got if r.doc_id == 3] == [1, 1]
     kept = ngram_join.keep_one(a)
-    assert kept.columns == a.columns and kept.count() == 8
+    assert kept.columns == a.columns and kept.count() == 7  # of the repeated row one stays
     assert ngram_join.near_classes(a.limit(0)).count() == 0
+    both = docs(spark, [(1, "a b c d e f"), (2, "q r s t u v"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "k l m"), (None, "k l m")])
+    assert sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(both).collect()) == [(0, "k l m"), (1, "a b c d e f"), (2, "q r s t u v")]
     with_copies = docs(spark, [(5, "a b c d e f"), (2, "a b c d e f"), (9, None), (8, None)])
     assert sorted(r.doc_id for r in ngram_join.keep_one(with_copies).collect()) == [2, 8, 9]
 
