@@ -82,6 +82,28 @@ def test_warc_round_trip(spark, monkeypatch, most):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, warc.MAX_BROADCAST_GROUPS])
+def test_warc_of_shuffled_and_repeated_rows(spark, monkeypatch, most):
+    """One response a group, whatever the layout of the input; payloads are in the archives."""
+    monkeypatch.setattr(warc, "MAX_BROADCAST_GROUPS", most)
+    body = lambda g: f"page {g} WARC/1.1 " + hashlib.sha1(str(g).encode()).hexdigest() * (g % 7 + 1)
+    df = spark.createDataFrame([(i, "u", body(i % 300)) for i in range(900)], "page_id long, url string, html string")
+    ids = spark.range(900).select(F.col("id").alias("page_id"))
+    for shuffled in (df.repartition(7, "page_id"), df.repartition("html").join(ids, "page_id")):
+        got = warc.round_trip(shuffled).collect()
+        assert len(got) == 900
+        for r in got:
+            top = 600 + r.page_id % 300
+            want = base64.b32encode(hashlib.sha1(body(r.page_id % 300).encode()).digest()).decode()
+            assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == top else ("revisit", top))
+            assert r.payload_digest == want and r.payload_bytes == len(body(r.page_id % 300))
+    rows = [(5, "a", "same"), (5, "a", "same"), (5, "b", "same"), (None, "c", "same"), (None, "d", "other"), (None, "d", "other")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == sorted(
+        [(5, "response", 0), (5, "revisit", 5), (5, "revisit", 5), (0, "revisit", 5), (0, "response", 0), (0, "revisit", 0)]
+    )
+
+
 def test_warc_magic_in_headers(spark, tmp_path):
     ids = ["a", "WARC/1.0 id", "50%2F%", "x\r\nWARC/1.1", "last", None]
     rows = [(i, f"http://h/WARC/1.{n}?WARC/1.1\r\nContent-Length: 0", f"page {n % 4}") for n, i in enumerate(ids)]

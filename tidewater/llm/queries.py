@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op2_warc_round_trip": warc.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

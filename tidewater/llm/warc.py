@@ -23,7 +23,10 @@ _CRLF = "\r\n"
 
 def sha1_base32(c: Column) -> Column:
     """Upper-case base32 of the SHA-1 of a string's or binary's bytes."""
-    digits = F.sha1(c)
+    return _base32(F.sha1(c))
+
+
+def _base32(digits: Column) -> Column:
     part = lambda k: F.lpad(F.conv(F.substring(digits, 10 * k + 1, 10), 16, 32), 8, "0")
     return F.translate(F.concat(*[part(k) for k in range(4)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -40,15 +43,17 @@ def write_warc(
     magic are percent-encoded in urls and ids, and so is ``%`` in ids, which
     ``read_warc`` decodes. Other columns are not written.
     """
+    size, sha = F.octet_length("payload").cast("long"), F.sha1(F.col("payload"))
     rows = records.select(
         records[id_col].cast("string").alias("id"),
         records[id_col].alias("rank"),
         F.coalesce(records[url_col], F.lit("")).alias("url"),
         F.coalesce(records[payload_col], F.lit("")).alias("payload"),
-    ).withColumns({"size": F.octet_length("payload").cast("long"), "sha": F.sha1(F.col("payload")), "digest": sha1_base32(F.col("payload")), "pos": F.monotonically_increasing_id()})
-    facts = materialize(rows.select("id", "rank", "size", "sha", "pos"), "payloads")
+    )
+    # numbered once: evaluated again, a shuffled input would number its rows otherwise
+    rows = materialize(rows.withColumns({"size": size, "sha": sha, "pos": F.monotonically_increasing_id()}), "payloads")
     again = (
-        facts.where(F.col("size") >= revisit_min_bytes)
+        rows.where(F.col("size") >= revisit_min_bytes)
         .groupBy("sha", "size")
         .agg(F.count("*").alias("n"), F.max(F.struct(F.col("rank").isNotNull().alias("known"), "rank", "pos", "id")).alias("first"))
         .where("n > 1")
@@ -56,7 +61,11 @@ def write_warc(
     )
     again = materialize(again, "groups")
     few = again.count() <= MAX_BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(again) if few else again, (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
+    if few:
+        joined = rows.join(F.broadcast(again), (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
+    else:  # narrow rows meet their group, payloads then only a table of positions
+        near = rows.select("sha", "size", "pos").join(again, (F.col("sha") == F.col("again")) & (F.col("size") == F.col("again_size")))
+        joined = rows.join(near.select("pos", "first_pos", "first_id"), "pos", "left")
     revisit = F.col("first_pos").isNotNull() & (F.col("first_pos") != F.col("pos"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), _one_line(F.replace(F.coalesce(c, F.lit("")), F.lit("%"), F.lit("%25"))), F.lit(">"))
@@ -66,7 +75,7 @@ def write_warc(
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", urn(F.col("id"))),
         line("WARC-Target-URI", _one_line(F.col("url"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("sha")))),
         line("WARC-Payload-Length", F.col("size").cast("string")),
         F.when(revisit, line("WARC-Refers-To", urn(F.col("first_id")))).otherwise(F.lit("")),
         line("Content-Length", F.octet_length(body).cast("string")),
@@ -111,6 +120,10 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: What tells a segment's bytes, wherever a later read of the archives cuts its splits.
+_SEG_KEY = {"seg1": "xxhash64(seg)", "seg2": "xxhash64(1, seg)"}
+
+
 def candidates(parts: DataFrame) -> DataFrame:
     """(file, offset, length, successor, …) of each segment; ``offset`` is where its magic starts, ``length`` its bytes after the magic."""
     own = (
@@ -126,6 +139,7 @@ def candidates(parts: DataFrame) -> DataFrame:
         "block",
         "pos",
         F.length("seg").cast("long").alias("length"),
+        *[F.expr(k).alias(n) for n, k in _SEG_KEY.items()],
         (F.lit(len(MAGIC) + 4) + F.col("head_bytes") + F.col("content")).alias("skip"),
         "head_bytes",
         "content",
@@ -187,6 +201,20 @@ def reachable(found: DataFrame) -> DataFrame:
     return runs.join(entries, ["file", "block", "run"]).where("offset >= entry").drop("entry", "run")
 
 
+def _owned(found: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, at, piece, …) of each segment: ``at`` is the record it lies in, the last that starts at or before ``piece``.
+
+    A running maximum within each split, and over the splits before it.
+    """
+    starts = records.select("file", "offset", F.col("offset").alias("start"))
+    marked = found.select("file", "block", "offset", *_SEG_KEY).join(starts, ["file", "offset"], "left")
+    last = marked.groupBy("file", "block").agg(F.max("start").alias("last"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    last = last.select("file", "block", F.max("last").over(earlier).alias("before"))
+    own = F.max("start").over(W.partitionBy("file", "block").orderBy("offset"))
+    return marked.withColumn("own", own).join(last, ["file", "block"]).select("file", F.coalesce("own", "before").alias("at"), F.col("offset").alias("piece"), *_SEG_KEY)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, id, record_type, refers_to, payload_bytes, payload_digest) of each record on the chain.
 
@@ -201,10 +229,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     if split.isEmpty():
         whole = records
     else:
-        # a payload that holds the magic lies in several segments: those between its record's start and successor
-        spans = split.select("file", F.col("offset").alias("at"), F.col("successor").alias("until"), "head_bytes", "content")
-        keyed = found.select("file", "block", "pos", F.col("offset").alias("piece")).join(spans.drop("head_bytes", "content"), "file").where("piece >= at and piece < until")
-        data = parts.join(keyed, ["file", "block", "pos"]).groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("piece", "seg"))).alias("segs"))
+        # a payload that holds the magic lies in several segments: those from its record's start to its successor
+        spans = split.select("file", F.col("offset").alias("at"), "head_bytes", "content")
+        keyed = _owned(found, records).join(spans.select("file", "at"), ["file", "at"])
+        keyed = materialize(keyed, "pieces")
+        needed = keyed.select(*_SEG_KEY).distinct()
+        texts = parts.withColumns({n: F.expr(k) for n, k in _SEG_KEY.items()}).join(needed, list(_SEG_KEY), "left_semi").groupBy(*_SEG_KEY).agg(F.first("seg").alias("seg"))
+        data = keyed.join(texts, list(_SEG_KEY)).groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("piece", "seg"))).alias("segs"))
         glued = F.aggregate("segs", F.lit(b""), lambda a, x: F.concat(a, F.when(F.length(a) > 0, F.lit(MAGIC.encode())).otherwise(F.lit(b"")), x["seg"]))
         fixed = (
             data.join(spans, ["file", "at"])
@@ -225,7 +256,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back, a row per page."""
+    """Write ``pages`` (page_id, url, html, others ignored) to archives in the shared folder and read them back, a row per page.
+
+    Null html is an empty payload, a null url an empty one, a null page_id stays
+    null and is never the largest; of repeated rows one is the response. Payloads
+    may be of any length and hold the magic; no pages give no rows.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages, path)
@@ -236,3 +272,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
         "record_type",
         F.col("refers_to").try_cast("long").alias("refers_to"),
     )
+
+
+#: The same rows without archives; base32 digits of the digest are taken from five bits each.
+ORACLE_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top, sha1(body) AS hex FROM p)
+SELECT page_id, strlen(body) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g"""
