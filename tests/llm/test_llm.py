@@ -206,6 +206,56 @@ def test_differencing_deletes_shared_lines(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_names_that_only_contain_a_name_are_kept():
+    main = lambda page: [t for s, t in html_text.page_lines(page) if s == html_text.MAIN]
+    assert main('<div class="layout with-sidebar"><article><p>one</p></article></div>') == ["one"]
+    assert main('<article class="post hentry category-social comments-open"><p>one</p></article>') == ["one"]
+    assert main('<article><p class="share-price">one</p><div class="share-buttons">tweet</div><div class="comment">nice</div></article>') == ["one"]
+    assert main('<div class="sidebar"><main><p>one</p></main></div><nav><article>menu</article></nav>') == ["one"]
+    assert main('<article><p>one</p></article><article class="comment">nice</article><div id="comments"><article>x</article></div>')[0] == "one"
+
+
+def _lcs_left(own, other):
+    """Lines of ``own`` outside a longest common subsequence, as a multiset (plain dynamic programme)."""
+    n, m = len(own), len(other)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            best[i + 1][j + 1] = best[i][j] + 1 if own[i] == other[j] else max(best[i][j + 1], best[i + 1][j])
+    return n - best[n][m]
+
+
+def test_differencing_equals_brute_force(spark):
+    """Pages without an article, among copies and empty pages: what remains is what no nearest neighbour shares."""
+    rnd = random.Random(11)
+    rows = []
+    for h in range(3):
+        lines = [[f"u{h}x{i}y{k}" for k in range(rnd.randint(1, 3))] for i in range(30)]
+        for i in range(30):
+            own = ["menu", *lines[i], *rnd.sample(["a", "b", "c", "d"], 2), "foot"]
+            html = "".join(f"<div>{x}</div>" for x in own)
+            rows += [(len(rows) + k, f"http://h{h}/{i:03d}/{k}", html) for k in range(rnd.choice([1, 1, 3]))]
+            if rnd.random() < 0.2:
+                rows.append((len(rows), f"http://h{h}/{i:03d}/9", ""))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), blocks=1).collect()}
+    parsed = [(u.split("/")[2], [t for _, t in html_text.page_lines(h)], i) for i, u, h in rows]
+    for k, (host, own, i) in enumerate(parsed):
+        near = []
+        for way in (range(k - 1, -1, -1), range(k + 1, len(parsed))):
+            near += [next((o for j in way if (o := parsed[j][1]) and parsed[j][0] == host and o != own), [])]
+        text = got[i].split("\n\n") if got[i] else []
+        assert [x for x in own if x.startswith("u")] == [x for x in text if x.startswith("u")]
+        assert "menu" not in text and "foot" not in text
+        for other in near:
+            assert len(text) <= _lcs_left(own, other)
+
+
+def test_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>line {i} {'x' * 50}</p>" for i in range(40_000)) + "</article>"
+    got = html_text.extract(spark.createDataFrame([(1, "http://h/a", page), (2, "http://h/b", "<div>x</div>" * 30_000)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.n_chars for r in got}[1] > 2_000_000
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rnd = random.Random(3)
     for _ in range(2000):

@@ -3,9 +3,10 @@
 A page is cut into lines (its blocks) with what its structure says of each: part
 of the article, part of something that is no article (menus, notices, adverts,
 comments …), or open. Pages of a host are ordered by URL path and each is paired
-with its neighbours; open lines that the longest common subsequence of the two
-pages shares are the site's, not the page's, and are deleted. Neighbours that
-share nearly all open lines are copies of the page and delete nothing.
+with its nearest neighbours that are no copies of it; open lines that the longest
+common subsequence of the two pages shares are the site's, not the page's, and are
+deleted, whatever share of the page they are. Lines of a marked article stay: pages
+that carry the same article, or quote the same passage, would else lose it.
 """
 
 from __future__ import annotations
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Most block boundaries that the driver holds; a block is a stretch of neighbouring pages.
-MAX_BLOCKS = 2048
-#: A neighbour that shares this part of the open text is a copy.
-COPY_SHARE = 0.8
+#: Pages of a block, a stretch of neighbouring pages, and most block boundaries that the driver holds (blocks grow beyond).
+BLOCK_PAGES, MAX_BLOCKS = 1000, 50_000
 
 MAIN, OPEN = 1, 2
 
@@ -40,6 +39,12 @@ _NAMES = frozenset(
     "footer foot masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion "
     "widget widgets pagination pager skip search disclaimer copyright tags tagcloud complementary contentinfo".split()
 )
+#: Words that may stand beside them in a name without changing what it names; 'with-sidebar' or 'share-price' names something else.
+_BESIDE = frozenset(
+    "site page main post entry article blog user reader global primary secondary mobile desktop top bottom left right upper lower inner outer fixed sticky floating "
+    "container wrapper wrap box bar area section block group list item items link links button buttons icon icons form field panel column col row content body text title "
+    "header head heading message msg unit slot space image img thread node author count number form js id the".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[a-zA-Z][^<>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -48,6 +53,13 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 
 
+def _names_other(token: str, main: bool) -> bool:
+    """Whether a class, id or role names something that is not the article: all its words do, or may stand beside one that does."""
+    parts = [x.lower() for x in _PART.findall(token) if not x.isdigit()]
+    named = not _NAMES.isdisjoint(parts) or not main and "header" in parts
+    return token.lower() in _NAMES or named and all(x in _NAMES or x in _BESIDE for x in parts)
+
+
 def _named_off(tag: str, main: bool) -> bool:
     """Whether class, id, role or hiding marks of a tag say that it is not the article; a header in the article is its own."""
     for name, a, b, c in _ATTR.findall(tag):
@@ -58,10 +70,8 @@ def _named_off(tag: str, main: bool) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
                 return True
-        else:
-            parts = {x.lower() for x in _PART.findall(raw)} | set(value.split())
-            if not _NAMES.isdisjoint(parts) or not main and "header" in parts:
-                return True
+        elif any(_names_other(t, main) for t in raw.split()):
+            return True
     return False
 
 
@@ -71,8 +81,8 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         return []
     out: list[tuple[int, str]] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, is off, is in the article
-    off = main = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, is off, is in the article, is off whatever it holds
+    off = main = shut = False
     in_main = False  # of the block that is being read
     at, n = 0, len(page)
 
@@ -103,7 +113,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    off, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    off, main, shut = stack[-1][1:] if stack else (False, False, False)
                     break
             continue
         if name in _RAW:
@@ -116,15 +126,18 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    off, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    off, main, shut = stack[-1][1:] if stack else (False, False, False)
                     break
                 if stack[k][0] not in _INLINE:
                     break
-        now_off = off or name in _SKIPPED or name not in ("html", "body") and len(m[0]) > len(name) + 2 and _named_off(m[0], main)
-        now_off = now_off or name == "header" and not main
-        now_main = main or name in ("article", "main") or "main" in m[0] and re.search(r"role\s*=\s*[\"']?main\b", m[0], re.I) is not None
-        off, main = now_off, now_main
-        stack.append((name, off, main))
+        # a name shuts out what it wraps, but not an article below it; an element's kind does
+        now_shut = shut or name in _SKIPPED or name == "header" and not main
+        opens = name in ("article", "main") or "main" in m[0] and re.search(r"role\s*=\s*[\"']?main\b", m[0], re.I) is not None
+        now_off = off or name not in ("html", "body") and len(m[0]) > len(name) + 2 and _named_off(m[0], main)
+        if opens and not main:
+            now_off = len(m[0]) > len(name) + 2 and _named_off(m[0], True)
+        off, main, shut = now_off or now_shut, main or opens and not now_off, now_shut
+        stack.append((name, off, main, shut))
     if at < n and not off:
         in_main = in_main if pieces else main
         pieces.append(page[at:])
@@ -166,23 +179,14 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[int, str]], neighbours: list[list[str]]) -> str:
-    """The article's lines, or without an article the open lines no neighbour shares."""
+    """The article's lines, or without an article the open lines that no neighbour shares."""
     has_main = any(state == MAIN for state, _ in lines)
-    own = [text for state, text in lines if state == OPEN]
     gone: set[int] = set()
-    size = sum(map(len, own)) or 1
-    for other in neighbours:
-        shared = common_lines(own, other)
-        if sum(len(own[k]) for k in shared) < COPY_SHARE * size:
-            gone |= shared
-    out, k = [], -1
-    for state, text in lines:
-        if state == OPEN:
-            k += 1
-            if has_main or k in gone:
-                continue
-        out.append(text)
-    return "\n\n".join(out)
+    if not has_main:
+        own = [text for _, text in lines]
+        for other in neighbours:
+            gone |= common_lines(own, other)
+    return "\n\n".join(text for k, (state, text) in enumerate(lines) if state == MAIN or not has_main and k not in gone)
 
 
 _HOST = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
@@ -200,7 +204,7 @@ def _host_path(c):
     return F.lower(F.when(has, known).otherwise("")), F.when(has, path).otherwise(F.coalesce(c, F.lit("")))
 
 
-def _boundaries(pages: DataFrame, blocks: int) -> list[tuple[tuple[str, str, str], tuple[str, str, str]]]:
+def _boundaries(pages: DataFrame, blocks: int | None) -> list[tuple[tuple[str, str, str], tuple[str, str, str]]]:
     """(last page of a block, first page of the next) in the order (host, path, id); at most ``MAX_BLOCKS``.
 
     The keys alone are range-sorted and numbered; pages of one host, however
@@ -221,22 +225,26 @@ def _boundaries(pages: DataFrame, blocks: int) -> list[tuple[tuple[str, str, str
     base = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("part"))
     # positions within a partition count from 0 in its low bits
     rank = base + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
-    width = -(-total // blocks)
+    width = -(-total // min(blocks or -(-total // BLOCK_PAGES), MAX_BLOCKS))
     edge = numbered.withColumn("rank", rank).where((F.col("rank") % width == 0) | (F.col("rank") % width == width - 1))
     rows = sorted((r["rank"], (r.host, r.path, r.id)) for r in edge.collect())
     by = dict(rows)
     return [(by[k - 1], by[k]) for k, _ in rows if k % width == 0 and k]
 
 
-def extract(pages: DataFrame, *, blocks: int = 512) -> DataFrame:
+def extract(pages: DataFrame, *, blocks: int | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Null pages are empty and have an empty text; pages without a url are ordered
-    by what there is and form one host; of pages of equal host, path and id all
-    get their text; other columns do not pass.
+    A page without a marked article loses every line that the nearest page before or
+    after it in its host shares, copies (pages of the same open lines) and pages
+    without lines passed over; copies of a page get the same text. Copies are passed
+    over within a block and at its edges. Null pages are empty and have an empty
+    text; pages without a url are ordered by what there is and form one host; of
+    pages of equal host, path and id all get their text; texts may be of any length;
+    other columns do not pass; no pages give no rows.
     """
     pages = pages.select("page_id", "url", "html")
-    cuts = _boundaries(pages, min(blocks, MAX_BLOCKS))
+    cuts = _boundaries(pages, blocks)
     shared = pages.sparkSession.sparkContext.broadcast(cuts)
     schema = "block int, ghost int, host string, path string, id string, page_id long, url string, states array<tinyint>, lines array<string>"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -269,27 +277,39 @@ def extract(pages: DataFrame, *, blocks: int = 512) -> DataFrame:
         def open_lines(row):
             return [t for s, t in zip(row[7], row[8], strict=True) if s == OPEN]
 
-        before = here = None
+        def batch_of(out):
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            text = [t or "" for t in cols[2]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
+
+        # a run: neighbouring pages of a host with the same open lines; (host, lines, pages without an article)
+        before = run = None
         out: list[tuple] = []
 
-        def done(before, here, after):
-            near = [open_lines(x) for x in (before, after) if x is not None and x[0] == here[0] and x[2] == here[2]]
-            text = main_text(list(zip(here[7], here[8], strict=True)), near)
-            return (here[5], here[6], text, len(text))
-
-        def batch_of(out):
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        def close(after):
+            if run is not None and run[2]:
+                near = [x[1] for x in (before, after) if x is not None and x[0] == run[0]]
+                text = main_text([(OPEN, t) for t in run[1]], near)
+                out.extend((page_id, url, text) for page_id, url in run[2])
 
         for row in rows():
-            if here is not None and not here[1]:
-                out.append(done(before, here, row))
-            before, here = here, row
+            host, own = row[2], open_lines(row)
+            has_main = MAIN in row[7]
+            if not row[1] and (has_main or not own):
+                out.append((row[5], row[6], main_text(list(zip(row[7], row[8], strict=True)), [])))
+            if own:
+                if run is None or run[0] != host or run[1] != own:
+                    close((host, own))
+                    before, run = run, (host, own, [])
+                if not row[1] and not has_main:
+                    run[2].append((row[5], row[6]))
             if len(out) >= 500:
                 yield batch_of(out)
-                out = []
-        if here is not None and not here[1]:
-            out.append(done(before, here, None))
+                out.clear()
+        close(None)
         yield batch_of(out)
 
     placed = pages.mapInArrow(parse, schema)
