@@ -342,6 +342,30 @@ def test_wrapped_licenses():
             assert scan(text)[0]["license"] == name
 
 
+def test_scan_equals_a_scan_of_the_whole_text_as_one_block():
+    """What pieces select loses nothing: edited templates among other words, against all words as one block."""
+    rnd, scanner = random.Random(5), licenses.Scanner()
+    stock = sorted({w for t in scanner.texts for w in t})
+    for _ in range(60):
+        own = []
+        for _ in range(rnd.randint(1, 3)):
+            own += [rnd.choice(stock) if rnd.random() < 0.2 else f"z{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 30))]
+            ws = list(rnd.choice(scanner.texts))
+            for _ in range(rnd.randint(0, max(1, len(ws) // 6))):
+                k = rnd.randrange(len(ws))
+                ws[k : k + 1] = rnd.choice([[], ["q"], [ws[k], "q"]])
+            own += ws
+        text = " ".join(own)
+        whole = [(name, d) for _, _, name, _, d in scanner.stretches(licenses.words(text))]
+        assert [(h["license"], h["n_different"]) for h in scanner.scan(text)] == whole
+
+
+def test_license_report_of_clashing_columns(spark):
+    d = docs(spark, [(1, "Licensed under CC BY 4.0.")]).withColumns({"licenses": F.lit("mine"), "notice": F.lit(1)})
+    assert licenses.find_licenses(d).columns == [*(c for c in d.columns if c != "licenses"), "licenses"]
+    assert [r.license for r in licenses.license_report(d).collect()] == ["CC-BY-4.0"]
+
+
 def test_near_windows_lose_none():
     rnd = random.Random(3)
     for _ in range(300):

@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Candidate blocks are the words around trigger words, across lines. A block is
-compressed with each license template as a raw zstandard dictionary and templates
-are ranked by its size; each that has enough words in the block is confirmed by
-the words in which a stretch and the template differ. Confirmed stretches are cut
-out and the remainders ranked again until none is left.
+Candidate blocks are the words around a template's intact pieces: a stretch within
+the allowed number of word edits of a template keeps one of its edits + 1 pieces
+word by word, so an automaton over all pieces loses no notice. A block is compressed
+with each license template as a raw zstandard dictionary, which ranks templates by
+size; stretches are confirmed by the words in which they and a template differ.
+Confirmed stretches are cut out and the remainders ranked again until none is left.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ import re
 from array import array
 from bisect import bisect_right
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Openings that several wordings share.
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"),"
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,"
+_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,"
 #: Usual wordings of license notices, with the public SPDX names.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -46,15 +53,23 @@ TEMPLATES = [
     ("CC0-1.0", "Released under CC0 1.0 Universal, dedicated to the public domain."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
+    ("MIT", _GRANT + " to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS + " FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", _TERMS + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"),
+    ("BSD-3-Clause", _TERMS + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", _GPL + " either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", _GPL + " either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
-#: What a block must hold to be a candidate; in lower case.
-TRIGGERS = ("licens", "licenc", "spdx", "copyright", "all rights reserved", "free of charge", "redistribut", "public domain", "cc by", "cc0")
 #: The share of a template's words that may differ.
 MAX_DIFFERENCE = 0.15
 
-#: Triggers as they may be broken over lines and comment marks, and a word of each that its text must hold.
-_TRIGGER = re.compile("|".join(r"[\W_]+".join(map(re.escape, t.split())) for t in TRIGGERS), re.I)
-_HINTS = tuple(dict.fromkeys(max(t.split(), key=len) for t in TRIGGERS))
 _WORD = re.compile(r"[0-9a-z]+(?:[.\-+][0-9a-z]+)*", re.I)
 _HITS = T.ArrayType(
     T.StructType(
@@ -130,7 +145,7 @@ class Scanner:
         self.names = [name for name, _ in templates]
         self.texts = [words(text) for _, text in templates]
         self.vocabularies = [set(t) for t in self.texts]
-        self.reach = max(len(t) + int(MAX_DIFFERENCE * len(t)) for t in self.texts)
+        self.pieces = self._automaton()
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(
@@ -140,6 +155,20 @@ class Scanner:
             for t in self.texts
         ]
 
+    def _automaton(self):
+        """Each template cut in as many pieces as it may have edits, and one more: (template, first word of the piece)."""
+        pieces: dict[str, list[tuple[int, int]]] = {}
+        for k, t in enumerate(self.texts):
+            n = int(MAX_DIFFERENCE * len(t)) + 1
+            for i in range(n):
+                a, b = i * len(t) // n, (i + 1) * len(t) // n
+                pieces.setdefault(f" {' '.join(t[a:b])} ", []).append((k, a))
+        found = ahocorasick.Automaton()
+        for piece, at in pieces.items():
+            found.add_word(piece, (len(piece), at))
+        found.make_automaton()
+        return found
+
     def stretches(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
         """(first word, end word, license, reduction, differences) of the block's confirmed stretches, none of which overlap."""
         found, left = [], [(0, len(own))]
@@ -154,14 +183,14 @@ class Scanner:
         return sorted(found)
 
     def _confirmed(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
-        near = {k: n for k, t in enumerate(self.texts) if (n := near_windows(own, t, self.vocabularies[k]))}
-        if not near:
-            return []
         data = " ".join(own).encode()
-        sizes = {k: len(self.given[k].compress(data)) for k in near}
-        ranked = sorted((d / len(self.texts[k]), -len(self.texts[k]), sizes[k], k, j, i, d) for k, n in near.items() for d, i, j in n)
+        by_size = sorted(range(len(self.texts)), key=lambda k: (len(self.given[k].compress(data)), k))
+        ranked = []
+        for place, k in enumerate(by_size):
+            n = len(self.texts[k])
+            ranked += [(d / n, -n, place, k, j, i, d) for d, i, j in near_windows(own, self.texts[k], self.vocabularies[k])]
         taken, out = bytearray(len(own)), []
-        for _, _, _, k, j, i, d in ranked:
+        for _, _, _, k, j, i, d in sorted(ranked):
             if 1 in taken[i:j]:
                 continue
             taken[i:j] = b"\1" * (j - i)
@@ -170,31 +199,35 @@ class Scanner:
         return sorted(out)
 
     def scan(self, text: str) -> list[dict]:
-        low = text.lower()
-        if not any(t in low for t in _HINTS):
-            return []
-        hits = [m.start() for m in _TRIGGER.finditer(text)]
+        own = words(text)
+        line = f" {' '.join(own)} "
+        hits = [(end, size, at) for end, (size, at) in self.pieces.iter(line)]
         if not hits:
             return []
-        starts, ends = array("q"), array("q")
-        for m in _WORD.finditer(text):
-            starts.append(m.start())
-            ends.append(m.end())
+        starts = array("q", (m.start() for m in _WORD.finditer(text)))
+        ends = array("q", (m.end() for m in _WORD.finditer(text)))
         out = []
-        for first, last in self._blocks(starts, hits):
-            own = [text[starts[i] : ends[i]].lower() for i in range(first, last)]
-            for a, b, name, gain, differences in self.stretches(own):
+        for first, last in self._blocks(own, hits):
+            for a, b, name, gain, differences in self.stretches(own[first:last]):
                 out.append({"start": starts[first + a], "end": ends[first + b - 1], "license": name, "reduction": round(gain, 6), "n_different": differences})
         return out
 
-    def _blocks(self, starts, hits: list[int]) -> list[tuple[int, int]]:
-        """(first word, end word) of the windows around trigger words, as wide as the longest stretch on either side; those that overlap are one block."""
+    def _blocks(self, own: list[str], hits: list[tuple[int, int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
+        """(first word, end word) of where a stretch around each piece may reach; those that touch are one block."""
+        place = array("q", [0])  # of each word in the line
+        for w in own:
+            place.append(place[-1] + len(w) + 1)
+        spans = []
+        for end, size, at in hits:
+            i = bisect_right(place, end - size + 1) - 1
+            for k, offset in at:
+                n = len(self.texts[k])
+                most = int(MAX_DIFFERENCE * n)
+                spans.append((max(0, i - offset - most), min(len(own), i - offset + n + 2 * most)))
         out: list[tuple[int, int]] = []
-        for at in hits:
-            i = bisect_right(starts, at) - 1
-            a, b = max(0, i - self.reach), min(len(starts), i + self.reach + 1)
+        for a, b in sorted(spans):
             if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
                 out.append((a, b))
         return out
@@ -204,8 +237,9 @@ def find_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licenses``: start and end (code points), license, size reduction and differing words of each notice.
 
     Null and empty texts have none; a column ``licenses`` is replaced; repeated
-    rows are scanned alike; texts are scanned in blocks of words around trigger
-    words, so line breaks, white space and comment marks within a notice don't count.
+    rows are scanned alike; texts of any length are scanned whole, word by word, so
+    line breaks, white space and comment marks within a notice don't count. An empty
+    table gives no rows; of wordings that fit a stretch alike the longest is named.
     """
     from .common import append_columns
 
@@ -221,7 +255,10 @@ def find_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """One row per notice: doc_id, start, end, license, reduction, n_different, notice."""
+    """One row per notice: doc_id, start, end, license, reduction, n_different, notice.
+
+    Null and empty texts give none, repeated rows give theirs each time; other columns do not pass.
+    """
     found = find_licenses(docs.select("doc_id", "text")).where(F.size("licenses") > 0)
     return found.select("doc_id", "text", F.explode("licenses").alias("x")).select(
         "doc_id", "x.*", F.expr("substring(text, x.start + 1, x.end - x.start)").alias("notice")
