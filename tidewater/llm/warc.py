@@ -43,30 +43,29 @@ def write_warc(
     magic are percent-encoded in urls and ids, and so is ``%`` in ids, which
     ``read_warc`` decodes. Other columns are not written.
     """
-    size, sha = F.octet_length("payload").cast("long"), F.sha1(F.col("payload"))
     rows = records.select(
         records[id_col].cast("string").alias("id"),
         records[id_col].alias("rank"),
         F.coalesce(records[url_col], F.lit("")).alias("url"),
         F.coalesce(records[payload_col], F.lit("")).alias("payload"),
-    )
-    # numbered once: evaluated again, a shuffled input would number its rows otherwise
-    rows = materialize(rows.withColumns({"size": size, "sha": sha, "pos": F.monotonically_increasing_id()}), "payloads")
-    again = (
-        rows.where(F.col("size") >= revisit_min_bytes)
-        .groupBy("sha", "size")
-        .agg(F.count("*").alias("n"), F.max(F.struct(F.col("rank").isNotNull().alias("known"), "rank", "pos", "id")).alias("first"))
-        .where("n > 1")
-        .select(F.col("sha").alias("again"), F.col("size").alias("again_size"), F.col("first.pos").alias("first_pos"), F.col("first.id").alias("first_id"))
-    )
+    ).withColumns({"size": F.octet_length("payload").cast("long"), "sha": F.sha1(F.col("payload"))})
+    # rows are evaluated twice, so they are told apart by content: an order of evaluation would not be the same again
+    alike = rows.where(F.col("size") >= revisit_min_bytes).groupBy("sha", "size", "rank", "id", "url").agg(F.count("*").alias("n"))
+    first = F.max(F.struct(F.col("rank").isNotNull().alias("known"), "rank", "url", "id", "n"))
+    again = alike.groupBy("sha", "size").agg(F.sum("n").alias("n"), first.alias("first")).where("n > 1")
+    again = again.select(F.col("sha").alias("again"), F.col("size").alias("again_size"), F.col("first.rank").alias("first_rank"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.n").alias("times"))
     again = materialize(again, "groups")
     few = again.count() <= MAX_BROADCAST_GROUPS
-    if few:
-        joined = rows.join(F.broadcast(again), (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
-    else:  # narrow rows meet their group, payloads then only a table of positions
-        near = rows.select("sha", "size", "pos").join(again, (F.col("sha") == F.col("again")) & (F.col("size") == F.col("again_size")))
-        joined = rows.join(near.select("pos", "first_pos", "first_id"), "pos", "left")
-    revisit = F.col("first_pos").isNotNull() & (F.col("first_pos") != F.col("pos"))
+    joined = rows.join(F.broadcast(again) if few else again, (rows["sha"] == again["again"]) & (rows["size"] == again["again_size"]), "left")
+    chosen = F.col("rank").eqNullSafe(F.col("first_rank")) & (F.col("url") == F.col("first_url"))
+    joined = joined.withColumn("revisit", F.col("again").isNotNull() & ~F.coalesce(chosen, F.lit(False)))
+    if not again.where("times > 1").isEmpty():
+        # of rows that are equal in all that is written, one is the response
+        equal = ~F.col("revisit") & (F.coalesce("times", F.lit(0)) > 1)
+        one = joined.where(equal).groupBy("sha", "size").agg(*[F.first(c).alias(c) for c in joined.columns if c not in ("sha", "size")])
+        copies = one.withColumn("revisit", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: i > 1)))
+        joined = joined.where(~equal).unionByName(copies)
+    revisit = F.col("revisit")
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), _one_line(F.replace(F.coalesce(c, F.lit("")), F.lit("%"), F.lit("%25"))), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{_CRLF}{name}: "), value)
