@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Pages of a block, a stretch of neighbouring pages, and most block boundaries that the driver holds (blocks grow beyond).
-BLOCK_PAGES, MAX_BLOCKS = 1000, 50_000
+BLOCK_PAGES, MAX_BLOCKS = 500, 50_000
+#: Blocks of a task, on average.
+TASK_BLOCKS = 4
 
 MAIN, OPEN = 1, 2
 
@@ -313,4 +315,4 @@ def extract(pages: DataFrame, *, blocks: int | None = None) -> DataFrame:
         yield batch_of(out)
 
     placed = pages.mapInArrow(parse, schema)
-    return placed.repartition("block").sortWithinPartitions("block", "host", "path", "id").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return placed.repartition(len(cuts) // TASK_BLOCKS + 1, "block").sortWithinPartitions("block", "host", "path", "id").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
