@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -290,6 +291,30 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_pairs(d.limit(0)).count() == 0
 
 
+def test_fingerprint_pairs_equal_brute_force(spark):
+    import unicodedata
+
+    def canonical(t):
+        return re.sub(r"[\s\x85\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())).strip(" ")
+
+    texts = ["Straße  ﬁne", "STRASSE fine", "strasse\u00a0fine ", "é", "É", None, "", "same same", "same same", "x" * 200_000, "ab", "AB", "aBc d", "Ⅷ viii"]
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_pairs(docs(spark, rows).repartition(3)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    whole = {}
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        whole[i] = (t, t[: len(t) - half] + following[:half], following)
+    forms = {}
+    for i, (t, changed, following) in whole.items():
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (float(canonical(t) == canonical(changed)), float(canonical(t) == canonical(following)))
+        assert forms.setdefault(canonical(t), r.fingerprint) == r.fingerprint and forms.setdefault(canonical(changed), r.edited_fingerprint) == r.edited_fingerprint
+    assert len(set(forms.values())) == len(forms)
+
+
 def test_bytes_are_compared_in_equal_buckets(spark):
     forms = spark.createDataFrame([("h", "a"), ("h", "b"), ("k", "c "), ("k", "C")], "hash string, form string")
     shared = spark.createDataFrame([("h",), ("k",)], "hash string")

@@ -103,12 +103,15 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """The rows op5 asks for, with fingerprints of each text and its edited text.
 
     Null texts are empty; empty texts share one fingerprint; likeness is 1 for
-    equal fingerprints and 0 otherwise, as for any exact digest.
+    equal fingerprints and 0 otherwise, as for any exact digest. Ids are numbers;
+    null ids come last, rows of equal id are ordered by their text, so repeated rows
+    follow each other; texts may be of any length; other columns do not pass; an
+    empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.withColumn("hash", wide_hash(canonical(F.col("text"))))
     pairs = with_next(hashed, "hash").withColumn("changed", edited(F.col("text"), F.col("next_text")))
-    narrow = materialize(
+    wide = materialize(
         pairs.select(
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
@@ -116,14 +119,19 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
             "hash",
             "next_hash",
             wide_hash(canonical(F.col("changed"))).alias("edited_hash"),
+            "changed",
         ),
         "digests",
     )
-    shared = narrow.select(F.explode(F.array("hash", "edited_hash")).alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
-    forms = pairs.select(
-        F.explode(F.array(F.struct("hash", F.col("text").alias("form")), F.struct(wide_hash(canonical(F.col("changed"))).alias("hash"), F.col("changed").alias("form")))).alias("x")
-    ).select("x.hash", "x.form")
-    unlike = different_forms(forms, materialize(shared, "hashes"))
+    narrow = wide.drop("changed")
+    shared = materialize(narrow.select(F.explode(F.array("hash", "edited_hash")).alias("hash")).groupBy("hash").count().where("count > 1").select("hash"), "hashes")
+    # only texts whose hash another has are made canonical again, to compare their bytes
+    few = shared.count() <= MAX_BROADCAST_HASHES
+    ids = materialize(narrow.join(F.broadcast(shared) if few else shared, "hash", "left_semi").select(F.col("doc_id").alias("__id")).distinct(), "ids")
+    listed = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_HASHES else ids
+    again = rows.join(listed, rows["doc_id"].eqNullSafe(listed["__id"]), "left_semi")
+    forms = again.select(wide_hash(canonical(F.col("text"))).alias("hash"), F.col("text").alias("form"))
+    unlike = different_forms(forms.unionByName(wide.select(F.col("edited_hash").alias("hash"), F.col("changed").alias("form"))), shared)
     if unlike.isEmpty():
         name = {c: F.col(c) for c in ("hash", "next_hash", "edited_hash")}
     else:  # a collision of the 128 bits: the digest of the form tells its texts apart
