@@ -629,3 +629,14 @@ def test_pipeline_of_awkward_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, sf)
     assert out.count() == 8
+
+
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    from tidewater.llm import common
+
+    rows = [(i, f"a b c d e f g {i % 3}") for i in range(12)]
+    before = len(common.WRITTEN)
+    assert ngram_join.near_classes(docs(spark, rows)).count() == 12
+    assert len(common.WRITTEN) == before + 2 and all(Path(p).exists() for p in common.WRITTEN[before:])

@@ -26,9 +26,11 @@ def word_list(text: bytes) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where no cluster names one (tests)."""
+    """The folder all executors share; a temporary one only where there is no cluster (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -38,6 +40,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidewater/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``materialize`` has written and nothing has discarded yet.
+WRITTEN: list[str] = []
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -57,7 +62,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what ``materialize`` has written since there were ``since`` folders, but for the tables to keep.
+
+    Only tables that nothing reads any more may go: what was made of them is written itself.
+    """
+    kept = {getattr(df, "_written_to", None) for df in keep}
+    gone = [p for p in WRITTEN[since:] if p not in kept]
+    WRITTEN[since:] = [p for p in WRITTEN[since:] if p in kept]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_memory() -> None:

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, materialize, numbered, word_list
+from .common import WRITTEN, append_columns, as_bytes, discard, materialize, numbered, word_list
 
-#: Most bytes of test items in one automaton; larger benchmarks take several passes.
-MAX_AUTOMATON_BYTES = 16 << 20
+#: Most bytes of test items in one automaton; larger benchmarks take several passes. Two MiB of items of 30,000 different
+#: words make about 345,000 states, 205 MB in the driver and in each Python worker.
+MAX_AUTOMATON_BYTES = 2 << 20
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -172,7 +173,7 @@ def find_hits(
     ).where("body is not null")
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     passes = max(1, -(-total // max_automaton_bytes))
-    out = docs
+    out, before = docs, len(WRITTEN)
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k)
         rows = sorted((r.item, r.body.encode("utf-8", "surrogatepass")) for r in part.toLocalIterator())
@@ -201,8 +202,9 @@ def find_hits(
             return work
 
         out = append_columns(out, [text_col] + (["hit_spans", "hit_items"] if k else []), _FIELDS, make)
-        if passes > 1:
-            out = materialize(out, "hits")  # one automaton in memory at a time
+        if passes > 1:  # one automaton in memory at a time, one copy of the documents on disk
+            out = materialize(out, "hits")
+            discard(docs.sparkSession, before, out)
     return out
 
 
@@ -228,7 +230,9 @@ def decontaminate(
 ) -> DataFrame:
     """Drop documents over the coverage limit; with ``max_span`` also cut longer hit spans out of the others.
 
-    Columns of ``docs`` are kept as they are. Rows without hits are unchanged.
+    Columns of ``docs`` are kept as they are, whatever their names. Rows without hits,
+    null and empty texts among them, are unchanged; repeated rows are judged alike;
+    an empty benchmark drops nothing, an empty table gives no rows.
     """
     inner, text, restored = numbered(docs, text_col)
     found = find_hits(inner, benchmark, text_col=text, **options).where(~is_contaminated(coverage))
@@ -254,7 +258,11 @@ def decontaminate(
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: what the contract of op3 asks for."""
+    """One row per document: what the contract of op3 asks for.
+
+    Null and empty texts have no words and no hits; repeated rows get a row each;
+    texts may be of any length; other columns do not pass; no documents give no rows.
+    """
     found = find_hits(docs.select("doc_id", "text"), benchmark)
     return found.select(
         "doc_id",

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, release_memory, word_list
+from .common import WRITTEN, bound_batches, discard, materialize, release_memory, word_list
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 #: Sets of a bucket that are compared with each other; larger buckets are split.
@@ -413,6 +413,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are aggregated before they shuffle and looked up without dealing the
     edges of a hub to one task.
     """
+    spark, before = edges.sparkSession, len(WRITTEN)
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     facts = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     mark = facts(now)
@@ -433,8 +434,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of them
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         now = materialize(beside(large).select(F.explode(ends).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "cc")
-        before, mark = mark, facts(now)
-        if mark == before:
+        last, mark = mark, facts(now)
+        discard(spark, before, now)
+        if mark == last:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -614,7 +616,8 @@ def _large_components(members: DataFrame, docs: DataFrame, id_col: str, text_col
 
 def _classed(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, recall: float, words: int, limit: int) -> DataFrame:
     """(doc_id, key, n, keeper, n_links) per document: hash of its text, tokens, (id, key) of the document that stands for its component."""
-    bound_batches(docs.sparkSession)
+    spark, before = docs.sparkSession, len(WRITTEN)
+    bound_batches(spark)
     sets = materialize(describe(docs, id_col=id_col, text_col=text_col, threshold=threshold, recall=recall, words=words), "sets")
     firsts = [F.first(c).alias(c) for c in ("n", "sketch", "buckets")]
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")  # ids first, by size
@@ -645,6 +648,7 @@ def _classed(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, r
     table = materialize(
         table.select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"), (F.coalesce("others", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.col("n_docs").alias("n")), "table"
     )
+    discard(spark, before, sets, table)
     found = _lookup(sets.select("doc_id", "key", "h1", "h2", F.col("n").alias("n_tokens")), table, ["h1", "h2"], table.count())
     alone = sets.select("doc_id", "key", "h1", "h2", F.col("n").alias("n_tokens"))
     few = table.count() <= MAX_BROADCAST_MEMBERS

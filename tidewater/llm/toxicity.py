@@ -186,7 +186,7 @@ def train(
     ys = [f"__y{i}" for i in range(len(categories))]
     labelled = materialize(
         docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
-        .join(F.broadcast(marks), "__id")
+        .join(F.broadcast(marks) if marks.count() <= 10 * max_rows else marks, "__id")
         .select("__text", *ys, F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).alias("fold")),
         "labelled",
     )
@@ -238,13 +238,18 @@ LIMIT = 0.3
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic (probability of at least ``LIMIT``) of every document."""
+    """doc_id, p_low_quality, p_toxic and toxic (probability of at least ``LIMIT``) of every document.
+
+    Null, empty and wordless texts have no words and are judged by the bias alone;
+    repeated rows are judged alike and get a row each; words that tie are chosen in
+    byte order; without labels nothing is toxic; other columns do not pass.
+    """
     chain = train(docs, labels, categories=CATEGORIES)
     return score(docs.select("doc_id", "text"), chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= LIMIT).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents judged toxic."""
+    """``docs``, all columns whatever their names, without the documents judged toxic (see ``toxicity_report``)."""
     chain = train(docs, labels, categories=CATEGORIES)
     inner, text, restored = numbered(docs, "text")
     return restored(score(inner, chain, text_col=text).where(F.col("p_toxic") < LIMIT))
