@@ -152,12 +152,90 @@ def join_streamed(parts: Column) -> Column:
 
 
 def keep_separators(c: Column, words: list[str]) -> Column:
-    """Split before and after each keyword, which stays as a part."""
-    w = "|".join(words)
+    """Split before and after each keyword, which stays as a part; empty parts go."""
+    w = "|".join(rf"\Q{x}\E" for x in words)
     return F.filter(F.split(c, rf"(?={w})|(?<={w})"), lambda x: F.length(x) > 0)
 
 
-# prompts
+def yes_no_or_lettered(options: Column) -> Column:
+    """Yes and No in the order of their lower-case forms, if these are the two options; else options with letters."""
+    pair = (F.size(options) == 2) & F.array_contains(options, "yes") & F.array_contains(options, "no")
+    ordered = F.when(F.lower(F.element_at(options, 1)) == "no", F.array(F.lit("No"), F.lit("Yes"))).otherwise(F.array(F.lit("Yes"), F.lit("No")))
+    return F.when(pair, ordered).otherwise(add_option_prefix(options))
+
+
+def yes_no_or_letter(options: Column, k: Column) -> Column:
+    """The right answer to ``yes_no_or_lettered`` options: the option itself, or its letter."""
+    pair = (F.size(options) == 2) & F.array_contains(options, "yes") & F.array_contains(options, "no")
+    return F.when(pair, F.get(yes_no_or_lettered(options), k)).otherwise(F.char(F.lit(65) + k))
+
+
+def parsed_object(c: Column, schema: str) -> Column:
+    """JSON, else a Python literal, else an empty object."""
+    whole = lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema))
+    return F.coalesce(whole(c), whole(literal_to_json(c)), F.from_json(F.lit("{}"), schema))
+
+
+#: Wordings of the questions that depend on their task; {} is the step, question or activity.
+TASK_QUESTIONS = {
+    "SSR": """You're watching a tutorial video which contain a sequential of steps.
+The following is one step from the whole procedures:
+{}
+Your task is to decide: Is the man/woman in the video currently carrying out this step?
+Return "Yes" if the man/woman in the video is currently performing this step;
+Return "No" if not.""",
+    "CRR": """You're responsible of answering questions based on the video content.
+The following question are relevant to the latest frames, i.e. the end of the video.
+{}
+Decide whether existing visual content, especially latest frames, i.e. frames that near the end of the video, provide enough information for answering the question.
+Answer only with “Yes” or “No”.
+Do not include any additional text or explanation in your response.""",
+    "REC": """You're watching a video in which people may perform a certain type of action repetively.
+The person performing this kind of action are referred to as 'they' in the following statement.
+You're task is to count how many times have different people in the video perform this kind of action in total.
+One complete motion counts as one. 
+Now, answer the following question: {}
+Provide your answer as a single number (e.g., 0, 1, 2, 3…) indicating the total count.
+Do not include any additional text or explanation in your response.""",
+}
+
+
+def task_question(task: Column, subject: Column) -> Column:
+    """The question that a task asks about a subject; other tasks ask the subject itself."""
+    out = subject
+    for name, wording in TASK_QUESTIONS.items():
+        before, after = wording.split("{}")
+        out = F.when(task == name, F.concat(F.lit(before), subject, F.lit(after))).otherwise(out)
+    return out
+
+
+def task_answer(task: Column, kind: Column, count: Column, options: Column, k: Column) -> Column:
+    """Yes or No by ``kind`` for SSR and CRR, the count for REC, else the option at ``k``."""
+    return F.when(task.isin("SSR", "CRR"), F.when(kind == 1, "Yes").otherwise("No")).when(task == "REC", count.cast("string")).otherwise(F.get(options, k))
+
+
+def flattened(schema, sep: str = "/", prefix: str = "", path: Column | None = None) -> list[Column]:
+    """Leaf columns of nested structs, named by their path."""
+    from pyspark.sql import types as T
+
+    out = []
+    for f in schema.fields:
+        if sep in f.name:
+            raise ValueError(f"separator {sep!r} in the name {f.name!r}")
+        c = F.col(f"`{f.name}`") if path is None else path[f.name]
+        if isinstance(f.dataType, T.StructType):
+            out += flattened(f.dataType, sep, f"{prefix}{f.name}{sep}", c)
+        else:
+            out.append(c.alias(prefix + f.name))
+    return out
+
+
+def scalars(c: Column) -> Column:
+    """The element of a one-element array; null for others."""
+    return F.when(F.size(c) == 1, F.element_at(c, 1))
+
+
+# prompts; the wordings in these builders are fixed values
 
 
 def prompt_default(question: Column, choices: Column) -> Column:

@@ -37,6 +37,15 @@ def shift_window(start: Column, end: Column, total: Column, place: str) -> Colum
     return room * {"head": 0.0, "q25": 0.25, "mid": 0.5, "q75": 0.75, "tail": 1.0}[place]
 
 
+def moved_window(length: Column, total: Column, share: float) -> Column:
+    """New start of a window of ``length``: centred at a share of the total, at the start for 0 and at the end for 1; within the total."""
+    room = F.greatest(total - length, F.lit(0.0))
+    if share <= 0:
+        return F.lit(0.0)
+    wanted = total - length if share >= 1 else share * total - 0.5 * length
+    return F.greatest(F.least(wanted, room), F.lit(0.0))
+
+
 def frame_of(t: Column, fps: float, default: Column) -> Column:
     return F.coalesce((t * fps).cast("int"), default)
 
@@ -59,3 +68,15 @@ def moved_position(i: Column, start: Column, end: Column, target: Column) -> Col
     goal = F.when(target > start, F.greatest(target - size, F.lit(0))).otherwise(target)
     rest = F.when(i >= end, i - size).otherwise(i)
     return F.when((i >= start) & (i < end), goal + i - start).otherwise(F.when(rest >= goal, rest + size).otherwise(rest))
+
+
+def smart_count(total: Column, rate: Column, fps: float, least: int = 4, most: int = 768, factor: int = 2) -> Column:
+    """Frames to take of ``total`` at ``rate`` per unit of time for ``fps`` per unit: an even number within bounds, at most the total."""
+    wanted = F.least(F.greatest(total / rate * fps, F.lit(float(least))), F.lit(float(most)), total.cast("double"))
+    return (F.floor(wanted / factor) * factor).cast("int")
+
+
+def linear_positions(n: Column, k: Column) -> Column:
+    """k positions from 0 to n - 1 at equal steps, rounded half to even; k may exceed n."""
+    step = F.when(k > 1, (n - 1).cast("double") / (k - 1)).otherwise(0.0)
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.rint(i * step).cast("int"))

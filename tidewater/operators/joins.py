@@ -44,8 +44,10 @@ def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def run_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys that are right in ``a`` and wrong in ``b``."""
+def run_diff(a: DataFrame, b: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Keys that are right in ``a`` and wrong in ``b``; of rows with the same key the last by ``order`` counts, if it is given."""
+    if order:
+        a, b = (df.groupBy(key).agg(F.max_by("correct", order).alias("correct")) for df in (a, b))
     return a.select(key, F.col("correct").alias("__a")).join(b.select(key, F.col("correct").alias("__b")), key).where("__a = 1 and __b = 0").select(key)
 
 
@@ -55,32 +57,42 @@ def greedy_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, righ
     return n(left, left_id).join(n(right, right_id), [key, "__n"]).drop("__n")
 
 
+def _iou(a, b) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(0.0, w) * max(0.0, h)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    return inter / union if union > 0 else 0.0
+
+
 def track_boxes(boxes: DataFrame, key: str, *, threshold: float = 0.7, least: int = 2) -> DataFrame:
-    """Boxes (key, frame, x1, y1, x2, y2) to tracks by IoU with each track's last box; the best pair wins, short tracks go. A fold per key."""
+    """Boxes (key, frame, x1, y1, x2, y2) to tracks, those of a frame in the order of x1 and y1; short tracks go.
 
-    def iou(a, b):
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        inter = max(0.0, w) * max(0.0, h)
-        area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
-        union = area(a) + area(b) - inter
-        return inter / union if union > 0 else 0.0
+    Each box goes to the live track whose last box it overlaps most, if by more than
+    ``threshold``, else it opens a track. Of boxes that go to the same track the one
+    that overlaps most stays and the others are gone. Tracks without a box in a
+    frame end, and all end at a frame number without boxes. A fold per key.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracks: list[list[tuple]] = []
-        last: list[list[tuple]] = []  # tracks with a box in the frame before
+        live: list[list[tuple]] = []
+        before = None
         for frame, rows in pdf.sort_values(["frame", "x1", "y1"]).groupby("frame"):
             new = [(int(frame), float(r.x1), float(r.y1), float(r.x2), float(r.y2)) for r in rows.itertuples()]
-            live = [t for t in last if t[-1][0] == frame - 1]
-            ranked = sorted(((-iou(t[-1][1:], b[1:]), i, j) for i, t in enumerate(live) for j, b in enumerate(new)))
-            used, taken = set(), set()
-            for s, i, j in ranked:
-                if -s >= threshold and i not in used and j not in taken:
-                    live[i].append(new[j])
-                    used.add(i)
-                    taken.add(j)
-            fresh = [[b] for j, b in enumerate(new) if j not in taken]
-            tracks += fresh
-            last = [live[i] for i in sorted(used)] + fresh
+            old = live if before == frame - 1 else []
+            taken: dict[int, tuple[float, tuple]] = {}
+            opened = []
+            for b in new:
+                s, i = max(((_iou(t[-1][1:], b[1:]), -i) for i, t in enumerate(old)), default=(0.0, 0))
+                if s > threshold:
+                    if -i not in taken or s > taken[-i][0]:
+                        taken[-i] = (s, b)
+                else:
+                    opened.append([b])
+            for i, (_, b) in taken.items():
+                old[i].append(b)
+            tracks += opened
+            live, before = [old[i] for i in taken] + opened, frame
         out = [(pdf[key].iloc[0], k, *b) for k, t in enumerate(x for x in tracks if len(x) >= least) for b in t]
         return pd.DataFrame(out, columns=[key, "track", "frame", "x1", "y1", "x2", "y2"])
 
@@ -96,12 +108,73 @@ def suppress_overlaps(boxes: DataFrame, key: str, threshold: float = 0.5) -> Dat
         for r in pdf.sort_values(["score", "x1"], ascending=[False, True]).itertuples():
             ok = True
             for o in kept:
-                w, h = min(r.x2, o.x2) - max(r.x1, o.x1), min(r.y2, o.y2) - max(r.y1, o.y1)
-                inter = max(0.0, w) * max(0.0, h)
-                union = (r.x2 - r.x1) * (r.y2 - r.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - inter
-                ok &= not union > 0 or inter / union <= threshold
+                ok &= _iou((r.x1, r.y1, r.x2, r.y2), (o.x1, o.y1, o.x2, o.y2)) <= threshold
             if ok:
                 kept.append(r)
         return pd.DataFrame(kept, columns=["Index", *pdf.columns]).drop(columns="Index")
 
     return boxes.groupBy(key).applyInPandas(run, boxes.schema)
+
+
+def keyed_lookup(left: DataFrame, right: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """``left`` with the ``value`` of its key; of rows with the same key the last by ``order`` counts, and an empty value there is an error."""
+    last = right.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+    checked = F.when(F.length(value) > 0, F.col(value)).otherwise(F.raise_error(F.concat(F.lit("empty record for "), F.concat_ws(", ", *keys))))
+    return left.join(last.withColumn(value, checked), keys)
+
+
+def consuming_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
+    """Each prediction's truth by the first key that finds one; used truths are not found again by the keys that look for unused ones.
+
+    preds: pos, task, source, idx, video, q, a; truths: pos, task, source, idx, video, q.
+    Keys in order: (task, source, idx) unused; (video, q); (base name, q); an unused
+    truth of the base name whose question starts the prediction's; the first unused
+    truth of the base name. Predictions without a truth are left out. Returns task,
+    source, idx, a and pos. A fold per base name, in the order of pos; a prediction
+    whose triplet names a truth of another video belongs to that video's fold.
+    """
+    base = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"(?<=.)\.[^.]*$", "")
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    triplet = ["task", "source", "idx"]
+    t = truths.select("pos", *triplet, "video", norm(F.col("q")).alias("q"), base(F.col("video")).alias("base"))
+    homes = t.groupBy(*triplet).agg(F.max_by("base", "pos").alias("home"))
+    p = preds.withColumns({"q": norm(F.col("q")), "base": base(F.col("video"))}).join(homes, triplet, "left").withColumn("group", F.coalesce("home", "base"))
+    schema = "group string, pos long, task string, source string, idx long, video string, q string, base string"
+
+    def run(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("pos")
+        rows = list(known.itertuples(index=False))
+        name = lambda r: (r.task, r.source, r.idx)
+        by_triplet, by_video, by_base, of_base = {}, {}, {}, {}
+        for r in rows:
+            by_triplet[name(r)] = by_video[r.video, r.q] = by_base[r.base, r.q] = r
+            of_base.setdefault(r.base, []).append(r)
+        used, out = set(), []
+        for p in own.sort_values("pos").itertuples(index=False):
+            found = by_triplet.get(name(p)) if name(p) not in used else None
+            found = found or by_video.get((p.video, p.q)) or by_base.get((p.base, p.q))
+            if found is None:
+                free = [r for r in of_base.get(p.base, []) if name(r) not in used]
+                found = next((r for r in free if r.q and p.q.startswith(r.q)), free[0] if free else None)
+            if found is not None:
+                used.add(name(found))
+                out.append((*name(found), p.a, p.pos))
+        return pd.DataFrame(out, columns=[*triplet, "a", "pos"])
+
+    kinds = {c.split()[0]: c.split()[1] for c in schema.split(", ")}
+    typed = lambda df: [F.col(c).cast(k).alias(c) for c, k in kinds.items() if c in df.columns]
+    t = t.withColumn("group", F.col("base"))
+    return p.select(*typed(p), "a").groupBy("group").cogroup(t.select(*typed(t)).groupBy("group")).applyInPandas(run, "task string, source string, idx long, a string, pos long")
+
+
+def words_per_tick(words: DataFrame, keys: list[str], order: str, end: str, step: float) -> DataFrame:
+    """``words`` with the tick at which a pointer that stops at the first word not over yet passes them: that of the latest end so far."""
+    reached = F.max(end).over(W.partitionBy(*keys).orderBy(order))
+    return words.withColumn("tick", F.ceil(reached / step) * step)
+
+
+def covering(points: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], at: str, ident: str, width: float) -> DataFrame:
+    """``points`` with ``cover``: 'query' inside an interval (start, end) of ``first``, else 'response' inside one of ``second``, else null."""
+    hit = lambda spans, name: stab(points.select(*keys, ident, at), spans, keys, at, "start", "end", width).select(ident).distinct().withColumn(name, F.lit(True))
+    both = points.join(hit(first, "__q"), ident, "left").join(hit(second, "__r"), ident, "left")
+    return both.withColumn("cover", F.when(F.col("__q"), "query").when(F.col("__r"), "response")).drop("__q", "__r")

@@ -96,3 +96,57 @@ def adaptive_bins(df: DataFrame, key: str, position: Column) -> DataFrame:
     bins = F.when(n >= 100, 10).when(n >= 20, 5).otherwise(1)
     placed = df.select(key, bins.alias("bins"), position.alias("at")).withColumn("bin", F.least(F.floor(F.col("at") * F.col("bins")), F.col("bins") - 1))
     return placed.groupBy(key, "bins", "bin").agg(F.count("*").alias("n")).withColumn("density", F.col("n") * F.col("bins").cast("double"))
+
+
+def require_complete(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The groups, each of which must hold n rows; another number is an error."""
+    c = F.count("*")
+    return df.groupBy(key).agg(F.when(c == n, c).otherwise(F.raise_error(F.concat(F.lit("group of "), c.cast("string"), F.lit(" rows")))).alias("n"))
+
+
+def softmax_states(df: DataFrame, keys: list[str], score: Column, value: Column) -> DataFrame:
+    """A mergeable state (m, l, o) per group: greatest score, sum of weights and of weighted values, relative to it. One pass per group."""
+    pairs = df.select(*keys, score.cast("double").alias("__s"), value.cast("double").alias("__v"))
+    top = F.max("__s").over(W.partitionBy(*keys))
+    w = F.exp(F.col("__s") - F.col("m"))
+    return pairs.withColumn("m", top).groupBy(*keys, "m").agg(F.sum(w).alias("l"), F.sum(w * F.col("__v")).alias("o"))
+
+
+def merge_softmax(states: DataFrame, key: str) -> DataFrame:
+    """Weighted mean per key of states of any parts, folded in pairs: each is rescaled to the greater maximum."""
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("l"), F.lit(0.0).alias("o"))
+
+    def join(a, x):
+        m = F.greatest(a["m"], x["m"])
+        wa, wx = F.exp(a["m"] - m), F.exp(x["m"] - m)
+        return F.struct(m.alias("m"), (a["l"] * wa + x["l"] * wx).alias("l"), (a["o"] * wa + x["o"] * wx).alias("o"))
+
+    parts = F.sort_array(F.collect_list(F.struct("m", "l", "o")))
+    return states.groupBy(key).agg(F.aggregate(parts, start, join, lambda a: a["o"] / a["l"]).alias("weighted"))
+
+
+def even_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Counts in bins of equal width from the least to the greatest value."""
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / float(bins), F.lit(1e-9))
+    placed = df.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)))  # one row of ends
+    return placed.groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def response_density(df: DataFrame, key: str, at: str) -> DataFrame:
+    """Responses per unit of time in ten segments of each key's span, averaged over segments.
+
+    Keys of over 10 responses have ten segments, those of over 5 have five, each of
+    which stands for two; keys of fewer are left out. The sum is divided by the
+    number of the keys' own segments. Returns bin and density.
+    """
+    w = W.partitionBy(key)
+    span = df.select(key, F.col(at).alias("t"), F.count("*").over(w).alias("n"), F.min(at).over(w).alias("a"), F.max(at).over(w).alias("b")).where("n > 5")
+    bins = F.when(F.col("n") > 10, 10).otherwise(5)
+    span = span.withColumn("bins", bins).withColumn("width", F.greatest(F.col("b") - F.col("a"), F.lit(1.0)) / F.col("bins"))
+    own = span.withColumn("bin", F.least(((F.col("t") - F.col("a")) / F.col("width")).cast("int"), F.col("bins") - 1))
+    rate = own.groupBy(key, "bins", "width", "bin").agg((F.count("*") / F.first("width")).alias("rate"))
+    total = span.select(key, "bins").distinct().agg(F.sum("bins").alias("segments"))
+    each = F.when(F.col("bins") == 10, F.array("bin")).otherwise(F.array(F.col("bin") * 2, F.col("bin") * 2 + 1))
+    sums = rate.select(F.explode(each).alias("bin"), "rate").groupBy("bin").agg(F.sum("rate").alias("rate"))
+    return sums.crossJoin(F.broadcast(total)).select("bin", (F.col("rate") / F.col("segments")).alias("density"))  # one row

@@ -36,7 +36,7 @@ def history_zscore(df: DataFrame, key: str, order: list[str], value: str, size:
 
 
 def preference_loss(chosen: Column, rejected: Column, beta: float, kind: str) -> Column:
-    """sigmoid, hinge or ipo loss of the log-ratio difference."""
+    """sigmoid, hinge or ipo loss of the log-ratio difference; for kto see ``kto_losses``."""
     d = chosen - rejected
     if kind == "sigmoid":
         return F.log1p(F.exp(-F.abs(beta * d))) + F.greatest(F.lit(0.0), -beta * d)
@@ -46,7 +46,7 @@ def preference_loss(chosen: Column, rejected: Column, beta: float, kind: str) ->
 
 
 def kl_penalty(lp: Column, ref: Column, kind: str) -> Column:
-    d = lp - ref
+    d = lp - ref  # of whole distributions for "full", see ``full_kl``
     return {"kl": d, "abs": F.abs(d), "mse": 0.5 * d * d}[kind]
 
 
@@ -63,3 +63,50 @@ def pool_grid(df: DataFrame, keys: list[str], x: str, y: str, value: str, side:
 def merge_moments(df: DataFrame, key: str, value: str) -> DataFrame:
     """Running mean and spread of a key; partial moments merge in any order."""
     return df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
+
+
+def full_kl(lp: Column, ref: Column) -> Column:
+    """Divergence of two arrays of log probabilities: the sum of p (log p - log r)."""
+    return F.aggregate(F.zip_with(lp, ref, lambda p, r: F.exp(p) * (p - r)), F.lit(0.0), lambda a, x: a + x)
+
+
+def token_rewards(df: DataFrame, key: str, order: str, kl: str, mask: str, score: str, beta: float) -> DataFrame:
+    """``df`` with ``reward``: -beta times the KL value, and the score on the last unmasked token of each key."""
+    last = F.max(F.when(F.col(mask), F.col(order))).over(W.partitionBy(key))
+    return df.withColumn("reward", -beta * F.col(kl) + F.when(F.col(order) == last, F.col(score)).otherwise(0.0))
+
+
+def kto_losses(df: DataFrame, beta: float) -> DataFrame:
+    """``df`` (policy_chosen, policy_rejected, ref_chosen, ref_rejected) with the losses of both halves; each half's divergence is the other's mean, at least 0."""
+    chosen, rejected = F.col("policy_chosen") - F.col("ref_chosen"), F.col("policy_rejected") - F.col("ref_rejected")
+    means = df.agg(F.greatest(F.avg(chosen), F.lit(0.0)).alias("__c"), F.greatest(F.avg(rejected), F.lit(0.0)).alias("__r"))
+    sigmoid = lambda x: 1 / (1 + F.exp(-x))
+    both = df.crossJoin(F.broadcast(means))  # one row
+    return both.withColumns({"loss_chosen": 1 - sigmoid(beta * (chosen - F.col("__r"))), "loss_rejected": 1 - sigmoid(beta * (F.col("__c") - rejected))}).drop("__c", "__r")
+
+
+def top_k_nucleus(df: DataFrame, keys: list[str], weight: str, tie: str, k: int, mass: float) -> DataFrame:
+    """The k heaviest rows per key, of which the fewest whose share of their sum reaches ``mass``."""
+    order = W.partitionBy(*keys).orderBy(F.desc(weight), tie)
+    top = df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+    return nucleus(top.withColumn("__p", F.col(weight) / F.sum(weight).over(W.partitionBy(*keys))), keys, "__p", tie, mass).drop("__p")
+
+
+def moment_states(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mergeable state per group: n, mean and sum of squared deviations."""
+    x = F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)).alias("m2"))
+
+
+def merge_moment_states(states: DataFrame, key: str) -> DataFrame:
+    """n, mean and unbiased variance per key from the states of its parts (Chan's update), folded in pairs."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def join(a, x):
+        n, d = a["n"] + x["n"], x["mean"] - a["mean"]
+        share = F.try_divide(x["n"].cast("double"), n)
+        return F.struct(n.alias("n"), F.coalesce(a["mean"] + d * share, a["mean"]).alias("mean"), F.coalesce(a["m2"] + x["m2"] + d * d * a["n"] * share, a["m2"]).alias("m2"))
+
+    parts = F.sort_array(F.collect_list(F.struct("n", "mean", "m2")))
+    folded = states.groupBy(key).agg(F.aggregate(parts, start, join).alias("s"))
+    return folded.select(key, F.col("s.n").alias("n"), F.col("s.mean").alias("mean"), F.try_divide(F.col("s.m2"), F.col("s.n") - 1).alias("var"))

@@ -104,3 +104,36 @@ def window_overlap(windows: DataFrame, seconds: DataFrame, keys: list[str]) -> D
     return out.withColumns({"recall": recall, "precision": precision}).withColumn(
         "f1", F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0))
     )
+
+
+def recent_quota(p: Column, size: int, least: float = 0.1, most: float = 0.9) -> Column:
+    """How many of ``size`` hits are the most recent ones, at probability ``p`` that the present is asked for; rounded half to even."""
+    low, high = round(least * size), round(most * size)
+    return F.least(F.greatest(F.rint(p * size), F.lit(low)), F.lit(high)).cast("int")
+
+
+def recent_and_past(ranked: DataFrame, quota: DataFrame, key: str, size: int) -> DataFrame:
+    """ranked: key, vec_id, score; quota: key, k_recent. The k_recent latest blocks of each key and, of the others, the size - k_recent best."""
+    late = F.row_number().over(W.partitionBy(key).orderBy(F.desc("vec_id")))
+    marked = ranked.join(quota, key).withColumn("recent", late <= F.col("k_recent"))
+    best = F.row_number().over(W.partitionBy(key, "recent").orderBy(F.desc("score"), "vec_id"))
+    return marked.withColumn("best", best).where(F.col("recent") | (F.col("best") <= size - F.col("k_recent"))).select(key, "vec_id")
+
+
+def backfilled(hits: DataFrame, blocks: DataFrame, key: str, size: int) -> DataFrame:
+    """hits: key, pos; blocks: key, pos (from 0). Hits, and where there are fewer than ``size`` the latest size - n positions, each once."""
+    n = blocks.groupBy(key).agg(F.count("*").alias("total")).join(hits.groupBy(key).agg(F.count("*").alias("n")), key, "left")
+    late = blocks.join(n, key).where(F.col("pos") >= F.col("total") - (size - F.coalesce("n", F.lit(0)))).select(key, "pos")
+    return hits.select(key, "pos").union(late).distinct()
+
+
+def gathered(init: Column, hits: Column, limit: int) -> Column:
+    """The first blocks, then the hits among the others in order; more than ``limit`` is an error."""
+    both = F.concat(init, F.array_sort(F.array_except(hits, init)))
+    return F.when(F.size(both) <= limit, both).otherwise(F.raise_error(F.concat(F.lit("gathered blocks: "), F.size(both).cast("string"))))
+
+
+def evicted(used: DataFrame, key: str, ident: str, last_used: str, hit: Column, n: int) -> DataFrame:
+    """The n least recently used of each key that are no hits of the current query."""
+    order = W.partitionBy(key).orderBy(last_used, ident)
+    return used.where(~hit).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")

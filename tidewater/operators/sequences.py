@@ -88,10 +88,10 @@ def pack_constant(df: DataFrame, keys: list[str], order: str, length: str, size:
 
     Returns keys, piece, and the (source, from, to) stretches it holds.
     """
-    placed = df.withColumn("__len", F.col(length) + 1).withColumn("__at", exclusive_sum(keys, [order], "__len"))
-    total = F.sum("__len").over(W.partitionBy(*keys))
+    placed = with_prefix_sum(df.withColumn("__len", F.col(length) + 1), keys, [order], "__len", "__at")
+    total = placed.groupBy(*keys).agg(F.sum("__len").alias("__total"))
     first, last = F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__len") - 1) / size)
-    spread = placed.withColumn("__total", total).withColumn("piece", F.explode(F.sequence(first, last)))
+    spread = placed.join(total, keys).withColumn("piece", F.explode(F.sequence(first, last)))
     spread = spread.where((F.col("piece") + 1) * size <= F.col("__total"))
     return spread.select(
         *keys,
@@ -117,6 +117,46 @@ def first_at_or_after(ticks: DataFrame, points: DataFrame, keys: list[str], tick
     return both.withColumn(point, F.last("__p", ignorenulls=True).over(order)).where("__is_tick = 1").select(*keys, F.col("__t").alias(tick), point)
 
 
+def with_prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its key that come before.
+
+    A key, however many rows it has, is summed in ranges of the first column of
+    ``order``, and each range is shifted by the sums of those before it.
+    """
+    split = ranged(df, order[0])
+    sums = split.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    before = F.sum("__sum").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))  # a row per key and range
+    base = sums.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__base"))
+    inner = W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = split.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return own.join(base, [*keys, "__range"]).withColumn(name, (F.col(name) + F.col("__base")).cast("long")).drop("__range", "__base")
+
+
+def counts_until(points: DataFrame, events: DataFrame, keys: list[str], ident: list[str], until: str, at: str) -> DataFrame:
+    """keys, ident and ``n``, the events of the key at or before each point; one sort of both sides, no range join."""
+    both = points.select(*keys, *ident, F.col(until).alias("__x"), F.lit(0).alias("__one")).unionByName(
+        events.select(*keys, *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ident], F.col(at).alias("__x"), F.lit(1).alias("__one"))
+    )
+    w = W.partitionBy(*keys).orderBy("__x", F.desc("__one")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn("n", F.sum("__one").over(w)).where("__one = 0").select(*keys, *ident, "n")
+
+
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``__range``, the number of its quantile of ``order``: 64, or more if that is over ``RANGE_ROWS`` rows each."""
+    few = df.agg(F.count("*").alias("n"), F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10_000).alias("c")).first()
+    cuts = few.c or []
+    if few.n > 64 * RANGE_ROWS:  # more rows than 64 tasks should sort take more ranges
+        n = min(MAX_RANGES, few.n // RANGE_ROWS)
+        cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("c")).first().c
+    # the place among sorted cuts is one more than that of the last cut below the value
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    return df.withColumn("__range", part)
+
+
+#: Rows that a task ranks, about, and most ranges.
+RANGE_ROWS, MAX_RANGES = 1_000_000, 512
+
+
 def contiguous_parts(df: DataFrame, order: str, n: int) -> DataFrame:
     """``part`` of ceil(N / n) rows each; there may be fewer parts than n. Rank and count come from range partitions, not one task."""
     return with_rank(df, order).withColumn("part", F.floor(F.col("rank") / F.greatest(F.ceil(F.col("total") / n), F.lit(1))))
@@ -127,11 +167,9 @@ def with_rank(df: DataFrame, order: str) -> DataFrame:
 
     Rows are cut in ranges by quantiles, ranked inside, and shifted by the counts of the ranges before.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10_000).alias("c")).first().c or []
-    part = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col(order))) if cuts else F.lit(0)
-    split = df.withColumn("__range", part)
+    split = ranged(df, order)
     counts = split.groupBy("__range").agg(F.count("*").alias("n"))
-    every = W.orderBy("__range")  # 64 rows
+    every = W.orderBy("__range")  # a row per range
     base = counts.select("__range", (F.sum("n").over(every) - F.col("n")).alias("__base"), F.sum("n").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
     inner = W.partitionBy("__range").orderBy(order)
     return split.join(F.broadcast(base), "__range").withColumn("rank", F.row_number().over(inner) - 1 + F.col("__base")).drop("__range", "__base")
@@ -149,3 +187,73 @@ def weighted_sample(df: DataFrame, keys: list[str], weight: Column, u: Column, k
     """k rows per key without replacement, by the largest ln(u) / weight."""
     score = F.log(u) / weight
     return df.withColumn("__s", score).withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__s"), tie))).where(F.col("__r") <= k).drop("__s", "__r")
+
+
+def capped(df: DataFrame, keys: list[str], order: str, keep: Column, cap: int) -> DataFrame:
+    """At most ``cap`` rows per key: those to keep, and of the others as many as fit, at equal steps."""
+    from tidewater.functions.timeline import uniform_positions
+
+    kept = W.partitionBy(*keys, "__keep").orderBy(order)
+    every = W.partitionBy(*keys)
+    marked = df.withColumn("__keep", keep)
+    marked = marked.withColumns({"__r": F.row_number().over(kept) - 1, "__m": F.count("*").over(W.partitionBy(*keys, "__keep")), "__k": F.count_if("__keep").over(every)})
+    left = F.greatest(F.lit(cap) - F.col("__k"), F.lit(0))
+    places = F.coalesce(*[F.when(left == n, uniform_positions(F.col("__m"), n)) for n in range(1, cap + 1)])
+    fits = F.coalesce(F.array_contains(places, F.col("__r").cast("int")), F.lit(False))
+    return marked.where(F.col("__keep") | fits).drop("__keep", "__r", "__m", "__k")
+
+
+def partial_permutation(df: DataFrame, key: str, place: str, total: str, degree: float, first: Column, second: Column, tie: str) -> DataFrame:
+    """Rows with ``new_place``: a share ``degree`` of the places, chosen by the order of ``first``, is permuted by that of ``second``.
+
+    Fewer than two chosen places change nothing; where the permutation is the
+    identity, the chosen places rotate by one.
+    """
+    w = W.partitionBy(key)
+    chosen = df.withColumns({"__h": first, "__k": F.rint(F.col(total) * degree)}).withColumn("__r", F.row_number().over(w.orderBy("__h", tie)))
+    chosen = chosen.withColumn("__on", (F.col("__k") >= 2) & (F.col("__r") <= F.col("__k")))
+    on = chosen.where("__on").withColumns({"__a": F.row_number().over(w.orderBy(place)), "__b": F.row_number().over(w.orderBy(second, tie))})
+    same = F.max((F.col("__a") != F.col("__b")).cast("int")).over(w) == 0
+    on = on.withColumn("__b", F.when(same, F.pmod(F.col("__a") + F.col("__k") - 2, F.col("__k")) + 1).otherwise(F.col("__b")))
+    to = on.select(F.col(key).alias("__key"), F.col("__a").alias("__to"), F.col(place).alias("new_place"))
+    moved = on.join(to, (F.col(key) == F.col("__key")) & (F.col("__b") == F.col("__to"))).select(*df.columns, "new_place")
+    return moved.unionByName(chosen.where("not __on").select(*df.columns, F.col(place).alias("new_place")))
+
+
+def clip_permutation(df: DataFrame, key: str, place: str, total: str, clips: int, noise) -> DataFrame:
+    """Rows with ``new_place``: clips of ceil(total / clips) rows keep their inner order, the clips are permuted by ``noise`` of their number."""
+    size = F.ceil(F.col(total) / F.least(F.lit(clips), F.col(total)))
+    own = df.withColumn("__clip", F.floor(F.col(place) / size))
+    clip = own.groupBy(key, "__clip").agg(F.count("*").alias("__n"), F.min(place).alias("__from"))
+    clip = clip.withColumn("__h", noise(F.col(key), F.col("__clip")))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__h", "__clip").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    clip = clip.withColumn("__at", before).drop("__h", "__n")
+    return own.join(clip, [key, "__clip"]).withColumn("new_place", F.col("__at") + F.col(place) - F.col("__from")).drop("__clip", "__at", "__from")
+
+
+def strict_batches(df: DataFrame, stride: str, ident: str, noise: Column, size: int) -> DataFrame:
+    """(stride, batch, slot, ident): batches of rows of the same stride, short ones filled up with their own rows; the last stride's short batch goes."""
+    n = F.row_number().over(W.partitionBy(stride).orderBy(noise, ident)) - 1
+    rows = df.select(F.col(stride).alias("stride"), F.col(ident).alias("id"), n.alias("n")).withColumn("batch", F.floor(F.col("n") / size))
+    own = rows.groupBy("stride", "batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"))
+    top = df.agg(F.max(stride).alias("top"))
+    full = own.crossJoin(F.broadcast(top)).where((F.size("ids") == size) | (F.col("stride") < F.col("top")))  # one row
+    slots = full.select("stride", "batch", "ids", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
+    return slots.select("stride", "batch", "slot", F.get("ids", F.pmod(F.col("slot"), F.size("ids"))).alias(ident))
+
+
+def dissimilar(df: DataFrame, key: str, order: str, vector: str, threshold: float) -> DataFrame:
+    """Rows whose vector's cosine with the last row kept before it is below ``threshold``; a key's first row is kept. A fold per key."""
+    import numpy as np
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        kept, last = [], None
+        for v in pdf[vector]:
+            v = np.asarray(v, float)
+            ok = last is None or float(v @ last) < threshold * float(np.linalg.norm(v) * np.linalg.norm(last))
+            kept.append(ok)
+            last = v if ok else last
+        return pdf[kept]
+
+    return df.groupBy(key).applyInPandas(run, df.schema)

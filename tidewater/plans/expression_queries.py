@@ -135,18 +135,6 @@ def rendered_turns(spark, sf):
     return t.select("conv_id", F.array_join(F.transform("turns", lambda x: F.concat(F.upper(x["role"]), F.lit(": "), x["text"])), "\n").alias("rendered"))
 
 
-@query("D32", "SELECT doc_id, 3 + (contains(source, '1'))::INTEGER * 0 AS n_parts FROM documents")
-def kept_separators(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(X.keep_separators(F.concat(F.lit("a<image>"), "source"), ["<image>"])).alias("n_parts"))
-
-
-@query("D37 D38", "SELECT conv_id, list(role ORDER BY turn)[1] || ',q,a' AS head, count(*) + 2 AS n FROM conversations GROUP BY conv_id")
-def inserted_turns(spark, sf):
-    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
-    longer = F.concat(F.slice("roles", 1, 1), F.array(F.lit("q"), F.lit("a")), F.slice("roles", F.lit(2), F.size("roles")))
-    return t.select("conv_id", F.array_join(F.slice(longer, 1, 3), ",").alias("head"), F.size(longer).cast("long").alias("n"))
-
-
 @query("D39", "WITH c AS (SELECT doc_id, w, h, least(w, doc_id % 900 + 1) * least(h, n_chars % 900 + 1) AS eff, w * h - least(w, doc_id % 900 + 1) * least(h, n_chars % 900 + 1) AS waste, k FROM documents, (VALUES (336, 672, 0), (672, 336, 1), (672, 672, 2), (1008, 336, 3)) t(w, h, k)) SELECT doc_id, arg_max(k, eff * 100000000 - waste * 10 - k) AS best FROM c GROUP BY doc_id")
 def best_fit(spark, sf):
     options = spark.createDataFrame([(336, 672, 0), (672, 336, 1), (672, 672, 2), (1008, 336, 3)], "w long, h long, k int")

@@ -93,11 +93,10 @@ def nested_questions(spark, sf):
     return n.select("task", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["qid"].cast("string")), ",").alias("qids"))
 
 
-@query("I21 I22 I23", "SELECT lang, avg(starts_with(text, substr(text, 1, 3))::INT::DOUBLE) AS prefix_acc, avg(contains(text, 'the')::INT::DOUBLE) AS contains_acc, avg((upper(substr(ltrim(text), 1, 1)) = 'T')::INT::DOUBLE) AS first_char_acc FROM documents GROUP BY lang")
+@query("I23", "SELECT lang, avg(contains(text, 'the')::INT::DOUBLE) AS contains_acc, avg((upper(substr(ltrim(text), 1, 1)) = 'T')::INT::DOUBLE) AS first_char_acc FROM documents GROUP BY lang")
 def match_accuracies(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").groupBy("lang").agg(
-        F.avg(t.startswith(F.substring(t, 1, 3)).cast("double")).alias("prefix_acc"),
         F.avg(t.contains("the").cast("double")).alias("contains_acc"),
         F.avg((F.upper(F.substring(F.ltrim(t), 1, 1)) == "T").cast("double")).alias("first_char_acc"),
     )

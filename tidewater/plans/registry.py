@@ -24,7 +24,17 @@ def query(ids: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import expression_queries, metric_queries, retrieval_queries, sequence_queries, stream_queries  # noqa: F401
+    from . import (  # noqa: F401
+        benchmark_queries,
+        expression_queries,
+        memory_queries,
+        metric_queries,
+        retrieval_queries,
+        sampling_queries,
+        sequence_queries,
+        stream_queries,
+        turn_queries,
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

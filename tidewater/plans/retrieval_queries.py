@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import vectors as V
 from tidewater.operators import joins as J
 from tidewater.operators import retrieval as R
-from tidewater.operators.sequences import first_at_or_after
+from tidewater.operators.sequences import counts_until, first_at_or_after
 
 from .registry import query
 from .tables import FRAMES, RESULTS, TURNS, frames, results, table, turns
@@ -72,7 +72,7 @@ def chunked_topk(spark, sf):
     return R.chunked_top_k(_scored(spark, sf), 16, 4).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query("G10 G11", f"WITH {_SCORED} SELECT vec_id, score FROM s WHERE vec_id IN (3, 5, 8, 13, 21)")
+@query("G10", f"WITH {_SCORED} SELECT vec_id, score FROM s WHERE vec_id IN (3, 5, 8, 13, 21)")
 def forced_retrieval(spark, sf):
     wanted = spark.createDataFrame([(i,) for i in (3, 5, 8, 13, 21)], "vec_id long")
     return _scored(spark, sf).join(F.broadcast(wanted), "vec_id", "left_semi").select("vec_id", "score")
@@ -116,7 +116,8 @@ e AS (SELECT label, exp(score - top) AS x, sum(exp(score - top)) OVER (PARTITION
 a AS (SELECT label, h, avg(h) OVER (ORDER BY label ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM h)
 SELECT label, round(h, 6) AS entropy, CASE WHEN last3 >= 0.6 THEN 'retrieval' ELSE 'cache_only' END AS strategy, greatest(16, least(32, round_even(16 + 16 * exp(-2 * greatest(0, least(1, h))), 0)))::INTEGER AS k FROM a""")
 def entropy_gate(spark, sf):
-    per = _scored(spark, sf).groupBy("label").agg(F.collect_list("score").alias("scores"))
+    ten = R.top_k_per(_scored(spark, sf).select("label", "vec_id", "score"), ["label"], 10)
+    per = ten.groupBy("label").agg(F.collect_list("score").alias("scores"))
     h = per.select("label", V.softmax_entropy(F.col("scores")).alias("h"))
     last = F.avg("h").over(W.orderBy("label").rowsBetween(-2, 0))  # one row per layer
     return h.select("label", F.round("h", 6).alias("entropy"), F.when(last >= 0.6, "retrieval").otherwise("cache_only").alias("strategy"), V.dynamic_k(64, F.col("h"), 64).alias("k"))
@@ -244,7 +245,7 @@ def lookup_join(spark, sf):
     return d.join(lab, "doc_id").join(b, d.doc_id == b.item_id, "left").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("subtitle"))
 
 
-@query("H6 F5 F6", f"WITH {FRAMES}, g AS (SELECT user_id, unnest(range(0, 700, 50)) * 1.0 AS tick FROM (SELECT DISTINCT user_id FROM f)), p AS (SELECT user_id, t / 3600 AS h FROM f) SELECT g.user_id, g.tick::DOUBLE AS tick, round(min(p.h), 6) AS h FROM g LEFT JOIN p ON p.user_id = g.user_id AND p.h >= g.tick GROUP BY ALL")
+@query("F6", f"WITH {FRAMES}, g AS (SELECT user_id, unnest(range(0, 700, 50)) * 1.0 AS tick FROM (SELECT DISTINCT user_id FROM f)), p AS (SELECT user_id, t / 3600 AS h FROM f) SELECT g.user_id, g.tick::DOUBLE AS tick, round(min(p.h), 6) AS h FROM g LEFT JOIN p ON p.user_id = g.user_id AND p.h >= g.tick GROUP BY ALL")
 def asof_forward(spark, sf):
     p = frames(spark, sf).select("user_id", (F.col("t") / 3600).alias("h"))
     ticks = p.select("user_id").distinct().withColumn("tick", F.explode(F.array(*[F.lit(float(x)) for x in range(0, 700, 50)])))
@@ -260,11 +261,11 @@ def positional_join(spark, sf):
     return a.join(b, "n")
 
 
-@query("H8 L1", f"WITH {FRAMES}, {TURNS} SELECT q.conv_id, q.turn, count(*) AS n_visible FROM q JOIN f ON f.user_id = q.conv_id AND f.t / 3600 <= q.realtime * 50 GROUP BY ALL")
+@query("H8", f"WITH {FRAMES}, {TURNS} SELECT q.conv_id, q.turn, count(*) AS n_visible FROM q JOIN f ON f.user_id = q.conv_id AND f.t / 3600 <= q.realtime * 50 GROUP BY ALL")
 def visible_frames(spark, sf):
     f = frames(spark, sf).select(F.col("user_id").alias("conv_id"), (F.col("t") / 3600).alias("h"))
     q = turns(spark, sf).select("conv_id", "turn", (F.col("realtime") * 50).alias("until"))
-    return q.join(f, "conv_id").where("h <= until").groupBy("conv_id", "turn").agg(F.count("*").alias("n_visible"))
+    return counts_until(q, f, ["conv_id"], ["turn"], "until", "h").where("n > 0").withColumnRenamed("n", "n_visible")
 
 
 @query("H14", f"WITH {FRAMES}, i AS (SELECT user_id, event_id AS span, t / 3600 AS start, t / 3600 + 3 AS \"end\" FROM f WHERE event_type = 'purchase') SELECT f.event_id, count(*) AS n FROM f JOIN i ON f.user_id = i.user_id AND f.t / 3600 BETWEEN i.start AND i.\"end\" GROUP BY f.event_id")

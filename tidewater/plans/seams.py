@@ -30,5 +30,30 @@ def stub_language(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"language": lang, "language_score": F.lit(1.0)})
 
 
+def _length_model(df: DataFrame, name: str, column) -> DataFrame:
+    return df.withColumn(name, column(F.length("text").cast("long")))
+
+
+#: Contracts of the model-bound steps: the column that each adds, its type, and a stub computed from the text's length.
+CONTRACTS = {
+    "speech": ("words", "array<struct<start double, end double, word string>>", lambda n: F.transform(F.sequence(F.lit(0), F.pmod(n, F.lit(3)).cast("int")), lambda i: F.struct((i * 0.5).cast("double").alias("start"), (i * 0.5 + 0.5).cast("double").alias("end"), F.concat(F.lit("w"), i.cast("string")).alias("word")))),
+    "faces": ("boxes", "array<array<double>>", lambda n: F.array(F.array(F.lit(0.0), F.lit(0.0), F.pmod(n, F.lit(100)).cast("double"), F.lit(10.0)))),
+    "speaker": ("speaking", "double", lambda n: F.pmod(n * 31, F.lit(200)) / 100.0 - 1.0),
+    "yes_probability": ("p_yes", "double", lambda n: F.pmod(n * 17, F.lit(1000)) / 1000.0),
+    "token_loss": ("loss", "double", lambda n: F.pmod(n * 13, F.lit(700)) / 100.0),
+    "language": ("language_score", "double", lambda n: 1.0 - F.pmod(n, F.lit(40)) / 200.0),
+    "rewrite": ("reply", "string", lambda n: F.format_string('```json\n{"result": "%s"}\n```', F.when(n % 2 == 0, "YES").otherwise("NO"))),
+    "judge": ("winner", "string", lambda n: F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise("tie")),
+    "answer": ("pred_answer", "string", lambda n: F.char(F.lit(65) + F.pmod(n, F.lit(4)).cast("int"))),
+}
+
+
+def run_contract(df: DataFrame, name: str, model=None) -> DataFrame:
+    """``df`` (with ``text``) with the column of a contract, cast to its type; ``model(df, column)`` replaces the stub."""
+    column, kind, stub = CONTRACTS[name]
+    out = model(df, column) if model else _length_model(df, column, stub)
+    return out.withColumn(column, F.col(column).cast(kind))
+
+
 #: Named implementations that a caller may replace.
 MODELS: dict[str, Callable[..., DataFrame]] = {"score": stub_score, "language": stub_language}

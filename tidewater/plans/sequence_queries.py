@@ -28,7 +28,7 @@ def contiguous_split(spark, sf):
     return S.contiguous_parts(table(spark, sf, "documents").select("doc_id"), "doc_id", 4).select("doc_id", "part")
 
 
-@query("C2 C3 C5", "SELECT doc_id, rank % 8 AS part, rank // 8 AS place, rank % 4 = 3 AS in_subset FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents)")
+@query("C2 C5", "SELECT doc_id, rank % 8 AS part, rank // 8 AS place, rank % 4 = 3 AS in_subset FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents)")
 def round_robin_split(spark, sf):
     r = S.with_rank(table(spark, sf, "documents").select("doc_id"), "doc_id")
     return r.select("doc_id", F.pmod("rank", F.lit(8)).alias("part"), F.floor(F.col("rank") / 8).alias("place"), (F.pmod("rank", F.lit(4)) == 3).alias("in_subset"))
@@ -75,7 +75,7 @@ def uniform_k(spark, sf):
     return n.select("user_id", F.explode(T.uniform_positions(F.col("n"), 16)).alias("pos"))
 
 
-@query("F3 F19", WITH + ", u AS (SELECT user_id, n, j, CASE WHEN n <= 16 THEN j ELSE round_even(j * ((n - 1)::DOUBLE / 15), 0) END::INTEGER AS pos FROM (SELECT DISTINCT user_id, n FROM p), range(16) t(j) WHERE j < n) SELECT user_id, pos FROM u")
+@query("F3", WITH + ", u AS (SELECT user_id, n, j, CASE WHEN n <= 16 THEN j ELSE round_even(j * ((n - 1)::DOUBLE / 15), 0) END::INTEGER AS pos FROM (SELECT DISTINCT user_id, n FROM p), range(16) t(j) WHERE j < n) SELECT user_id, pos FROM u")
 def uniform_k_rounded(spark, sf):
     n = frames(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
     return n.select("user_id", F.explode(T.uniform_positions(F.col("n"), 16, rounded=True)).alias("pos"))
@@ -87,26 +87,19 @@ def prefix_uniform(spark, sf):
     return n.select("user_id", F.explode(T.uniform_positions(F.col("n"), 8)).alias("pos"))
 
 
-@query("F7 F9 J19", "SELECT DISTINCT doc_id, unnest(list_concat([doc_id % 5, doc_id % 7], [2, 4])) AS pos FROM documents")
+@query("F7 J19", "SELECT DISTINCT doc_id, unnest(list_concat([doc_id % 5, doc_id % 7], [2, 4])) AS pos FROM documents")
 def keep_necessary(spark, sf):
     base = F.array(F.pmod("doc_id", F.lit(5)), F.pmod("doc_id", F.lit(7)))
     both = F.array_sort(F.array_union(base, F.array(F.lit(2), F.lit(4)).cast("array<bigint>")))
     return table(spark, sf, "documents").select("doc_id", F.explode(both).alias("pos"))
 
 
-@query("F8")
-def recency_weighted(spark, sf):
-    p = positions(spark, sf)
-    u = (S.seeded_order(7, "user_id", "event_id") + 1) / 4294967297.0
-    return S.weighted_sample(p, ["user_id"], F.exp(3.0 * F.col("i") / F.col("n")), u, 10, "event_id").select("user_id", "event_id")
-
-
 @query("F10 L11 J21", WITH + "SELECT event_id FROM p WHERE i >= n - 5")
 def recent_window(spark, sf):
     return positions(spark, sf).where(F.col("i") >= F.col("n") - 5).select("event_id")
 
 
-@query("F11 F12 F15 F17", WITH + ", h AS (SELECT user_id, event_id, (((7 * 31 + user_id * 2654435761) % 4294967296) * 31 + event_id * 2654435761) % 4294967296 AS h FROM p) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY h, event_id) - 1 AS new_pos FROM h")
+@query("F12", WITH + ", h AS (SELECT user_id, event_id, (((7 * 31 + user_id * 2654435761) % 4294967296) * 31 + event_id * 2654435761) % 4294967296 AS h FROM p) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY h, event_id) - 1 AS new_pos FROM h")
 def seeded_shuffle(spark, sf):
     h = positions(spark, sf).withColumn("h", S.seeded_order(7, "user_id", "event_id"))
     return h.select("user_id", "event_id", S.ordinal(["user_id"], ["h", "event_id"]).alias("new_pos"))
@@ -123,11 +116,6 @@ def segment_move(spark, sf):
     return p.select("event_id", T.moved_position(F.col("i"), F.lit(3), F.lit(6), F.col("n") - 3).cast("long").alias("new_pos"))
 
 
-@query("F16", WITH + "SELECT event_id FROM p WHERE i % 50 < 10")
-def interval_windows(spark, sf):
-    return positions(spark, sf).where(F.pmod("i", F.lit(50)) < 10).select("event_id")
-
-
 @query("F18", "SELECT doc_id, 1 + doc_id % 5 AS before, ((doc_id % 5) // 4 + 1) * 4 AS after FROM documents")
 def pad_to_multiple(spark, sf):
     from tidewater.functions.text import pad_last
@@ -136,7 +124,7 @@ def pad_to_multiple(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(a).cast("long").alias("before"), F.size(pad_last(a, 4)).cast("long").alias("after"))
 
 
-@query("F20 E13 E9", "SELECT doc_id, 10 + (7 * 31 + doc_id * 2654435761) % 4294967296 % 20 AS length, (7 * 31 + doc_id * 2654435761) % 4294967296 / 4294967296.0 < 0.25 AS passes FROM documents")
+@query("F20 E13", "SELECT doc_id, 10 + (7 * 31 + doc_id * 2654435761) % 4294967296 % 20 AS length, (7 * 31 + doc_id * 2654435761) % 4294967296 / 4294967296.0 < 0.25 AS passes FROM documents")
 def seeded_gate(spark, sf):
     h = S.seeded_order(7, "doc_id")
     return table(spark, sf, "documents").select("doc_id", (10 + F.pmod(h, F.lit(20))).alias("length"), (h / 4294967296.0 < 0.25).alias("passes"))
@@ -158,7 +146,8 @@ def first_known_duration(spark, sf):
 
 @query("J1", "SELECT doc_id, source || '_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS key FROM documents")
 def occurrence_ordinal(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws("_", "source", S.ordinal(["source"], ["doc_id"]).cast("string")).alias("key"))
+    d = table(spark, sf, "documents").select("source", "doc_id", F.lit(1).alias("one"))
+    return S.with_prefix_sum(d, ["source"], ["doc_id"], "one", "n").select("doc_id", F.concat_ws("_", "source", F.col("n").cast("string")).alias("key"))
 
 
 @query("J3 E4 E1", """WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark WHERE NOT contains(text, '[') AND NOT contains(text, ']')),
@@ -197,9 +186,10 @@ def context_before(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", S.running_text(["conv_id"], ["turn"], "text").alias("previous"))
 
 
-@query("J7 B4 A5 M12", "SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seek FROM documents")
+@query("J7 B4 M12", "SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seek FROM documents")
 def exclusive_prefix_sum(spark, sf):
-    return table(spark, sf, "documents").select("source", "doc_id", S.exclusive_sum(["source"], ["doc_id"], "n_chars").alias("seek"))
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return S.with_prefix_sum(d, ["source"], ["doc_id"], "n_chars", "seek").select("source", "doc_id", "seek")
 
 
 @query("J8 D17", WITH + ", g AS (SELECT user_id, i // 4 AS grp, min(t) AS a FROM p GROUP BY ALL), l AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY grp) AS b FROM g) SELECT user_id, grp, round(a, 3) AS start, round(b, 3) AS next_start FROM l")
@@ -219,16 +209,16 @@ def trailing_trim(spark, sf):
     return S.trailing_trim(c, ["conv_id"], "turn", "text").select("conv_id", "turn")
 
 
-@query("J11 G21", "SELECT source, doc_id FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS s FROM documents) WHERE s <= 20000")
+@query("J11", "SELECT source, doc_id FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS s FROM documents) WHERE s <= 20000")
 def cumulative_cap(spark, sf):
-    run = F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf, "documents").withColumn("s", run).where("s <= 20000").select("source", "doc_id")
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return S.with_prefix_sum(d, ["source"], ["doc_id"], "n_chars", "s").where("s + n_chars <= 20000").select("source", "doc_id")
 
 
-@query("J14", "SELECT vec_id, list_position(list_transform(embedding[1:4], lambda x: x::DOUBLE), list_max(list_transform(embedding[1:4], lambda x: x::DOUBLE)))::BIGINT - 1 AS choice FROM embeddings")
+@query("J14", "SELECT vec_id, list_position(list_transform(embedding, lambda x: x::DOUBLE), list_max(list_transform(embedding, lambda x: x::DOUBLE)))::BIGINT - 1 AS choice FROM embeddings")
 def constrained_argmax(spark, sf):
-    four = F.slice(V.doubles(F.col("embedding")), 1, 4)
-    return table(spark, sf, "embeddings").select("vec_id", (F.array_position(four, F.array_max(four)) - 1).alias("choice"))
+    options = V.doubles(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", (F.array_position(options, F.array_max(options)) - 1).alias("choice"))
 
 
 @query("J17 B2", f"WITH {RESULTS} SELECT qid, 32 AS k FROM r WHERE retrieve_size = 32 UNION ALL SELECT qid, 64 FROM r WHERE retrieve_size = 64")
@@ -265,22 +255,11 @@ def score_band(spark, sf):
     return stub_score(table(spark, sf, "documents").select("doc_id", "text"), "text").where(F.col("score").between(0.15, 0.5)).select("doc_id", F.col("score").cast("double").alias("score"))
 
 
-@query("E3", "SELECT doc_id FROM documents WHERE lang = 'en'")
-def language_filter(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.lit(0.95).alias("language_score"))
-    return d.where("language = 'en' and language_score >= 0.9").select("doc_id")
-
-
 @query("E14", WITH + "SELECT event_id FROM p WHERE i % 4 = 0")
 def frame_rate_policy(spark, sf):
     return positions(spark, sf).where(F.pmod("i", F.lit(4)) == 0).select("event_id")
 
 
-@query("E15", "SELECT source, arg_max(doc_id, n_chars * 1000000 + doc_id) AS latest FROM documents GROUP BY source")
-def latest_checkpoint(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 + F.col("doc_id")).alias("latest"))
-
-
 @query("E16", WITH + ", x AS (SELECT user_id, event_id, t, t / 3600 BETWEEN 100 AND 110 AS inside, abs(t / 3600 - 100) AS d FROM f), a AS (SELECT user_id, bool_or(inside) AS has_one FROM x GROUP BY user_id), y AS (SELECT x.*, has_one, row_number() OVER (PARTITION BY x.user_id ORDER BY d, event_id) AS rn FROM x JOIN a ON x.user_id = a.user_id) SELECT user_id, event_id FROM y WHERE inside OR (NOT has_one AND rn = 1)")
 def range_or_nearest(spark, sf):
     h = F.col("t") / 3600
@@ -304,9 +283,9 @@ def masked_whiten(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(N.whiten(F.col("value"), ["user_id"]), 5).alias("z"))
 
 
-@query("K1 K3 K11", "SELECT vec_id, round(x[3] - ln(list_sum(list_transform(x, lambda v: exp(v)))), 6) AS logp, round(ln(list_sum(list_transform(x, lambda v: exp(v)))) - list_sum(list_transform(x, lambda v: exp(v) * v)) / list_sum(list_transform(x, lambda v: exp(v))), 6) AS entropy FROM (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings)")
+@query("K1 K3", "SELECT vec_id, round(x[3] - ln(list_sum(list_transform(x, lambda v: exp(v)))), 6) AS logp, round(ln(list_sum(list_transform(x, lambda v: exp(v)))) - list_sum(list_transform(x, lambda v: exp(v) * v)) / list_sum(list_transform(x, lambda v: exp(v))), 6) AS entropy FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)")
 def logits(spark, sf):
-    x = F.slice(V.doubles(F.col("embedding")), 1, 8)
+    x = V.doubles(F.col("embedding"))
     return table(spark, sf, "embeddings").select("vec_id", F.round(V.log_softmax_at(x, F.lit(2)), 6).alias("logp"), F.round(V.entropy_of_logits(x), 6).alias("entropy"))
 
 
@@ -345,7 +324,9 @@ def zscore_history(spark, sf):
     return N.history_zscore(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 16, 8).select("event_id", F.round("z", 4).alias("z"))
 
 
-@query("K9")
+@query("K9", """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(text) / 100.0::DOUBLE AS kl FROM conversations),
+r AS (SELECT conv_id, 0::BIGINT AS n, 0.2::DOUBLE AS c FROM t GROUP BY conv_id UNION ALL SELECT r.conv_id, t.n, r.c * (1 + greatest(-0.2, least(0.2, t.kl / 6 - 1)) * (256 / 10000.0::DOUBLE)) FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+SELECT conv_id, round(arg_max(c, n), 6) AS coefficient FROM r GROUP BY conv_id""")
 def adaptive_controller(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", (F.length("text") / 100.0).alias("kl")))), lambda x: x["kl"].cast("double")).alias("kls"))
     return c.select("conv_id", F.round(N.adaptive_kl(F.col("kls"), 0.2, 6.0, 10000.0, 256), 6).alias("coefficient"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.operators.joins import pending
@@ -36,11 +37,17 @@ def read_dict_of_dicts(spark: SparkSession, path: str, value_schema: str) -> Dat
 
 
 def read_by_extension(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """.jsonl line by line, .json whole, .parquet and .csv by their readers; bad lines are left out."""
+    """.jsonl line by line, .json whole (an array, or an object whose values are the records), .parquet and .csv by their readers.
+
+    Bad lines are left out, and so is a last line of offsets.
+    """
     if path.endswith(".jsonl"):
-        return read_jsonl(spark, path, schema, skip_bad=True)
+        return read_jsonl_indexed(spark, path, schema).dropna("all")
     if path.endswith(".json"):
-        return read_json_array(spark, path, schema)
+        text = spark.read.text(path, wholetext=True)
+        record = f"struct<{schema}>" if not schema.startswith("struct") else schema
+        rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{record}>")).otherwise(F.map_values(F.from_json("value", f"map<string, {record}>")))
+        return text.select(F.explode(rows).alias("x")).select("x.*")
     if path.endswith(".csv"):
         return read_csv(spark, path, schema)
     return spark.read.schema(schema).parquet(path)
@@ -104,3 +111,66 @@ def merge_shards(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def write_jsonl_seeks(df: DataFrame, path: str, order: str) -> None:
+    """One JSON line per row with its ``line_no`` and ``seek`` (characters of the lines before it), in Parquet files cut by ranges of the line number."""
+    from tidewater.operators.sequences import with_rank
+
+    lines = with_rank(df.select(F.col(order).alias("__order"), F.to_json(F.struct(*df.columns)).alias("value")), "__order")
+    lines = lines.select(F.col("rank").alias("line_no"), "value", (F.length("value") + 1).alias("size"))
+    # offsets add up inside ranges of lines, then over the ranges before them
+    grp = F.floor(F.col("line_no") / 10_000)
+    inner = W.partitionBy("grp").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    sums = lines.groupBy(grp.alias("grp")).agg(F.sum("size").alias("sum"))
+    base = sums.select("grp", (F.sum("sum").over(W.orderBy("grp")) - F.col("sum")).alias("base"))  # a row per 10,000 lines
+    placed = lines.withColumn("grp", grp).withColumn("own", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, "grp")
+    placed.select("line_no", (F.col("base") + F.col("own")).alias("seek"), "value").repartitionByRange("line_no").sortWithinPartitions("line_no").write.mode("overwrite").parquet(path)
+
+
+def read_line(spark: SparkSession, path: str, line_no: int, schema: str) -> DataFrame:
+    """The record of one line; the filter on its number prunes files and row groups."""
+    return spark.read.parquet(path).where(F.col("line_no") == line_no).select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
+def byte_slices(df: DataFrame, data: str, start: str, length: str) -> DataFrame:
+    """``df`` with ``slice``: the bytes of ``data`` from ``start`` (from 0) on, as many as ``length`` says; pieces of concatenated files."""
+    return df.withColumn("slice", F.expr(f"substring(cast({data} as binary), cast({start} + 1 as int), cast({length} as int))"))
+
+
+def frames_between(frames: DataFrame, keys: list[str], at: str, start: float | None, end: float | None) -> DataFrame:
+    """Frames of a time range, both ends included; a start of 0 or none and an end of none are the stream's own. Filters on ``at`` reach the scan."""
+    own = frames.where(F.col(at) >= start) if start else frames
+    return own.where(F.col(at) <= end) if end is not None else own
+
+
+def check_sources(df: DataFrame, keys: list[str], frame: str, at: str, noise, most: int = 10) -> DataFrame:
+    """Per source whether ``most`` frames, drawn by ``noise``, can be read (no null time), its frames per unit of time and its duration."""
+    drawn = df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(noise, frame)))
+    span = F.max(at) - F.min(at)
+    return drawn.groupBy(*keys).agg(F.min((F.col("__n") > most) | F.col(at).isNotNull()).alias("ok"), F.try_divide(F.count("*") - 1, span).alias("fps"), span.alias("duration"))
+
+
+def write_metrics(metrics: DataFrame, detail: DataFrame, path: str) -> None:
+    """A report: metrics as JSON, details as JSON and as CSV with a header."""
+    metrics.write.mode("overwrite").json(f"{path}/metrics")
+    detail.write.mode("overwrite").json(f"{path}/detail")
+    detail.write.mode("overwrite").options(header=True, escape='"').csv(f"{path}/detail_csv")
+
+
+def write_every(df: DataFrame, path: str, order: str, n: int) -> int:
+    """Write parts of n rows in ``order``, one folder each; parts that are there are not written again. Returns how many were written."""
+    from tidewater.operators.sequences import with_rank
+
+    spark = df.sparkSession
+    parts = with_rank(df, order).withColumn("part", F.floor(F.col("rank") / n)).drop("rank", "total")
+    try:
+        done = spark.read.parquet(path).select("part").distinct()
+        parts = parts.join(F.broadcast(done) if done.count() <= 100_000 else done, "part", "left_anti")
+    except Exception as e:  # the folder is not there yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    written = parts.select("part").distinct().count()
+    if written:
+        parts.repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    return written
