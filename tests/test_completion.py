@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidewater.operators import joins as J
 from tidewater.operators import metrics as M
+from tidewater.operators import numeric as N
 from tidewater.operators import retrieval as R
 from tidewater.operators import sequences as S
 from tidewater.operators import turns as U
@@ -170,6 +171,21 @@ def test_sequence_ranges(spark, monkeypatch):
     assert {r.id: r["rank"] for r in S.with_rank(df.select("id"), "id").collect()} == {i: i for i in range(500)}
 
 
+def test_ranges_of_awkward_rows(spark, monkeypatch):
+    """Null keys are a key of their own, ties go by the second column, an empty table gives none."""
+    monkeypatch.setattr(S, "RANGE_ROWS", 2)
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate([(None, 1), (None, 1), (None, None), ("a", 2), ("a", 1), ("a", 1)])], "k string, v long, i long")
+    got = {r.i: r.n for r in S.with_ordinal(df, ["k"], ["v", "i"], "n").collect()}
+    assert got == {2: 0, 0: 1, 1: 2, 4: 0, 5: 1, 3: 2}
+    assert S.with_ordinal(df.limit(0), ["k"], ["v", "i"], "n").count() == 0
+    pieces = {(r.k, r.piece, r.source, r.from_token, r.to_token) for r in S.pack_constant(df.where("v is not null"), ["k"], "i", "v", 2).collect()}
+    assert pieces == {(None, 0, 0, 0, 2), (None, 1, 1, 0, 2), ("a", 0, 3, 0, 2), ("a", 1, 3, 2, 3), ("a", 1, 4, 0, 1), ("a", 2, 4, 1, 2), ("a", 2, 5, 0, 1)}
+    pairs = J.greedy_pairs(df.select("k", F.col("i").alias("a")), df.where("i <> 3").select("k", F.col("i").alias("b")), "k", "a", "b")
+    assert {tuple(r) for r in pairs.collect()} == {("a", 3, 4), ("a", 4, 5)}
+    p = spark.createDataFrame([(None, 1, 0.4), (None, 2, None), (None, 3, 0.6), (1, 4, 0.5), (1, 5, 0.5)], "k long, i long, p double")
+    assert {r.i for r in N.nucleus(p, ["k"], "p", "i", 0.5).collect()} == {3, 4}
+
+
 def test_styles_leave_a_slot(spark):
     turns = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(t).alias("text")) for r, t in (("user", " hi "), ("assistant", "yes<|endoftext|>"), ("user", "and"), ("assistant", ""))])
     got = {name: spark.range(1).select(render(turns, "S").alias("x")).first().x for name, render in U.STYLES.items()}

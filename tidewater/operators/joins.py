@@ -52,8 +52,10 @@ def run_diff(a: DataFrame, b: DataFrame, key: str, order: str | None = None) ->
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
-    """Each left row takes the first unused right row of its key, in id order."""
-    n = lambda df, c: df.select(key, c).withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(c)))
+    """Each left row takes the first unused right row of its key, in id order; a null key takes none. Keys are numbered in ranges."""
+    from .sequences import with_ordinal
+
+    n = lambda df, c: with_ordinal(df.select(key, c).where(F.col(key).isNotNull()), [key], [c], "__n")
     return n(left, left_id).join(n(right, right_id), [key, "__n"]).drop("__n")
 
 

@@ -92,10 +92,12 @@ def completeness(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def adaptive_bins(df: DataFrame, key: str, position: Column) -> DataFrame:
     """Histogram of positions in [0, 1): 10 bins from 100 rows on, 5 from 20, else 1; density per bin width."""
-    n = F.count("*").over(W.partitionBy(key))
-    bins = F.when(n >= 100, 10).when(n >= 20, 5).otherwise(1)
-    placed = df.select(key, bins.alias("bins"), position.alias("at")).withColumn("bin", F.least(F.floor(F.col("at") * F.col("bins")), F.col("bins") - 1))
-    return placed.groupBy(key, "bins", "bin").agg(F.count("*").alias("n")).withColumn("density", F.col("n") * F.col("bins").cast("double"))
+    tenth, fifth = F.least(F.floor(position * 10), F.lit(9)), F.least(F.floor(position * 5), F.lit(4))
+    cells = df.groupBy(key, tenth.alias("tenth"), fifth.alias("fifth")).agg(F.count("*").alias("c"))  # a key has few, however many its rows
+    cells = cells.withColumn("n", F.sum("c").over(W.partitionBy(key)))
+    bins = F.when(F.col("n") >= 100, 10).when(F.col("n") >= 20, 5).otherwise(1)
+    place = F.when(bins == 10, F.col("tenth")).when(bins == 5, F.col("fifth")).otherwise(F.lit(0)).cast("long")
+    return cells.groupBy(key, bins.alias("bins"), place.alias("bin")).agg(F.sum("c").alias("n")).withColumn("density", F.col("n") * F.col("bins").cast("double"))
 
 
 def require_complete(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -19,9 +19,11 @@ def whiten(c: Column, keys: list[str]) -> Column:
 
 
 def nucleus(df: DataFrame, keys: list[str], p: str, tie: str, mass: float) -> DataFrame:
-    """The fewest most likely rows whose probability reaches ``mass``."""
-    order = W.partitionBy(*keys).orderBy(F.desc(p), tie).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("__before", F.coalesce(F.sum(p).over(order), F.lit(0.0))).where(F.col("__before") < mass).drop("__before")
+    """The fewest most likely rows whose probability reaches ``mass``; null probabilities come last. Keys are summed in ranges."""
+    from .sequences import with_prefix_sum
+
+    falling = df.withColumn("__falling", F.coalesce(-F.col(p), F.lit(1.0)))
+    return with_prefix_sum(falling, keys, ["__falling", tie], p, "__before").where(F.col("__before") < mass).drop("__falling", "__before")
 
 
 def history_zscore(df: DataFrame, key: str, order: list[str], value: str, size: int, least: int) -> DataFrame:

@@ -8,6 +8,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` in which null matches null, as in a group or window."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    renamed = renamed.select(*[F.col(c).alias(c) for c in renamed.columns])  # fresh columns: both sides may come from one table
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*[f"__right_{k}" for k in keys])
+
+
 def ordinal(keys: list[str], order: list[str]) -> Column:
     return (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
 
@@ -79,10 +87,6 @@ def running_text(keys: list[str], order: list[str], text: str) -> Column:
     return F.array_join(F.collect_list(text).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), " ")
 
 
-def exclusive_sum(keys: list[str], order: list[str], value: str) -> Column:
-    return F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-
-
 def pack_constant(df: DataFrame, keys: list[str], order: str, length: str, size: int) -> DataFrame:
     """Sequences with an end mark each, laid end to end and cut in pieces of ``size``; the unfinished piece goes.
 
@@ -91,7 +95,7 @@ def pack_constant(df: DataFrame, keys: list[str], order: str, length: str, size:
     placed = with_prefix_sum(df.withColumn("__len", F.col(length) + 1), keys, [order], "__len", "__at")
     total = placed.groupBy(*keys).agg(F.sum("__len").alias("__total"))
     first, last = F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__len") - 1) / size)
-    spread = placed.join(total, keys).withColumn("piece", F.explode(F.sequence(first, last)))
+    spread = joined_on(placed, total, keys).withColumn("piece", F.explode(F.sequence(first, last)))
     spread = spread.where((F.col("piece") + 1) * size <= F.col("__total"))
     return spread.select(
         *keys,
@@ -118,7 +122,7 @@ def first_at_or_after(ticks: DataFrame, points: DataFrame, keys: list[str], tick
 
 
 def with_prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows of its key that come before.
+    """``df`` with ``name``: the sum of ``value`` over the rows of its key that come before; null is a key like others.
 
     A key, however many rows it has, is summed in ranges of the first column of
     ``order``, and each range is shifted by the sums of those before it.
@@ -129,7 +133,12 @@ def with_prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str
     base = sums.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__base"))
     inner = W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     own = split.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return own.join(base, [*keys, "__range"]).withColumn(name, (F.col(name) + F.col("__base")).cast("long")).drop("__range", "__base")
+    return joined_on(own, base, [*keys, "__range"]).withColumn(name, F.col(name) + F.col("__base")).drop("__range", "__base")
+
+
+def with_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the place from 0 among the rows of its key; a key of very many rows is numbered in ranges."""
+    return with_prefix_sum(df.withColumn("__one", F.lit(1)), keys, order, "__one", name).drop("__one")
 
 
 def counts_until(points: DataFrame, events: DataFrame, keys: list[str], ident: list[str], until: str, at: str) -> DataFrame:

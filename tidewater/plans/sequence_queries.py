@@ -42,8 +42,8 @@ def inverse_round_robin(spark, sf):
 
 @query("C8", "SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) // 8 AS batch FROM documents")
 def length_buckets(spark, sf):
-    rn = F.row_number().over(W.partitionBy("lang").orderBy("n_chars", "doc_id")) - 1
-    return table(spark, sf, "documents").select("lang", "doc_id", F.floor(rn / 8).alias("batch"))
+    d = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
+    return S.with_ordinal(d, ["lang"], ["n_chars", "doc_id"], "n").select("lang", "doc_id", F.floor(F.col("n") / 8).alias("batch"))
 
 
 @query("C9", "SELECT doc_id FROM documents WHERE doc_id // 8 NOT IN (3, 4, 5)")
@@ -146,8 +146,8 @@ def first_known_duration(spark, sf):
 
 @query("J1", "SELECT doc_id, source || '_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS key FROM documents")
 def occurrence_ordinal(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", F.lit(1).alias("one"))
-    return S.with_prefix_sum(d, ["source"], ["doc_id"], "one", "n").select("doc_id", F.concat_ws("_", "source", F.col("n").cast("string")).alias("key"))
+    d = table(spark, sf, "documents").select("source", "doc_id")
+    return S.with_ordinal(d, ["source"], ["doc_id"], "n").select("doc_id", F.concat("source", F.lit("_"), F.col("n").cast("string")).alias("key"))
 
 
 @query("J3 E4 E1", """WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark WHERE NOT contains(text, '[') AND NOT contains(text, ']')),
@@ -291,8 +291,9 @@ def logits(spark, sf):
 
 @query("K4", "WITH p AS (SELECT source, doc_id, n_chars / sum(n_chars) OVER (PARTITION BY source) AS p FROM documents), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY source ORDER BY p DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT source, doc_id FROM c WHERE before < 0.9137")
 def nucleus_filter(spark, sf):
-    d = table(spark, sf, "documents")
-    p = d.select("source", "doc_id", (F.col("n_chars") / F.sum("n_chars").over(W.partitionBy("source"))).alias("p"))
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    total = d.groupBy("source").agg(F.sum("n_chars").alias("total"))
+    p = S.joined_on(d, total, ["source"]).withColumn("p", F.col("n_chars") / F.col("total"))
     return N.nucleus(p, ["source"], "p", "doc_id", 0.9137).select("source", "doc_id")
 
 
