@@ -639,4 +639,4 @@ def test_intermediate_tables_go(spark):
     rows = [(i, f"a b c d e f g {i % 3}") for i in range(12)]
     before = len(common.WRITTEN)
     assert ngram_join.near_classes(docs(spark, rows)).count() == 12
-    assert len(common.WRITTEN) == before + 2 and all(Path(p).exists() for p in common.WRITTEN[before:])
+    assert len(common.WRITTEN) == before + 2 and all(Path(p).exists() for p in common.WRITTEN.paths[before:])

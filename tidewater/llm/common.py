@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidewater/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders that ``materialize`` has written and nothing has discarded yet.
-WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Folders that ``materialize`` has written in this thread and nothing has discarded yet.
+
+    A call remembers how many there are when it begins and discards its own only; calls
+    in other threads of the driver have a list of their own.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+WRITTEN = _Written()
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -62,7 +76,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    WRITTEN.append(path)
+    WRITTEN.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -74,8 +88,8 @@ def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     Only tables that nothing reads any more may go: what was made of them is written itself.
     """
     kept = {getattr(df, "_written_to", None) for df in keep}
-    gone = [p for p in WRITTEN[since:] if p not in kept]
-    WRITTEN[since:] = [p for p in WRITTEN[since:] if p in kept]
+    gone = [p for p in WRITTEN.paths[since:] if p not in kept]
+    WRITTEN.paths[since:] = [p for p in WRITTEN.paths[since:] if p in kept]
     for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

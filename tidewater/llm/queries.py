@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html_text, licenses, ngram_join, sharding, toxicity, url_filter, warc
+from . import bpe, cover_tree, decontaminate, fingerprint, html_text, lexical_search, licenses, ngram_join, periodic_runs, sharding, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(_read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -68,9 +80,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_ngram_jaccard_join,
             op9_url_filter,
             op10_bpe,
+            op11_periodic_runs,
+            op12_lexical_search,
+            op13_embedding_dedup,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op2_warc_round_trip": warc.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_extendible_sharding": sharding.ORACLE_SQL, "op2_warc_round_trip": warc.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL, "op13_embedding_dedup": cover_tree.ORACLE_SQL}
