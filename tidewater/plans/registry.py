@@ -29,6 +29,7 @@ def _load() -> None:
         expression_queries,
         memory_queries,
         metric_queries,
+        question_queries,
         retrieval_queries,
         sampling_queries,
         sequence_queries,
