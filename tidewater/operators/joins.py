@@ -125,50 +125,6 @@ def keyed_lookup(left: DataFrame, right: DataFrame, keys: list[str], value: str,
     return left.join(last.withColumn(value, checked), keys)
 
 
-def consuming_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
-    """Each prediction's truth by the first key that finds one; used truths are not found again by the keys that look for unused ones.
-
-    preds: pos, task, source, idx, video, q, a; truths: pos, task, source, idx, video, q.
-    Keys in order: (task, source, idx) unused; (video, q); (base name, q); an unused
-    truth of the base name whose question starts the prediction's; the first unused
-    truth of the base name. Predictions without a truth are left out. Returns task,
-    source, idx, a and pos. A fold per base name, in the order of pos; a prediction
-    whose triplet names a truth of another video belongs to that video's fold.
-    """
-    base = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"(?<=.)\.[^.]*$", "")
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    triplet = ["task", "source", "idx"]
-    t = truths.select("pos", *triplet, "video", norm(F.col("q")).alias("q"), base(F.col("video")).alias("base"))
-    homes = t.groupBy(*triplet).agg(F.max_by("base", "pos").alias("home"))
-    p = preds.withColumns({"q": norm(F.col("q")), "base": base(F.col("video"))}).join(homes, triplet, "left").withColumn("group", F.coalesce("home", "base"))
-    schema = "group string, pos long, task string, source string, idx long, video string, q string, base string"
-
-    def run(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("pos")
-        rows = list(known.itertuples(index=False))
-        name = lambda r: (r.task, r.source, r.idx)
-        by_triplet, by_video, by_base, of_base = {}, {}, {}, {}
-        for r in rows:
-            by_triplet[name(r)] = by_video[r.video, r.q] = by_base[r.base, r.q] = r
-            of_base.setdefault(r.base, []).append(r)
-        used, out = set(), []
-        for p in own.sort_values("pos").itertuples(index=False):
-            found = by_triplet.get(name(p)) if name(p) not in used else None
-            found = found or by_video.get((p.video, p.q)) or by_base.get((p.base, p.q))
-            if found is None:
-                free = [r for r in of_base.get(p.base, []) if name(r) not in used]
-                found = next((r for r in free if r.q and p.q.startswith(r.q)), free[0] if free else None)
-            if found is not None:
-                used.add(name(found))
-                out.append((*name(found), p.a, p.pos))
-        return pd.DataFrame(out, columns=[*triplet, "a", "pos"])
-
-    kinds = {c.split()[0]: c.split()[1] for c in schema.split(", ")}
-    typed = lambda df: [F.col(c).cast(k).alias(c) for c, k in kinds.items() if c in df.columns]
-    t = t.withColumn("group", F.col("base"))
-    return p.select(*typed(p), "a").groupBy("group").cogroup(t.select(*typed(t)).groupBy("group")).applyInPandas(run, "task string, source string, idx long, a string, pos long")
-
-
 def words_per_tick(words: DataFrame, keys: list[str], order: str, end: str, step: float) -> DataFrame:
     """``words`` with the tick at which a pointer that stops at the first word not over yet passes them: that of the latest end so far."""
     reached = F.max(end).over(W.partitionBy(*keys).orderBy(order))

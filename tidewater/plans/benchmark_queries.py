@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.functions import timeline as T
-from tidewater.operators import joins as J
 from tidewater.operators import metrics as M
 from tidewater.operators import sequences as S
+from tidewater.operators.matching import consuming_match
 
 from .registry import query
 from .tables import table
@@ -296,7 +296,7 @@ def etbench_predictions(truths: DataFrame, driver: Driver) -> DataFrame:
 
 def _etbench(spark, sf, driver):
     truths = etbench_truths(spark, sf)
-    return J.consuming_match(etbench_predictions(truths, driver), truths).withColumn("run", F.lit(driver.run))
+    return consuming_match(etbench_predictions(truths, driver), truths).withColumn("run", F.lit(driver.run))
 
 
 _register("etbench", True, None, _etbench)
