@@ -385,6 +385,75 @@ def test_scan_equals_a_scan_of_the_whole_text_as_one_block():
         assert [(h["license"], h["n_different"]) for h in scanner.scan(text)] == whole
 
 
+def _plain_notices(scanner, own):
+    """All stretches of all templates by a plain edit distance; overlapping ones are settled by compression."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i] + [0] * len(b), row
+            for j, y in enumerate(b, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+        return row[-1]
+
+    near = []
+    for k, t in enumerate(scanner.texts):
+        most = int(licenses.MAX_DIFFERENCE * len(t))
+        spans = [(i, j) for i in range(len(own)) for j in range(max(i + 1, i + len(t) - most), min(len(own), i + len(t) + most) + 1)]
+        best = {}
+        for i, j in spans:
+            d = edits(own[i:j], t)
+            if d <= most:
+                best.setdefault(j, []).append((d, i))
+        chosen = []
+        for j, found in sorted(best.items(), key=lambda x: (min(x[1])[0], x[0])):
+            d = min(found)[0]
+            starts = {i for e, i in found if e == d}
+            if all(j <= a or max(starts) >= b for a, b, _ in chosen):
+                chosen.append((max(starts), j, d))
+        near += [(i, j, k, d) for i, j, d in chosen]
+    return near
+
+
+def test_compression_decides_between_near_templates(monkeypatch):
+    """Edited wordings that are as many words from several templates: size decides, and without it others are named."""
+    scanner = licenses.Scanner()
+    texts = {
+        "This work is licensed under a Creative Commons Attribution-ShareAlike-Plus 4.0 International License": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercially 4.0 International License": "CC-BY-NC-4.0",
+        "This work is licensed under the GNU Affero3 General Public License, version 3.": "AGPL-3.0",
+    }
+    got = {t: [h["license"] for h in scanner.scan(f"before {t} after")] for t in texts}
+    assert {t: names for t, names in got.items()} == {t: [name] for t, name in texts.items()}
+    monkeypatch.setattr(licenses.Scanner, "size", lambda self, own, template: 1)
+    without = {t: [h["license"] for h in scanner.scan(f"before {t} after")] for t in texts}
+    assert without != got
+
+
+def test_licenses_equal_brute_force():
+    """Random edits of near-equal templates among other words against all stretches of all templates."""
+    rnd = random.Random(11)
+    some = [(n, t) for n, t in licenses.TEMPLATES if len(licenses.words(t)) < 24]
+    scanner, stock = licenses.Scanner(some), ["license", "the", "under", "version", "4.0", "this"]
+    for _ in range(40):
+        own = []
+        for _ in range(rnd.randint(1, 2)):
+            own += [rnd.choice(stock) if rnd.random() < 0.3 else f"z{rnd.randint(0, 9)}" for _ in range(rnd.randint(1, 6))]
+            ws = list(rnd.choice(scanner.texts))
+            for _ in range(rnd.randint(0, 2)):
+                ws[rnd.randrange(len(ws))] = rnd.choice(["q", "sharealike", "3", "2"])
+            own += ws
+        near = {(j, k, d) for _, j, k, d in _plain_notices(scanner, own)}
+        assert {(j, k, d) for block in scanner._candidates(own, set(range(len(some)))) for _, j, k, d in block} == near
+        got = scanner.scan(" ".join(own))
+        for h in got:  # what is named compresses its own block at least as well as any other template near it
+            stretch = licenses.words(" ".join(own)[h["start"] : h["end"]])
+            rivals = [k for k, t in enumerate(scanner.texts) if abs(len(t) - len(stretch)) <= int(licenses.MAX_DIFFERENCE * len(t)) and licenses.best_window(stretch, t)[0] <= int(licenses.MAX_DIFFERENCE * len(t))]
+            mine = [k for k in rivals if scanner.names[k] == h["license"]]
+            assert min(scanner.size(stretch, k) for k in mine) <= min(scanner.size(stretch, k) for k in rivals)
+        assert bool(got) == bool(near)
+
+
 def test_license_report_of_clashing_columns(spark):
     d = docs(spark, [(1, "Licensed under CC BY 4.0.")]).withColumns({"licenses": F.lit("mine"), "notice": F.lit(1)})
     assert licenses.find_licenses(d).columns == [*(c for c in d.columns if c != "licenses"), "licenses"]

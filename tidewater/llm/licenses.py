@@ -2,10 +2,12 @@
 
 Candidate blocks are the words around a template's intact pieces: a stretch within
 the allowed number of word edits of a template keeps one of its edits + 1 pieces
-word by word, so an automaton over all pieces loses no notice. A block is compressed
-with each license template as a raw zstandard dictionary, which ranks templates by
-size; stretches are confirmed by the words in which they and a template differ.
-Confirmed stretches are cut out and the remainders ranked again until none is left.
+word by word, so an automaton over all pieces loses no notice. Where stretches within
+the allowed edits of several templates overlap, their words are one candidate block: it
+is compressed with each of these templates as a raw zstandard dictionary, and the
+templates are ranked by the reduction of its size. The first one's stretches are the
+notices there, confirmed by the words in which they and it differ; a later one's count
+where they leave room. These are cut out and the remainders looked at again until none is left.
 """
 
 from __future__ import annotations
@@ -70,7 +72,9 @@ TEMPLATES = [
 #: The share of a template's words that may differ.
 MAX_DIFFERENCE = 0.15
 
-_WORD = re.compile(r"[0-9a-z]+(?:[.\-+][0-9a-z]+)*", re.I)
+_WORD = re.compile(r"[0-9a-z]+(?:[.\-+][0-9a-z]+)*", re.I | re.A)
+#: Letters and digits stay (A-Z become a-z), all other bytes become a space: words as above are one or more of these.
+_COARSE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _HITS = T.ArrayType(
     T.StructType(
         [
@@ -89,6 +93,11 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def coarse(text: str) -> str:
+    """The text's runs of letters and digits between spaces: a quick form in which no piece of a template gets lost."""
+    return f" {b' '.join(text.encode().translate(_COARSE).split()).decode()} "
+
+
 def window_ends(block: list[str], template: list[str]) -> tuple[list[int], list[int]]:
     """For each end word, the fewest word edits of a stretch that ends there to ``template``, and that stretch's first word."""
     n = len(template)
@@ -145,7 +154,7 @@ class Scanner:
         self.names = [name for name, _ in templates]
         self.texts = [words(text) for _, text in templates]
         self.vocabularies = [set(t) for t in self.texts]
-        self.pieces = self._automaton()
+        self.pieces, self.quick = self._automata()
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(
@@ -155,50 +164,80 @@ class Scanner:
             for t in self.texts
         ]
 
-    def _automaton(self):
-        """Each template cut in as many pieces as it may have edits, and one more: (template, first word of the piece)."""
+    def _automata(self):
+        """Each template cut in as many pieces as it may have edits, and one more: (template, first word of the piece); and the pieces in coarse form."""
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.texts):
             n = int(MAX_DIFFERENCE * len(t)) + 1
             for i in range(n):
                 a, b = i * len(t) // n, (i + 1) * len(t) // n
                 pieces.setdefault(f" {' '.join(t[a:b])} ", []).append((k, a))
-        found = ahocorasick.Automaton()
+        found, quick = ahocorasick.Automaton(), ahocorasick.Automaton()
         for piece, at in pieces.items():
             found.add_word(piece, (len(piece), at))
+            quick.add_word(coarse(piece), True)
         found.make_automaton()
-        return found
+        quick.make_automaton()
+        return found, quick
 
-    def stretches(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
+    def stretches(self, own: list[str], templates: set[int] | None = None) -> list[tuple[int, int, str, float, int]]:
         """(first word, end word, license, reduction, differences) of the block's confirmed stretches, none of which overlap."""
+        templates = set(range(len(self.texts))) if templates is None else templates
         found, left = [], [(0, len(own))]
         while left:
             a, b = left.pop()
-            cut = self._confirmed(own[a:b])
+            cut = [x for block in self._candidates(own[a:b], templates) for x in self._confirmed(own[a:b], block)]
             if not cut:
                 continue
-            found += [(a + i, a + j, *rest) for i, j, *rest in cut]
-            ends = [0, *(x for i, j, *_ in cut for x in (i, j)), b - a]
+            found += [(a + i, a + j, *rest) for i, j, *rest in sorted(cut)]
+            ends = [0, *(x for i, j, *_ in sorted(cut) for x in (i, j)), b - a]
             left += [(a + i, a + j) for i, j in zip(ends[::2], ends[1::2]) if j > i]
         return sorted(found)
 
-    def _confirmed(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
-        data = " ".join(own).encode()
-        by_size = sorted(range(len(self.texts)), key=lambda k: (len(self.given[k].compress(data)), k))
-        ranked = []
-        for place, k in enumerate(by_size):
-            n = len(self.texts[k])
-            ranked += [(d / n, -n, place, k, j, i, d) for d, i, j in near_windows(own, self.texts[k], self.vocabularies[k])]
-        taken, out = bytearray(len(own)), []
-        for _, _, _, k, j, i, d in sorted(ranked):
-            if 1 in taken[i:j]:
-                continue
-            taken[i:j] = b"\1" * (j - i)
-            stretch = " ".join(own[i:j]).encode()
-            out.append((i, j, self.names[k], 1 - len(self.given[k].compress(stretch)) / len(self.plain.compress(stretch)), d))
-        return sorted(out)
+    def _candidates(self, own: list[str], templates: set[int]) -> list[list[tuple[int, int, int, int]]]:
+        """Candidate blocks: (first word, end word, template, differences) of stretches near a template, those that overlap together.
+
+        Of stretches of one template that overlap the nearest counts, then the first to end.
+        """
+        near = []
+        for k in templates:
+            taken = bytearray(len(own))
+            for d, i, j in sorted(near_windows(own, self.texts[k], self.vocabularies[k]), key=lambda w: (w[0], w[2])):
+                if 1 not in taken[i:j]:
+                    taken[i:j] = b"\1" * (j - i)
+                    near.append((i, j, k, d))
+        blocks: list[list[tuple[int, int, int, int]]] = []
+        reach = -1
+        for stretch in sorted(near):
+            if stretch[0] < reach:
+                blocks[-1].append(stretch)
+            else:
+                blocks.append([stretch])
+            reach = max(reach, stretch[1])
+        return blocks
+
+    def size(self, own: list[str], template: int) -> int:
+        """Bytes of the words compressed with a template as dictionary."""
+        return len(self.given[template].compress(" ".join(own).encode()))
+
+    def _confirmed(self, own: list[str], block: list[tuple[int, int, int, int]]) -> list[tuple[int, int, str, float, int]]:
+        """The block's notices: templates by their reduction of the block's size, equal ones by differing words, then the longest."""
+        first, end = min(i for i, *_ in block), max(j for _, j, *_ in block)
+        least = {k: min(d for _, _, x, d in block if x == k) / len(self.texts[k]) for _, _, k, _ in block}
+        ranked = sorted(least, key=lambda k: (self.size(own[first:end], k), least[k], -len(self.texts[k]), k))
+        taken, out = bytearray(end - first), []
+        for k in ranked:
+            for i, j, _, d in sorted((x for x in block if x[2] == k), key=lambda x: (x[3], x[1])):
+                if 1 in taken[i - first : j - first]:
+                    continue
+                taken[i - first : j - first] = b"\1" * (j - i)
+                plain = len(self.plain.compress(" ".join(own[i:j]).encode()))
+                out.append((i, j, self.names[k], 1 - self.size(own[i:j], k) / plain, d))
+        return out
 
     def scan(self, text: str) -> list[dict]:
+        if next(self.quick.iter(coarse(text)), None) is None:
+            return []
         own = words(text)
         line = f" {' '.join(own)} "
         hits = [(end, size, at) for end, (size, at) in self.pieces.iter(line)]
@@ -207,13 +246,13 @@ class Scanner:
         starts = array("q", (m.start() for m in _WORD.finditer(text)))
         ends = array("q", (m.end() for m in _WORD.finditer(text)))
         out = []
-        for first, last in self._blocks(own, hits):
-            for a, b, name, gain, differences in self.stretches(own[first:last]):
+        for first, last, templates in self._blocks(own, hits):
+            for a, b, name, gain, differences in self.stretches(own[first:last], templates):
                 out.append({"start": starts[first + a], "end": ends[first + b - 1], "license": name, "reduction": round(gain, 6), "n_different": differences})
         return out
 
-    def _blocks(self, own: list[str], hits: list[tuple[int, int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
-        """(first word, end word) of where a stretch around each piece may reach; those that touch are one block."""
+    def _blocks(self, own: list[str], hits: list[tuple[int, int, list[tuple[int, int]]]]) -> list[tuple[int, int, set[int]]]:
+        """(first word, end word, templates) of where stretches around pieces may reach; those that touch are one."""
         place = array("q", [0])  # of each word in the line
         for w in own:
             place.append(place[-1] + len(w) + 1)
@@ -223,13 +262,13 @@ class Scanner:
             for k, offset in at:
                 n = len(self.texts[k])
                 most = int(MAX_DIFFERENCE * n)
-                spans.append((max(0, i - offset - most), min(len(own), i - offset + n + 2 * most)))
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
+                spans.append((max(0, i - offset - most), min(len(own), i - offset + n + 2 * most), k))
+        out: list[tuple[int, int, set[int]]] = []
+        for a, b, k in sorted(spans):
             if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
+                out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] | {k})
             else:
-                out.append((a, b))
+                out.append((a, b, {k}))
         return out
 
 
@@ -239,7 +278,9 @@ def find_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     Null and empty texts have none; a column ``licenses`` is replaced; repeated
     rows are scanned alike; texts of any length are scanned whole, word by word, so
     line breaks, white space and comment marks within a notice don't count. An empty
-    table gives no rows; of wordings that fit a stretch alike the longest is named.
+    table gives no rows. Of templates within ``MAX_DIFFERENCE`` of overlapping stretches the
+    one that compresses them best is named; if several do so alike, the one with the
+    smaller share of differing words, then the longest.
     """
     from .common import append_columns
 
