@@ -57,3 +57,29 @@ def model_seam(spark, sf):
         return frame[["doc_id", "score"]]
 
     return apply_model(table(spark, sf, "documents").select("doc_id", "text"), model, "doc_id long, score double")
+
+
+_LIVE = """r AS (SELECT user_id, epoch_us(ts) AS us, event_id AS ident, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS what FROM events),
+s AS (SELECT *, coalesce(sum((what = 2)::INT) OVER (PARTITION BY user_id ORDER BY us, ident ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS session FROM r),
+c AS (SELECT *, count(*) FILTER (what = 0) OVER (PARTITION BY user_id, session ORDER BY us, ident) AS seen FROM s),
+f AS (SELECT user_id, session, us, min(ident) AS ident FROM s WHERE what = 0 GROUP BY ALL),
+o AS (SELECT user_id, session, min(us) AS origin, max(us) AS last FROM f GROUP BY ALL),
+t AS (SELECT user_id, session, origin, unnest(range(0, (last - origin) // 14400000000 + 1)) AS tick FROM o),
+p AS (SELECT t.*, f.ident, CASE WHEN tick < 6 THEN 0 ELSE 1 + (tick - 6) // 2 END AS n FROM t ASOF JOIN f ON t.user_id = f.user_id AND t.session = f.session AND t.origin + t.tick * 14400000000 <= f.us),
+g AS (SELECT user_id, session, n, min(tick) AS a, max(tick) AS b, arg_min(ident, tick) AS first_frame, arg_max(ident, tick) AS last_frame FROM p GROUP BY ALL)"""
+
+
+def live_rows(events):
+    """Events as rows of a live stream: errors end a session, purchases ask, all others are frames."""
+    what = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 2).otherwise(0)
+    return events.withColumns({"us": F.unix_micros(F.col("ts").cast("timestamp")), "ident": F.col("event_id"), "what": what})
+
+
+@query("L7 L9 L5", f"""WITH {_LIVE}
+SELECT user_id, session, 'turn' AS kind, n::BIGINT AS n, a * 14400.0::DOUBLE AS start, (b + 1) * 14400.0::DOUBLE AS stop, first_frame, last_frame, b - a + 1 AS n_frames FROM g
+UNION ALL SELECT user_id, session, 'answer', ident, NULL, NULL, NULL, NULL, seen - lag(seen, 1, 0) OVER (PARTITION BY user_id, session ORDER BY us, ident) FROM c WHERE what = 1
+UNION ALL SELECT x.user_id, x.session, 'end', coalesce(k, 0), NULL, NULL, NULL, NULL, frames FROM (SELECT user_id, session, count(*) FILTER (what = 0) AS frames FROM s GROUP BY ALL) x LEFT JOIN (SELECT user_id, session, count(*) AS k FROM g GROUP BY ALL) y ON x.user_id = y.user_id AND x.session = y.session""")
+def live_turns(spark, sf):
+    from tidewater.streaming.realtime import turns_batch
+
+    return turns_batch(live_rows(table(spark, sf, "events")), "user_id", step=14_400_000_000, initial=6, steady=2)
