@@ -13,6 +13,7 @@ from tidewater.operators import joins as J
 from tidewater.operators import metrics as M
 from tidewater.operators import numeric as N
 from tidewater.operators import retrieval as R
+from tidewater.operators import scans as Sc
 from tidewater.operators import sequences as S
 from tidewater.sources import files, schemas
 from tidewater.streaming import state as St
@@ -95,7 +96,7 @@ def test_votes(spark):
 
 def words(spark, ends, least, most=10.0, gap=3.0):
     df = spark.createDataFrame([("v", i, e - 1.0, float(e), f"w{i}") for i, e in enumerate(ends)], "video string, pos long, start double, end double, word string")
-    return [(r.first, r.n) for r in S.cut_clips(df, "video", least=least, most=most, gap=gap).orderBy("clip").collect()]
+    return [(r.first, r.n) for r in Sc.cut_clips(df, "video", least=least, most=most, gap=gap).orderBy("clip").collect()]
 
 
 def test_clips(spark):

@@ -50,38 +50,6 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, gap: float, tie: str)
     return df.withColumn("__new", F.when(F.col(ts) - F.lag(ts).over(order) > gap, 1).otherwise(0)).withColumn("session", F.sum("__new").over(order)).drop("__new")
 
 
-def cut_clips(words: DataFrame, key: str, *, least: float = 30, most: float = 240, gap: float = 3, by: str = "end", sentences: bool = False) -> DataFrame:
-    """Greedy clips per key: (key, clip, first, n, start, end, previous).
-
-    words: key, pos, start, end, word. ``by`` is the time that spans and gaps are
-    measured in. A clip ends before a word over the span or the gap; the last word
-    of a transcript that ends without either is not part of its clip. With
-    ``sentences`` a clip starts after sentence-final punctuation at an upper-case word.
-    A fold in order, one key (a transcript) at a time.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        t, word = pdf[by].tolist(), pdf["word"].tolist()
-        out, i, n = [], 0, len(pdf)
-        while i < n:
-            if sentences and i and not (word[i - 1].endswith((".", "?", "!")) and word[i].isupper()):
-                i += 1
-                continue
-            if i + 1 >= n:
-                break
-            j = i + 1
-            while j < n - 1 and t[j] - t[i] <= most and t[j] - t[j - 1] <= gap:
-                j += 1
-            if t[j - 1] - t[i] >= least:
-                out.append((pdf[key].iloc[0], len(out), i, j - i, pdf["start"].iloc[i], pdf["end"].iloc[j - 1], " ".join(word[:i])))
-            i = j
-        return pd.DataFrame(out, columns=[key, "clip", "first", "n", "start", "end", "previous"])
-
-    kind = words.schema[key].dataType.simpleString()
-    return words.groupBy(key).applyInPandas(run, f"{key} {kind}, clip long, first long, n long, start double, end double, previous string")
-
-
 def running_text(keys: list[str], order: list[str], text: str) -> Column:
     """All texts before this one, joined by a space."""
     return F.array_join(F.collect_list(text).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), " ")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import timeline as T
 from tidewater.functions import vectors as V
 from tidewater.operators import numeric as N
+from tidewater.operators import scans as Sc
 from tidewater.operators import sequences as S
 
 from .registry import query
@@ -167,12 +168,14 @@ def _transcripts(spark, sf):
 
 @query("J4 Q6")
 def clip_cut(spark, sf):
-    return S.cut_clips(_transcripts(spark, sf), "video", least=30, most=240, gap=2.6)
+    words = _transcripts(spark, sf)
+    return Sc.with_previous(Sc.cut_clips(words, "video", least=30, most=240, gap=2.6), words, "video")
 
 
 @query("J5")
 def clip_cut_sentences(spark, sf):
-    return S.cut_clips(_transcripts(spark, sf), "video", least=10, most=240, gap=3.2, by="start", sentences=True)
+    words = _transcripts(spark, sf)
+    return Sc.with_previous(Sc.cut_clips(words, "video", least=10, most=240, gap=3.2, by="start", sentences=True), words, "video")
 
 
 @query("J4 L12", f"WITH {FRAMES}, g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 36000 THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n, min(t) AS start, max(t) AS \"end\" FROM s GROUP BY ALL")
@@ -299,13 +302,9 @@ def nucleus_filter(spark, sf):
 
 @query("K5", "WITH x AS (SELECT conv_id, turn, count(*) OVER w AS n, (length(text) % 3)::DOUBLE / 3.0::DOUBLE AS r, (length(text) % 7)::DOUBLE / 7.0::DOUBLE AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WINDOW w AS (PARTITION BY conv_id)), d AS (SELECT *, r + 0.99 * coalesce(lead(v) OVER (PARTITION BY conv_id ORDER BY turn), 0) - v AS delta FROM x) SELECT a.conv_id, a.turn, round(sum(pow(0.99 * 0.95, b.i - a.i) * b.delta), 6) AS adv FROM d a JOIN d b ON a.conv_id = b.conv_id AND b.i >= a.i GROUP BY ALL")
 def gae(spark, sf):
-    from tidewater.operators.sequences import nest
-
     c = table(spark, sf, "conversations").select("conv_id", "turn", ((F.length("text") % 3) / 3.0).cast("double").alias("r"), ((F.length("text") % 7) / 7.0).cast("double").alias("v"))
-    n = nest(c, ["conv_id"], "turn", ["r", "v"])
-    adv = V.gae(F.transform("items", lambda x: x["r"]), F.transform("items", lambda x: x["v"]), 0.99, 0.95)
-    pair = F.arrays_zip(F.transform("items", lambda x: x["turn"]).alias("turn"), adv.alias("adv"))
-    return n.select("conv_id", F.explode(pair).alias("x")).select("conv_id", "x.turn", F.round("x.adv", 6).alias("adv"))
+    found = Sc.generalized_advantage(c, ["conv_id"], ["turn"], "r", "v", 0.99, 0.95)
+    return found.select("conv_id", "turn", F.round("advantage", 6).alias("adv"))
 
 
 @query("K6", "SELECT conv_id, turn, round(-0.1::DOUBLE * (length(text) % 5 - length(text) % 3), 6) + CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM conversations")
@@ -329,8 +328,17 @@ def zscore_history(spark, sf):
 r AS (SELECT conv_id, 0::BIGINT AS n, 0.2::DOUBLE AS c FROM t GROUP BY conv_id UNION ALL SELECT r.conv_id, t.n, r.c * (1 + greatest(-0.2, least(0.2, t.kl / 6 - 1)) * (256 / 10000.0::DOUBLE)) FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
 SELECT conv_id, round(arg_max(c, n), 6) AS coefficient FROM r GROUP BY conv_id""")
 def adaptive_controller(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", (F.length("text") / 100.0).alias("kl")))), lambda x: x["kl"].cast("double")).alias("kls"))
-    return c.select("conv_id", F.round(N.adaptive_kl(F.col("kls"), 0.2, 6.0, 10000.0, 256), 6).alias("coefficient"))
+    c = table(spark, sf, "conversations").select("conv_id", (F.length("text") / 100.0).cast("double").alias("kl"))
+    return Sc.controller_end(c, ["conv_id"], "kl", 0.2, 6.0, 10000.0, 256).withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query("K9", """WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(text) / 100.0::DOUBLE AS kl FROM conversations),
+r AS (SELECT conv_id, NULL::BIGINT AS turn, 0::BIGINT AS n, 0.2::DOUBLE AS c FROM t GROUP BY conv_id UNION ALL SELECT r.conv_id, t.turn, t.n, r.c * (1 + greatest(-0.2, least(0.2, t.kl / 6 - 1)) * (256 / 10000.0::DOUBLE)) FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+SELECT conv_id, turn, round(c, 6) AS coefficient FROM r WHERE n > 0""")
+def controller_path(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), (F.length("text") / 100.0).cast("double").alias("kl"))
+    path = Sc.controller_path(c, ["conv_id"], ["turn"], "kl", 0.2, 6.0, 10000.0, 256)
+    return path.select("conv_id", "turn", F.round("coefficient", 6).alias("coefficient"))
 
 
 @query("K10", "SELECT vec_id, round(ln(1 + exp(-0.1 * d)), 6) AS sigmoid, round(greatest(0, 1 - 0.1 * d), 6) AS hinge, round(pow(d - 5, 2), 6) AS ipo FROM (SELECT vec_id, embedding[1]::DOUBLE - embedding[2]::DOUBLE AS d FROM embeddings)")
