@@ -33,6 +33,7 @@ def _load() -> None:
         retrieval_queries,
         sampling_queries,
         sequence_queries,
+        source_queries,
         stream_queries,
         turn_queries,
     )

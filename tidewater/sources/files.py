@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,10 +23,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, skip_bad: bool =
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST").json(path)
 
 
+_OFFSETS = r"^\s*\[\s*\d+(\s*,\s*\d+)*\s*\]\s*$"
+
+
+def without_index_line(lines: DataFrame) -> DataFrame:
+    """Text lines (value, file) without each file's line of offsets: an array that begins with 0 and has an entry for each other line.
+
+    Other lines that are arrays of numbers stay. Only files with such lines are counted.
+    """
+    entries = F.from_json("value", "array<long>")
+    marked = lines.withColumn("__n", F.when(F.col("value").rlike(_OFFSETS) & (F.get(entries, F.lit(0)) == 0), F.size(entries)))
+    sizes = lines.groupBy("file").agg((F.count("*") - 1).alias("__others"))
+    index = marked.where("__n IS NOT NULL").join(sizes, "file").where("__n = __others").select("file", F.col("value").alias("__index")).distinct()
+    found = F.col("index_of") == F.col("file")
+    index = index.select(F.col("file").alias("index_of"), "__index")
+    return marked.join(index, found & F.col("__n").isNotNull() & (F.col("value") == F.col("__index")), "left_anti").drop("__n")
+
+
 def read_jsonl_indexed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSONL whose last line is an array of offsets, which is left out."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*\[\s*\d+(\s*,\s*\d+)*\s*\]\s*$"))
-    return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
+    """JSONL whose last line may be the offsets of the others, which is left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return without_index_line(lines).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 def read_jsonl_double(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -80,6 +102,61 @@ def existing_only(df: DataFrame, listing: DataFrame, column: str) -> DataFrame:
     return df.join(listing.select(column).distinct(), column, "left_semi")
 
 
+def _in_files(df: DataFrame, files: int) -> DataFrame:
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(files)
+
+
+def write_json_arrays(df: DataFrame, path: str, files: int = 1) -> None:
+    """Files that each hold one JSON array of records."""
+
+    def framed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in frames:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append(lead + value)
+                lead = ","
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    _in_files(df, files).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
+def write_jsonl_indexed(df: DataFrame, path: str, files: int = 1) -> None:
+    """JSONL files whose last line has the offset of each record, in characters."""
+
+    def with_offsets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets, at = [], 0
+        for batch in frames:
+            for value in batch.column(0).to_pylist():
+                offsets.append(at)
+                at += len(value) + 1
+            yield batch
+        if offsets:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(offsets)])], names=["value"])
+
+    _in_files(df, files).mapInArrow(with_offsets, "value string").write.mode("overwrite").text(path)
+
+
+def write_named(df: DataFrame, path: str, name: str, value: str) -> DataFrame:
+    """Write ``value`` of each row to the file ``name`` of the folder, in tasks; (name, size) of what was written. A row that is written again replaces its file."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for batch in frames:
+            names, sizes = batch.column(0).to_pylist(), []
+            for n, v in zip(names, batch.column(1).to_pylist(), strict=True):
+                data = (v or "").encode()
+                with system.open_output_stream(f"{folder}/{n}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "size"])
+
+    return df.select(F.col(name).cast("string"), F.col(value).cast("string")).mapInArrow(run, "name string, size long")
+
+
 def write_jsonl(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:
     w = df.write.mode("overwrite")
     (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).json(path)

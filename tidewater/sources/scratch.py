@@ -19,9 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
