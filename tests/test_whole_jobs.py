@@ -27,10 +27,10 @@ def test_votes_of_whole_blocks(spark, sf):
     con.sql(f"create table s as select a.vec_id, a.label, round({DOT}, 6) as score from embeddings a, (select embedding from embeddings where vec_id = 0) b")
     con.sql("""create table v as select vec_id, sum(1.0 + label % 2)::double as votes from
         (select *, row_number() over (partition by label order by score desc, vec_id) as rn from s) where rn <= 5 and label >= 2 group by vec_id""")
-    got = {(r.vec_id, r.votes) for r in entry.queries()["layer_vote_blocks"](spark, sf).collect()}
+    got = {(r.vec_id, r.votes) for r in entry.queries()["layer_vote"](spark, sf).collect()}
     assert got == set(con.sql("select vec_id, votes from v").fetchall())
     want = con.sql("select vec_id from (select * from v order by votes desc, vec_id limit 6) union select vec_id from (select vec_id from embeddings order by vec_id desc limit 5)")
-    assert {(r.vec_id,) for r in entry.queries()["recent_union_blocks"](spark, sf).collect()} == set(want.fetchall())
+    assert {(r.vec_id,) for r in entry.queries()["recent_union_topk"](spark, sf).collect()} == set(want.fetchall())
 
 
 def _write(spark, path, **tables):
@@ -54,7 +54,6 @@ def test_joins_of_whole_tables(spark, sf):
     exact = con.sql("select d.doc_id, max(x.quality)::varchar from documents d join (select text, quality from documents join labels using (doc_id)) x on d.text = x.text group by d.doc_id").fetchall()
     got = run("priority_match_texts")
     assert len(got) == con.sql("select count(*) from documents").fetchall()[0][0] and set(exact) <= set(got)
-    assert run("prefix_match_benchmark") == sorted(con.sql("select doc_id, item_id from documents d join benchmark b on starts_with(d.text, b.text)").fetchall())
     n = "select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations where role = "
     want = con.sql(f"select u.conv_id, u.turn, a.turn from ({n} 'user') u join ({n} 'assistant') a on u.conv_id = a.conv_id and u.n = a.n").fetchall()
     assert run("consumed_replies") == sorted(want) and want

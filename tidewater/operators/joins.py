@@ -27,17 +27,71 @@ def priority_lookup(left: DataFrame, right: DataFrame, tries: list[tuple[Column,
 
 
 def prefix_match(left: DataFrame, right: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Rows whose text starts with a prefix: an equi-join on the first characters, as many as the shortest prefix has, then the full test."""
-    n = right.where(F.length(prefix) > 0).agg(F.min(F.length(prefix))).first()[0] or 1
-    key = lambda c: F.substring(c, 1, n)
-    return left.withColumn("__h", key(F.col(text))).join(right.withColumn("__h", key(F.col(prefix))), "__h").where(F.col(text).startswith(F.col(prefix))).drop("__h")
+    """Rows whose text starts with a prefix that is not empty.
 
+    Both meet on as many first characters as the greatest power of two in the prefix's
+    length, so a text has a key for each such power in use (at most the logarithm of the
+    longest prefix), and what meets agrees in half of the prefix or more.
+    """
+    cut = right.where(F.length(prefix) > 0).withColumn("__n", F.pow(F.lit(2), F.floor(F.log2(F.length(prefix)))).cast("int"))
+    used = F.broadcast(cut.select("__n").distinct())  # at most 31 rows
+    key = lambda c: F.xxhash64(F.expr(f"substring(`{c}`, 1, __n)"))
+    texts = left.join(used, F.length(text) >= F.col("__n")).withColumn("__h", key(text))
+    return texts.join(cut.withColumn("__h", key(prefix)), ["__n", "__h"]).where(F.col(text).startswith(F.col(prefix))).drop("__n", "__h")
+
+
+#: Shorter intervals are treated as of this length, 2 ** -20.
+_LEAST_LEVEL = -20
+
+
+def _level(start: str, end: str) -> Column:
+    """The least power of two that is no shorter than the interval."""
+    length = F.col(end).cast("double") - F.col(start)
+    return F.greatest(F.when(length > 0, F.ceil(F.log2(length))).otherwise(_LEAST_LEVEL), F.lit(_LEAST_LEVEL)).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level))
+
+
+def _nodes(intervals: DataFrame, start: str, end: str, level: Column) -> Column:
+    """The cells of a level that an interval no longer than them touches: two at most."""
+    return F.array_distinct(F.array(_cell(F.col(start), level), _cell(F.col(end), level)))
+
+
+def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Pairs with start <= at <= end, for intervals of any length.
+
+    An interval lies in one or two cells of the level of its length; a point has a cell in each level in
+    use (a few dozen at most), so neither side grows with the lengths. Intervals that end before they start are left out.
+    """
+    own = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", _level(start, end))
+    used = F.broadcast(own.select("__level").distinct())
+    i = own.withColumn("__cell", F.explode(_nodes(own, start, end, F.col("__level"))))
+    p = points.crossJoin(used).withColumn("__cell", _cell(F.col(at), F.col("__level")))  # levels in use
+    return p.join(i, [*keys, "__level", "__cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__level", "__cell")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs of intervals that share a point, each once, whatever their lengths: they meet in a cell of the longer one's level.
+
+    ``a`` and ``b`` name start and end of ``left`` and ``right``; other columns have different names.
+    """
+    x = left.where(F.col(a[0]) <= F.col(a[1])).withColumn("__la", _level(*a))
+    y = right.where(F.col(b[0]) <= F.col(b[1])).withColumn("__lb", _level(*b))
+    levels = lambda df, c: F.broadcast(df.select(F.col(c).alias("__level")).distinct())
+
+    def meet(p, pl, pab, q, ql, qab, strict):
+        # p goes to all levels of q from its own on, where it touches two cells at most
+        up = p.join(levels(q, ql), (F.col("__level") > F.col(pl)) if strict else (F.col("__level") >= F.col(pl)))
+        up = up.withColumn("__cell", F.explode(_nodes(up, *pab, F.col("__level"))))
+        home = q.withColumn("__level", F.col(ql)).withColumn("__cell", F.explode(_nodes(q, *qab, F.col(ql))))
+        return up.join(home, [*keys, "__level", "__cell"])
 
-def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
-    """Pairs with start <= at <= end: both sides meet in bins of ``width``."""
-    p = points.withColumn("__bin", F.floor(F.col(at) / width))
-    i = intervals.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(i, [*keys, "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__bin")
+    both = meet(x, "__la", a, y, "__lb", b, False).unionByName(meet(y, "__lb", b, x, "__la", a, True))
+    first = F.greatest(F.col(a[0]).cast("double"), F.col(b[0]).cast("double"))  # only the cell of the first shared point counts
+    hit = (F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1])) & (F.col("__cell") == _cell(first, F.col("__level")))
+    return both.where(hit).drop("__la", "__lb", "__level", "__cell")
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,8 +185,8 @@ def words_per_tick(words: DataFrame, keys: list[str], order: str, end: str, step
     return words.withColumn("tick", F.ceil(reached / step) * step)
 
 
-def covering(points: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], at: str, ident: str, width: float) -> DataFrame:
+def covering(points: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], at: str, ident: str) -> DataFrame:
     """``points`` with ``cover``: 'query' inside an interval (start, end) of ``first``, else 'response' inside one of ``second``, else null."""
-    hit = lambda spans, name: stab(points.select(*keys, ident, at), spans, keys, at, "start", "end", width).select(ident).distinct().withColumn(name, F.lit(True))
+    hit = lambda spans, name: stab(points.select(*keys, ident, at), spans, keys, at, "start", "end").select(ident).distinct().withColumn(name, F.lit(True))
     both = points.join(hit(first, "__q"), ident, "left").join(hit(second, "__r"), ident, "left")
     return both.withColumn("cover", F.when(F.col("__q"), "query").when(F.col("__r"), "response")).drop("__q", "__r")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def accuracy_by(df: DataFrame, *keys: str, correct: str = "correct") -> DataFrame:
@@ -107,24 +113,59 @@ def require_complete(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def softmax_states(df: DataFrame, keys: list[str], score: Column, value: Column) -> DataFrame:
-    """A mergeable state (m, l, o) per group: greatest score, sum of weights and of weighted values, relative to it. One pass per group."""
-    pairs = df.select(*keys, score.cast("double").alias("__s"), value.cast("double").alias("__v"))
-    top = F.max("__s").over(W.partitionBy(*keys))
-    w = F.exp(F.col("__s") - F.col("m"))
-    return pairs.withColumn("m", top).groupBy(*keys, "m").agg(F.sum(w).alias("l"), F.sum(w * F.col("__v")).alias("o"))
-
-
-def merge_softmax(states: DataFrame, key: str) -> DataFrame:
-    """Weighted mean per key of states of any parts, folded in pairs: each is rescaled to the greater maximum."""
-    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("l"), F.lit(0.0).alias("o"))
+    """keys and a mergeable state (m, l, o): greatest score, sum of weights and of weighted values relative to it.
 
-    def join(a, x):
-        m = F.greatest(a["m"], x["m"])
-        wa, wx = F.exp(a["m"] - m), F.exp(x["m"] - m)
-        return F.struct(m.alias("m"), (a["l"] * wa + x["l"] * wx).alias("l"), (a["o"] * wa + x["o"] * wx).alias("o"))
-
-    parts = F.sort_array(F.collect_list(F.struct("m", "l", "o")))
-    return states.groupBy(key).agg(F.aggregate(parts, start, join, lambda a: a["o"] / a["l"]).alias("weighted"))
+    One pass without a shuffle: a task keeps a state per group and rescales it when the
+    maximum grows; states are handed over when there are ``_GROUPS`` and at the end, so
+    a group has a few rows per task. Rows of a null score have no weight; null keys are a group.
+    """
+    n = len(keys)
+    kinds = df.select(*keys).schema
+    schema = T.StructType([*kinds.fields, *[T.StructField(c, T.DoubleType()) for c in ("m", "l", "o")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, tuple[float, float, float]] = {}
+
+        def handed() -> pa.RecordBatch:
+            columns = list(zip(*[(*k, *s) for k, s in states.items()], strict=True)) or [()] * (n + 3)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+        for batch in batches:
+            place: dict[tuple, int] = {}
+            group = np.array([place.setdefault(k, len(place)) for k in zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True)], np.int64)
+            s = batch.column(n).to_numpy(zero_copy_only=False).astype(np.float64)
+            v = batch.column(n + 1).to_numpy(zero_copy_only=False).astype(np.float64)
+            known = ~np.isnan(s) & ~np.isnan(v)
+            group, s, v = group[known], s[known], v[known]
+            m = np.full(len(place), -np.inf)
+            np.maximum.at(m, group, s)
+            w = np.exp(s - m[group])
+            l, o = np.bincount(group, w, len(place)), np.bincount(group, w * v, len(place))  # noqa: E741
+            for k, i in place.items():
+                if m[i] == -np.inf:
+                    continue
+                was = states.get(k, (-np.inf, 0.0, 0.0))
+                top = max(was[0], m[i])
+                old, new = float(np.exp(was[0] - top)), float(np.exp(m[i] - top))
+                states[k] = (float(top), was[1] * old + float(l[i]) * new, was[2] * old + float(o[i]) * new)
+            if len(states) >= _GROUPS:
+                yield handed()
+                states.clear()
+        yield handed()
+
+    return df.select(*keys, score.cast("double").alias("__s"), value.cast("double").alias("__v")).mapInArrow(run, schema)
+
+
+#: Groups whose states a task holds at once.
+_GROUPS = 100_000
+
+
+def merge_softmax(states: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``weighted``, the weighted mean, of states of any parts: each is rescaled to the greatest maximum of its group."""
+    top = states.withColumn("__top", F.max("m").over(W.partitionBy(*keys)))  # a few rows per task and group
+    share = F.exp(F.col("m") - F.col("__top"))
+    return top.groupBy(*keys).agg((F.sum(F.col("o") * share) / F.sum(F.col("l") * share)).alias("weighted"))
 
 
 def even_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -107,7 +107,7 @@ def llm_verdict(spark, sf):
 
 @query("D26", "SELECT page_id, replace(url, 'http://', '/data/') AS path FROM pages WHERE starts_with(url, 'http://')")
 def rebased_paths(spark, sf):
-    return table(spark, sf, "pages").where(F.col("url").startswith("http://")).select("page_id", F.replace(X.path_rebase(F.col("url"), "http://", "/data/"), F.lit("http://"), F.lit("/data/")).alias("path"))
+    return table(spark, sf, "pages").where(F.col("url").startswith("http://")).select("page_id", X.path_rebase(F.col("url"), "http://", "/data/").alias("path"))
 
 
 @query("D27 J18")

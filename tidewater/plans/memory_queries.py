@@ -113,7 +113,7 @@ SELECT event_id, CASE WHEN q THEN 'query' WHEN r THEN 'response' END AS cover FR
 def covering_interval(spark, sf):
     f = frames(spark, sf).select("user_id", "event_id", "event_type", (F.col("t") / 3600).alias("h"))
     spans = lambda kind, length: f.where(F.col("event_type") == kind).select("user_id", F.col("h").alias("start"), (F.col("h") + length).alias("end"))
-    return J.covering(f, spans("purchase", 3), spans("error", 12), ["user_id"], "h", "event_id", 12.0).select("event_id", "cover")
+    return J.covering(f, spans("purchase", 3), spans("error", 12), ["user_id"], "h", "event_id").select("event_id", "cover")
 
 
 @query("A19", "SELECT page_id, sha256(encode(html)[11:50]) AS digest FROM pages WHERE octet_length(encode(html)) >= 50")
@@ -269,9 +269,9 @@ def even_histogram(spark, sf):
 
 @query("I32", f"WITH {RESULTS}, m AS (SELECT task, max(n_chars / 1000.0) AS top FROM r GROUP BY task) SELECT r.task, round(sum(exp(n_chars / 1000.0 - top) * gold) / sum(exp(n_chars / 1000.0 - top)), 6) AS weighted FROM r JOIN m ON r.task = m.task GROUP BY r.task")
 def softmax_merge(spark, sf):
-    r = results(spark, sf).withColumn("part", F.pmod("qid", F.lit(16)))
-    states = M.softmax_states(r, ["task", "part"], F.col("n_chars") / 1000.0, F.col("gold"))
-    return M.merge_softmax(states, "task").withColumn("weighted", F.round("weighted", 6))
+    r = results(spark, sf)
+    states = M.softmax_states(r, ["task"], F.col("n_chars") / 1000.0, F.col("gold"))
+    return M.merge_softmax(states, ["task"]).select("task", F.round("weighted", 6).alias("weighted"))
 
 
 @query("K4", "WITH t AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), p AS (SELECT source, doc_id, r, n_chars / sum(n_chars) OVER (PARTITION BY source) AS p FROM t WHERE r <= 20), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY source ORDER BY p DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT source, doc_id FROM c WHERE before < 0.8137")
@@ -306,10 +306,10 @@ def merged_moments(spark, sf):
     return N.merge_moment_states(parts, "source").select("source", "n", F.round("mean", 6).alias("mean"), F.round("var", 3).alias("var"))
 
 
-@query("K10", "WITH r AS (SELECT vec_id, embedding[1]::DOUBLE - embedding[3]::DOUBLE AS c, embedding[2]::DOUBLE - embedding[4]::DOUBLE AS d FROM embeddings), k AS (SELECT greatest(avg(c), 0) AS kc, greatest(avg(d), 0) AS kd FROM r) SELECT vec_id, round(1 - 1 / (1 + exp(-0.1 * (c - kd))), 6) AS loss_chosen, round(1 - 1 / (1 + exp(-0.1 * (kc - d))), 6) AS loss_rejected FROM r, k")
+@query("K10", "WITH r AS (SELECT vec_id, s[1] - s[3] AS c, s[2] - s[4] AS d FROM (SELECT vec_id, list_transform(range(4), lambda i: list_sum(list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: x::DOUBLE))) AS s FROM embeddings)), k AS (SELECT greatest(avg(c), 0) AS kc, greatest(avg(d), 0) AS kd FROM r) SELECT vec_id, round(1 - 1 / (1 + exp(-0.1 * (c - kd))), 6) AS loss_chosen, round(1 - 1 / (1 + exp(-0.1 * (kc - d))), 6) AS loss_rejected FROM r, k")
 def kto_losses(spark, sf):
     names = ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")
-    e = table(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    e = table(spark, sf, "embeddings").select("vec_id", *[F.aggregate(F.slice(F.col("embedding").cast("array<double>"), 16 * i + 1, 16), F.lit(0.0), lambda a, x: a + x).alias(n) for i, n in enumerate(names)])
     return N.kto_losses(e, 0.1).select("vec_id", F.round("loss_chosen", 6).alias("loss_chosen"), F.round("loss_rejected", 6).alias("loss_rejected"))
 
 

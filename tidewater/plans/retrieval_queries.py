@@ -81,34 +81,19 @@ def forced_retrieval(spark, sf):
 _LAYERS = "h AS (SELECT label AS layer, vec_id, 1.0 + label % 2 AS weight, rn FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 5)"
 
 
-def _hits(spark, sf):
+def _votes(spark, sf):
     top = R.top_k_per(_scored(spark, sf).select("label", "vec_id", "score"), ["label"], 5)
-    return top.select(F.col("label").alias("layer"), F.pmod("vec_id", F.lit(40)).alias("vec_id"), (1.0 + F.pmod("label", F.lit(2))).cast("double").alias("weight"))
+    return R.layer_votes(top.select(F.col("label").alias("layer"), "vec_id", (1.0 + F.pmod("label", F.lit(2))).cast("double").alias("weight")), 2)
 
 
-@query("G12", f"WITH {_SCORED}, {_LAYERS} SELECT vec_id % 40 AS vec_id, sum(weight)::DOUBLE AS votes FROM h WHERE layer >= 2 GROUP BY ALL")
+@query("G12", f"WITH {_SCORED}, {_LAYERS} SELECT vec_id, sum(weight)::DOUBLE AS votes FROM h WHERE layer >= 2 GROUP BY ALL")
 def layer_vote(spark, sf):
-    return R.layer_votes(_hits(spark, sf), 2)
+    return _votes(spark, sf)
 
 
-@query("G13 G14 G15 J18", f"WITH {_SCORED}, {_LAYERS}, v AS (SELECT vec_id % 40 AS vec_id, sum(weight) AS votes FROM h WHERE layer >= 2 GROUP BY ALL), b AS (SELECT vec_id FROM v ORDER BY votes DESC, vec_id LIMIT 6) SELECT vec_id FROM b UNION SELECT unnest(range(35, 40))")
+@query("G13 G14 G15 J18", f"WITH {_SCORED}, {_LAYERS}, v AS (SELECT vec_id, sum(weight) AS votes FROM h WHERE layer >= 2 GROUP BY ALL), b AS (SELECT vec_id FROM v ORDER BY votes DESC, vec_id LIMIT 6) SELECT vec_id FROM b UNION SELECT vec_id FROM (SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 5)")
 def recent_union_topk(spark, sf):
-    return R.recent_and_best(R.layer_votes(_hits(spark, sf), 2), 40, 5, 6)
-
-
-def _whole_votes(spark, sf):
-    top = R.top_k_per(_scored(spark, sf).select("label", "vec_id", "score"), ["label"], 5)
-    return R.layer_votes(top.select(F.col("label").alias("layer"), "vec_id", (1.0 + F.pmod("label", F.lit(2))).cast("double").alias("weight")), 2)
-
-
-@query("G12")
-def layer_vote_blocks(spark, sf):
-    return _whole_votes(spark, sf)
-
-
-@query("G13 G14 G15 J18")
-def recent_union_blocks(spark, sf):
-    return R.latest_and_best(_whole_votes(spark, sf), table(spark, sf, "embeddings"), 5, 6)
+    return R.latest_and_best(_votes(spark, sf), table(spark, sf, "embeddings"), 5, 6)
 
 
 @query("G16 G17 G18", f"""WITH {_SCORED}, k AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC) AS rn, max(score) OVER (PARTITION BY label) AS top FROM s),
@@ -178,28 +163,10 @@ def timeline_lookup(spark, sf):
 # joins
 
 
-@query("H1 D10 D12", "SELECT b.doc_id, coalesce(max(x.source), max(y.source), '') AS source FROM (SELECT doc_id, lower(substr(text, 1, 20)) AS k, substr(text, 1, 20) AS raw FROM documents) b LEFT JOIN (SELECT source, substr(text, 1, 20) AS k FROM documents WHERE doc_id % 2 = 0) x ON b.raw = x.k LEFT JOIN (SELECT source, lower(substr(text, 1, 20)) AS k FROM documents WHERE doc_id % 2 = 0) y ON b.k = y.k GROUP BY b.doc_id")
-def priority_match(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 20).alias("q"))
-    right = d.where("doc_id % 2 = 0").select("source", F.col("q").alias("rq"))
-    return J.priority_lookup(d.drop("source"), right, [(F.col("q"), F.col("rq")), (F.lower("q"), F.lower("rq"))], "source").select("doc_id", "source")
-
-
-@query("H2", "SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT doc_id AS item_id, substr(text, 1, 8 + doc_id % 5) AS p FROM documents WHERE doc_id % 5 < 3) b ON starts_with(d.text, b.p)")
-def prefix_match_join(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    b = d.where("doc_id % 5 < 3").select(F.col("doc_id").alias("item_id"), F.substr("text", F.lit(1), (8 + F.col("doc_id") % 5).cast("int")).alias("p"))
-    return J.prefix_match(d, b, "text", "p").select("doc_id", "item_id")
-
-
-@query("H2", "WITH l AS (SELECT lang, doc_id AS a, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE doc_id % 3 = 0), r AS (SELECT lang, doc_id AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE doc_id % 3 = 1) SELECT l.lang, a, b FROM l JOIN r ON l.lang = r.lang AND l.n = r.n")
-def greedy_consumption(spark, sf):
-    d = table(spark, sf, "documents")
-    a, b = d.where("doc_id % 3 = 0").select("lang", F.col("doc_id").alias("a")), d.where("doc_id % 3 = 1").select("lang", F.col("doc_id").alias("b"))
-    return J.greedy_pairs(a, b, "lang", "a", "b")
-
-
-@query("H1 D10 D12")
+@query("H1 D10 D12", r"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents), r AS (SELECT d.text, max(l.quality)::VARCHAR AS quality FROM d JOIN labels l USING (doc_id) GROUP BY d.text),
+o AS (SELECT regexp_extract(text, '^entire_([0-9]{3,18})_', 1)::BIGINT AS n, regexp_replace(text, '^entire_[0-9]+_', '') AS rest, quality FROM r WHERE regexp_matches(text, '^entire_[0-9]{3,18}_'))
+SELECT d.doc_id, coalesce(a.quality, b.quality, c.quality, max(o.quality), '') AS quality FROM d LEFT JOIN r a ON d.text = a.text LEFT JOIN r b ON lower(d.text) = b.text LEFT JOIN r c ON regexp_replace(d.text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') = c.text
+LEFT JOIN o ON o.n = d.n AND o.rest = d.text GROUP BY d.doc_id, a.quality, b.quality, c.quality""")
 def priority_match_texts(spark, sf):
     from tidewater.operators.sequences import with_rank
 
@@ -216,12 +183,17 @@ def priority_match_texts(spark, sf):
     return J.priority_lookup(left, right, tries, "quality").select("doc_id", "quality")
 
 
-@query("H2")
-def prefix_match_benchmark(spark, sf):
-    return J.prefix_match(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("p")), "text", "p").select("doc_id", "item_id")
+@query("H2", """WITH o AS (SELECT DISTINCT substr(text, 1, strpos(text, '. ') + 1) AS p FROM documents WHERE strpos(text, '. ') > 0)
+SELECT doc_id, count(*) AS n, max(length(p))::INTEGER AS longest FROM documents JOIN o ON starts_with(text, p) GROUP BY doc_id""")
+def prefix_match_join(spark, sf):
+    """Of the first sentences of all documents, each once, those that start a document's text."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    cut = F.instr("text", ". ")
+    openings = d.where(cut > 0).select(F.substr("text", F.lit(1), cut + 1).alias("p")).distinct()
+    return J.prefix_match(d, openings, "text", "p").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("p")).alias("longest"))
 
 
-@query("H2")
+@query("H2", "WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT u.conv_id, u.turn AS a, r.turn AS b FROM n u JOIN n r ON u.conv_id = r.conv_id AND u.n = r.n WHERE u.role = 'user' AND r.role = 'assistant'")
 def consumed_replies(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     a, b = c.where("role = 'user'").select("conv_id", F.col("turn").alias("a")), c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"))
@@ -272,7 +244,27 @@ def visible_frames(spark, sf):
 def interval_stab(spark, sf):
     f = frames(spark, sf).withColumn("h", F.col("t") / 3600)
     spans = f.where("event_type = 'purchase'").select("user_id", F.col("h").alias("start"), (F.col("h") + 3).alias("end"))
-    return J.stab(f.select("user_id", "event_id", "h"), spans, ["user_id"], "h", "start", "end", 6.0).groupBy("event_id").agg(F.count("*").alias("n"))
+    return J.stab(f.select("user_id", "event_id", "h"), spans, ["user_id"], "h", "start", "end").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("H14", f"""WITH {FRAMES}, h AS (SELECT user_id, event_id, event_type, t / 3600 AS h FROM f), i AS (SELECT user_id, event_id AS span, h AS start, h + pow(event_id % 11, 3) AS "end" FROM h WHERE event_type = 'purchase')
+SELECT i.span, count(*) AS n FROM h JOIN i ON h.user_id = i.user_id AND h.h BETWEEN i.start AND i."end" GROUP BY i.span""")
+def stab_of_any_length(spark, sf):
+    """Intervals from no length at all to more than a month."""
+    f = frames(spark, sf).select("user_id", "event_id", "event_type", (F.col("t") / 3600).alias("h"))
+    spans = f.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("h").alias("start"), (F.col("h") + F.pow(F.pmod("event_id", F.lit(11)), F.lit(3))).alias("end"))
+    return J.stab(f.select("user_id", "h"), spans, ["user_id"], "h", "start", "end").groupBy("span").agg(F.count("*").alias("n"))
+
+
+@query("H9", f"""WITH {FRAMES}, h AS (SELECT user_id, event_id, event_type, t / 3600 AS h FROM f), a AS (SELECT user_id, event_id, h AS start, h + pow(event_id % 9, 3) AS "end" FROM h WHERE event_type = 'purchase'), b AS (SELECT user_id, h AS start, h + event_id % 30 AS "end" FROM h WHERE event_type = 'error')
+SELECT a.event_id, count(*) AS n, round(sum(least(a."end", b."end") - greatest(a.start, b.start)), 6) AS shared FROM a JOIN b ON a.user_id = b.user_id AND a.start <= b."end" AND b.start <= a."end" GROUP BY a.event_id""")
+def interval_overlap(spark, sf):
+    f = frames(spark, sf).select("user_id", "event_id", "event_type", (F.col("t") / 3600).alias("h"))
+    a = f.where("event_type = 'purchase'").select("user_id", "event_id", F.col("h").alias("start"), (F.col("h") + F.pow(F.pmod("event_id", F.lit(9)), F.lit(3))).alias("end"))
+    b = f.where("event_type = 'error'").select("user_id", F.col("h").alias("start2"), (F.col("h") + F.pmod("event_id", F.lit(30))).alias("end2"))
+    both = J.overlapping(a, b, ["user_id"], ("start", "end"), ("start2", "end2"))
+    shared = F.least("end", "end2") - F.greatest("start", "start2")
+    return both.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.sum(shared), 6).alias("shared"))
 
 
 @query("H12")

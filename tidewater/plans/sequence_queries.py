@@ -341,9 +341,10 @@ def controller_path(spark, sf):
     return path.select("conv_id", "turn", F.round("coefficient", 6).alias("coefficient"))
 
 
-@query("K10", "SELECT vec_id, round(ln(1 + exp(-0.1 * d)), 6) AS sigmoid, round(greatest(0, 1 - 0.1 * d), 6) AS hinge, round(pow(d - 5, 2), 6) AS ipo FROM (SELECT vec_id, embedding[1]::DOUBLE - embedding[2]::DOUBLE AS d FROM embeddings)")
+@query("K10", "SELECT vec_id, round(ln(1 + exp(-0.1 * d)), 6) AS sigmoid, round(greatest(0, 1 - 0.1 * d), 6) AS hinge, round(pow(d - 5, 2), 6) AS ipo FROM (SELECT vec_id, list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE)) - list_sum(list_transform(embedding[33:64], lambda x: x::DOUBLE)) AS d FROM embeddings)")
 def preference_losses(spark, sf):
-    a, b = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    # the halves of a vector as log probabilities of the tokens of a chosen and of a rejected answer
+    a, b = (F.aggregate(F.slice(F.col("embedding").cast("array<double>"), i, 32), F.lit(0.0), lambda t, x: t + x) for i in (1, 33))
     return table(spark, sf, "embeddings").select("vec_id", *[F.round(N.preference_loss(a, b, 0.1, k), 6).alias(k) for k in ("sigmoid", "hinge", "ipo")])
 
 
@@ -353,7 +354,9 @@ def best_of_n(spark, sf):
     return table(spark, sf, "documents").withColumn("r", r).where("r <= 4").select("source", "doc_id")
 
 
-@query("K13", "SELECT label, (vec_id % 24) // 4 AS cx, (vec_id // 24) // 4 AS cy, round(avg(embedding[1]::DOUBLE), 6) AS mean, max(embedding[1]::DOUBLE) AS top FROM embeddings GROUP BY ALL")
+@query("K13", "WITH g AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)) SELECT vec_id, (i % 8) // 4 AS cx, (i // 8) // 4 AS cy, round(avg(v), 6) AS mean, max(v) AS top FROM g GROUP BY ALL")
 def spatial_pool(spark, sf):
-    g = table(spark, sf, "embeddings").select("label", F.pmod("vec_id", F.lit(24)).alias("x"), F.floor(F.col("vec_id") / 24).alias("y"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
-    return N.pool_grid(g, ["label"], "x", "y", "v", 4).withColumn("mean", F.round("mean", 6))
+    """Each vector as a grid of 8 x 8 values."""
+    g = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    g = g.withColumns({"x": F.col("i") % 8, "y": F.floor(F.col("i") / 8)})
+    return N.pool_grid(g, ["vec_id"], "x", "y", "v", 4).withColumn("mean", F.round("mean", 6))
