@@ -22,7 +22,7 @@ from tidewater.streaming import state as St
 
 #: Queries without SQL, each of which a test here or in ``test_whole_jobs`` holds against a plain version.
 TESTED = {
-    "truncated_repeats", "track_faces", "clip_cut", "clip_cut_sentences", "driver_etbench", "driver_etbench_layered",
+    "truncated_repeats", "track_faces", "suppressed_boxes", "clip_cut", "clip_cut_sentences", "driver_etbench", "driver_etbench_layered",
 }
 
 

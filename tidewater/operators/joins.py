@@ -156,20 +156,44 @@ def track_boxes(boxes: DataFrame, key: str, *, threshold: float = 0.7, least: in
     return boxes.groupBy(key).applyInPandas(run, f"{key} {kind}, track long, frame long, x1 double, y1 double, x2 double, y2 double")
 
 
-def suppress_overlaps(boxes: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """Non-maximum suppression per key: by score, a box goes if it overlaps a kept one."""
+def iou(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
+    """Intersection over union of boxes x1, y1, x2, y2."""
+    side = lambda lo, hi, lo2, hi2: F.greatest(F.least(F.col(hi), F.col(hi2)) - F.greatest(F.col(lo), F.col(lo2)), F.lit(0.0))
+    area = lambda c: (F.col(c[2]) - F.col(c[0])) * (F.col(c[3]) - F.col(c[1]))
+    both = side(a[0], a[2], b[0], b[2]) * side(a[1], a[3], b[1], b[3])
+    return F.coalesce(F.try_divide(both, area(a) + area(b) - both), F.lit(0.0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values(["score", "x1"], ascending=[False, True]).itertuples():
-            ok = True
-            for o in kept:
-                ok &= _iou((r.x1, r.y1, r.x2, r.y2), (o.x1, o.y1, o.x2, o.y2)) <= threshold
-            if ok:
-                kept.append(r)
-        return pd.DataFrame(kept, columns=["Index", *pdf.columns]).drop(columns="Index")
-
-    return boxes.groupBy(key).applyInPandas(run, boxes.schema)
+
+def suppress_overlaps(boxes: DataFrame, key: str, threshold: float = 0.5, ident: str = "id") -> DataFrame:
+    """Non-maximum suppression per key: by score, then x1, then id, a box goes if its IoU with a kept one is over ``threshold``.
+
+    boxes: key, ``ident`` (unique; not needed), x1, y1, x2, y2, score. Boxes whose widths meet are paired by
+    levels and cells, so a key spreads over tasks; then, in rounds, boxes that no undecided
+    better box overlaps are kept and what those overlap goes. Of boxes of equal place only the best is paired.
+    """
+    from tidewater.sources.scratch import written
+
+    place = ["x1", "y1", "x2", "y2"]
+    if ident not in boxes.columns:
+        return suppress_overlaps(written(boxes.withColumn(ident, F.monotonically_increasing_id()), "boxes"), key, threshold, ident).drop(ident)
+    order = F.struct(-F.col("score"), F.col("x1"), F.col(ident))
+    best = F.min_by(F.struct(*[c for c in boxes.columns if c not in (key, *place)]), order)
+    rows = written(boxes.groupBy(key, *place).agg(best.alias("__best")).select(key, *place, "__best.*"), "boxes")
+    if threshold >= 1:
+        return boxes
+    a = rows.select(key, F.col(ident).alias("a"), *[F.col(c).alias(f"a_{c}") for c in place], (-F.col("score")).alias("a_s"))
+    b = rows.select(key, F.col(ident).alias("b"), *[F.col(c).alias(f"b_{c}") for c in place], (-F.col("score")).alias("b_s"))
+    pairs = overlapping(a, b, [key], ("a_x1", "a_x2"), ("b_x1", "b_x2"))
+    before = F.struct("a_s", "a_x1", "a") < F.struct("b_s", "b_x1", "b")
+    left = written(pairs.where(before & (iou(("a_x1", "a_y1", "a_x2", "a_y2"), ("b_x1", "b_y1", "b_x2", "b_y2")) > threshold)).select("a", "b"), "overlaps")
+    gone = None
+    while not left.isEmpty():
+        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")  # no undecided better box overlaps them
+        out = written(left.join(heads, "a", "left_semi").select("b").distinct(), "suppressed")
+        gone = out if gone is None else gone.unionByName(out)
+        left = written(left.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti"), "overlaps")
+    kept = rows if gone is None else rows.join(gone.distinct().withColumnRenamed("b", ident), ident, "left_anti")
+    return kept.select(*boxes.columns)
 
 
 def keyed_lookup(left: DataFrame, right: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -21,8 +21,8 @@ from tidewater.functions import vectors as V
 from .retrieval import small
 
 BLOCK_ROWS, QUESTION_ROWS = 16_384, 2_048
-#: Products held at once.
-_CELLS = 4_000_000
+#: Products held at once; questions and blocks of late interaction that are compared at once.
+_CELLS, _ROWS, _COLUMNS = 4_000_000, 16, 1024
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -34,9 +34,15 @@ def _products(asked: np.ndarray, own: np.ndarray, score: str, width: int) -> np.
     """Scores of each question (row) with each block: dot product, or late interaction over tokens of ``width`` numbers."""
     if score == "dot":
         return asked @ own.T
-    q, b = asked.reshape(-1, width), own.reshape(-1, width)
-    best = (q @ b.T).reshape(len(asked), q.shape[0] // len(asked), len(own), -1).max(axis=3)
-    return best.max(axis=1) if score == "max" else best.mean(axis=1)
+    q, b = asked.reshape(-1, width), own.reshape(len(own), -1, width)
+    out = np.empty((len(asked), len(own)))
+    for at in range(0, len(own), _COLUMNS):  # so that what is compared stays in the cache
+        best = q @ b[at : at + _COLUMNS, 0].T
+        for token in range(1, b.shape[1]):
+            np.maximum(best, q @ b[at : at + _COLUMNS, token].T, out=best)
+        best = best.reshape(len(asked), -1, best.shape[1])
+        out[:, at : at + _COLUMNS] = best.max(axis=1) if score == "max" else best.mean(axis=1)
+    return out
 
 
 def _k_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +62,7 @@ def _multiply(n_keys: int, k: int, score: str, width: int, digits: int, names: l
             asked, own = asked.slice(0, 0), own.slice(0, 0)
         own = own.sort_by("__b")
         q, b = _matrix(asked.column("__q")), _matrix(own.column("__v"))
-        tokens = 1 if score == "dot" else max(1, q.shape[1] // width) * max(1, b.shape[1] // width)
-        strip = max(1, _CELLS // max(1, own.num_rows * tokens))
+        strip = max(1, _CELLS // max(1, own.num_rows)) if score == "dot" else _ROWS
         rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         at = own.column("__at").to_numpy()
         until = asked.column("__until").to_numpy(zero_copy_only=False).astype(np.float64)

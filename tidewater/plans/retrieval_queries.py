@@ -281,3 +281,15 @@ def existing_not_denied(spark, sf):
 
     listing = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"))
     return existing_only(table(spark, sf, "pages").select("page_id", "url"), listing, "page_id").where(~F.col("url").contains("spam"))
+
+
+def event_boxes(spark, sf):
+    """Events as scored boxes: the user as picture, the value as place, the event's number as size and score."""
+    x1, side = F.coalesce("value", F.lit(0.0)), (F.pmod("event_id", F.lit(7)) + 4).cast("double")
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").alias("picture"), F.col("event_id").alias("id"), x1.alias("x1"), F.lit(0.0).alias("y1"), (x1 + side).alias("x2"), side.alias("y2"), F.pmod(F.col("event_id") * 7919, F.lit(1000)).cast("double").alias("score"))
+
+
+@query("H13")
+def suppressed_boxes(spark, sf):
+    return J.suppress_overlaps(event_boxes(spark, sf), "picture")

@@ -57,3 +57,44 @@ def run_contract(df: DataFrame, name: str, model=None) -> DataFrame:
 
 #: Named implementations that a caller may replace.
 MODELS: dict[str, Callable[..., DataFrame]] = {"score": stub_score, "language": stub_language}
+
+
+def apply_with_retries(df: DataFrame, key: str, model: Callable[[dict], object], kind: str, *, tries: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(results, failures): ``model`` of each row's dict; a row at which it fails gets another row in its place, up to ``tries`` in all.
+
+    results: key, used (the key of the row that was taken), result of type ``kind``.
+    failures: key, tried, used, error of each failed try, so no failing row ends the job;
+    keys that are in no result used up their tries. Replacements are drawn by a hash of the key and the try among
+    all rows. ``key`` is unique.
+    """
+    from tidewater.operators.sequences import with_rank
+    from tidewater.sources.scratch import written
+
+    fields = df.columns
+    ranked = written(with_rank(df, key), "rows")
+    total = ranked.count()
+    own = df.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for asked, row in zip(frame["__asked"], frame[fields].to_dict("records"), strict=True):
+                try:
+                    out.append((asked, row[key], model(row), None))
+                except Exception as e:  # the model's own errors are the result here
+                    out.append((asked, row[key], None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["asked", "used", "result", "error"])
+
+    todo = ranked.withColumn("__asked", F.col(key))
+    results = failures = None
+    for n in range(1, tries + 1):
+        done = written(todo.select("__asked", *fields).mapInPandas(run, f"asked {own}, used {own}, result {kind}, error string"), "try")
+        good = done.where("error IS NULL").select(F.col("asked").alias(key), "used", "result")
+        bad = done.where("error IS NOT NULL").select(F.col("asked").alias(key), F.lit(n).alias("tried"), "used", "error")
+        results = good if results is None else results.unionByName(good)
+        failures = bad if failures is None else failures.unionByName(bad)
+        left = bad.select(F.col(key).alias("__asked"))
+        if left.isEmpty():
+            break
+        todo = left.withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "__asked"), F.lit(total))).join(ranked.select("rank", *fields), "rank")
+    return results, failures

@@ -133,3 +133,73 @@ def closed_windows(spark, sf):
     run = counts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{path}/out").select(F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("A5 B4", "SELECT doc_id - (SELECT min(doc_id) FROM documents) AS line_no, sha256(text) AS digest FROM documents WHERE doc_id - (SELECT min(doc_id) FROM documents) BETWEEN 0 AND 1000000000")
+def records_by_offset(spark, sf):
+    """All documents in files with an index of offsets, read by seeking."""
+    from tidewater.sources import offsets
+
+    path = new_folder(spark, "records")
+    offsets.write_records(table(spark, sf, "documents"), "text", "doc_id", _uri(path))
+    return offsets.read_records(spark, _uri(path)).where("line_no BETWEEN 0 AND 1000000000").select("line_no", F.sha2("value", 256).alias("digest"))
+
+
+@query("A19", "SELECT page_id, sha256(coalesce(html, '')) AS digest FROM pages")
+def images_by_offset(spark, sf):
+    """Pages stand for images that lie end to end in files; each is read by file, offset and length."""
+    from tidewater.sources import offsets
+
+    path = new_folder(spark, "images")
+    index = offsets.write_records(table(spark, sf, "pages"), "html", "page_id", _uri(path), separator=b"")
+    return offsets.read_ranges(index.select("page_id", "file", "offset", "length"), _uri(path)).select("page_id", F.sha2("value", 256).alias("digest"))
+
+
+def _uri(path):
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+_SOUND = """c AS (SELECT label, vec_id, list_transform(range(32), lambda i: (embedding[2 * i + 1]::DOUBLE + embedding[2 * i + 2]::DOUBLE) / 2) AS x FROM embeddings),
+p AS (SELECT label, max(list_max(list_transform(x, lambda v: abs(v)))) AS peak FROM c GROUP BY label),
+s AS (SELECT c.label, vec_id, list_transform(x, lambda v: v / peak) AS x FROM c JOIN p USING (label))"""
+
+
+def _sound(spark, sf):
+    """Vectors as chunks of 32 stereo frames, labels as streams."""
+    from tidewater.operators import audio
+
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").alias("x"))
+    return audio.peak_normalised(audio.mono(e, "x", 2), ["label"], "x")
+
+
+@query("A18", f"WITH {_SOUND} SELECT label, vec_id, list_transform(x, lambda v: round(v, 6)) AS x FROM s")
+def sound_chunks(spark, sf):
+    return _sound(spark, sf).withColumn("x", F.transform("x", lambda v: F.round(v, 6)))
+
+
+@query("A18", f"""WITH {_SOUND}, n AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 32 AS base, x FROM s), v AS (SELECT label, base + i AS i, x[i + 1] AS v FROM n, range(32) t(i)),
+q AS (SELECT label, vec_id, (vec_id % 50) * 0.7::DOUBLE AS a, (vec_id % 50) * 0.7::DOUBLE + 1 + vec_id % 7 AS b FROM embeddings)
+SELECT q.label, q.vec_id, count(*) AS n, round(sum(v), 6) AS total, round(arg_min(v, i), 6) AS first FROM q JOIN v ON v.label = q.label AND i >= floor(a * 50) AND i < floor(b * 50) GROUP BY ALL""")
+def sound_slices(spark, sf):
+    """A span of some seconds for each vector, at 50 samples a second; spans cross the borders of chunks."""
+    from tidewater.operators import audio
+
+    start = (F.pmod("vec_id", F.lit(50)) * 0.7).cast("double")
+    spans = table(spark, sf, "embeddings").select("label", "vec_id", start.alias("start"), (start + 1 + F.pmod("vec_id", F.lit(7))).alias("end"))
+    got = audio.sliced(_sound(spark, sf).withColumnRenamed("vec_id", "chunk"), ["label"], "chunk", "x", spans, 50.0, "vec_id")
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return got.select("label", "vec_id", F.size("x").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("x", F.lit(0)), 6).alias("first"))
+
+
+@query("L18 C7", """WITH r AS (SELECT doc_id, length(text) AS n FROM documents) SELECT doc_id, doc_id AS used, n AS result FROM r WHERE n % 5 <> 0""")
+def model_with_retries(spark, sf):
+    """A model that fails on some texts: the rows that needed no other row in their place."""
+    from .seams import apply_with_retries
+
+    def model(row):
+        if len(row["text"]) % 5 == 0:
+            raise ValueError("unreadable")
+        return len(row["text"])
+
+    results, _ = apply_with_retries(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", model, "long", tries=20)
+    return results.where("used = doc_id")
