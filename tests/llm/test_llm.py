@@ -522,6 +522,72 @@ def test_words_that_a_stem_implies_come_last():
     assert toxicity.spread_out(ranked, 2) == [b"abcd*", b"abcd"]
 
 
+def _plain_chain(values, labels, folds):
+    """Gradient descent with plain loops over categories and folds: probabilities of the training rows, and what later models saw."""
+
+    def fitted(x, y):
+        x = np.hstack([x, np.ones((len(x), 1))])
+        ridge = np.array([0.1] * (x.shape[1] - 1) + [1e-6])
+        w, step = np.zeros(x.shape[1]), 4.0 / (np.linalg.norm(x, 2) ** 2 + 1)
+        for _ in range(60_000):
+            w -= step * (x.T @ (1 / (1 + np.exp(-(x @ w))) - y) + ridge * w)
+        return lambda z: 1 / (1 + np.exp(-(np.hstack([z, np.ones((len(z), 1))]) @ w)))
+
+    earlier_in, earlier_out, result = np.zeros((len(folds), 0)), np.zeros((len(folds), 0)), []
+    for x, y in zip(values, labels, strict=True):
+        whole = fitted(np.hstack([x, earlier_out]), y)
+        p = whole(np.hstack([x, earlier_in]))
+        out = np.zeros(len(y))
+        for f in set(folds.tolist()):
+            rows = folds != f
+            out[~rows] = fitted(np.hstack([x, earlier_out])[rows], y[rows])(np.hstack([x, earlier_out])[~rows])
+        result.append(p)
+        earlier_in, earlier_out = np.hstack([earlier_in, p[:, None]]), np.hstack([earlier_out, out[:, None]])
+    return result
+
+
+def test_chain_equals_plain_version():
+    """Probabilities of a chain of three categories; later models are fitted on out-of-fold ones and score with those of the earlier models."""
+    rng = np.random.default_rng(3)
+    values = [rng.integers(0, 2, (60, k)).astype(float) for k in (3, 2, 1)]
+    labels = [(values[0][:, 0] + rng.random(60) > 0.8).astype(int), (values[0][:, 1] + values[1][:, 0] + rng.random(60) > 1.3).astype(int), rng.integers(0, 2, 60)]
+    folds = rng.integers(0, toxicity.FOLDS, 60)
+    chain = toxicity.fit_chain(values, [[b"a"] * v.shape[1] for v in values], dict(zip("xyz", labels, strict=True)), folds)
+    before = np.zeros((60, 0))
+    for m, x, want in zip(chain.models, values, _plain_chain(values, labels, folds), strict=True):
+        p = toxicity._sigmoid(m.logits(x, before))
+        assert np.abs(p - want).max() < 1e-4
+        before = np.hstack([before, p[:, None]])
+
+
+def test_training_rows_are_bounded(spark):
+    """A label row repeated many times, of a document repeated many times, is no more than the bound."""
+    d = spark.range(40).select((F.col("id") % 2).alias("doc_id"), F.lit("bad words here").alias("text"))
+    lab = spark.range(300).select((F.col("id") % 2).alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), F.lit(1).alias("quality"))
+    rows = toxicity.training_rows(d, lab, toxicity.CATEGORIES, 50)
+    assert 0 < rows.count() <= 50
+    few = toxicity.training_rows(d.limit(2), lab.limit(2), toxicity.CATEGORIES, 50)
+    assert few.count() == 2
+
+
+def test_settings_reach_the_models(spark):
+    d = docs(spark, [(i, ("vile " if i % 2 else "kind ") + f"w{i}") for i in range(40)])
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity_report(d, lab).where("toxic").count() == 20
+    assert toxicity.toxicity_report(d, lab, toxicity.Settings(least_docs=50)).where("toxic").count() in (0, 40)
+    assert toxicity.toxicity_report(d, lab, toxicity.Settings(limit=0.0)).where("toxic").count() == 40
+
+
+def test_toxicity_of_ties_long_texts_and_clashing_names(spark):
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, "vile foul" if i % 2 else "kind fair") for i in range(40)] + [(100, "vile " + LONG), (101, LONG + " foul"), (102, LONG)]
+    d = docs(spark, rows).withColumns({"p_low_quality": F.lit("mine"), "toxic": F.lit(7), "__text": F.lit("t")})
+    first, again = ({r.doc_id: r.p_toxic for r in toxicity.toxicity_report(d.repartition(n), lab).collect()} for n in (1, 5))
+    assert first == again and first[1] > 0.5 > first[0]
+    kept = toxicity.drop_toxic(d, lab)
+    assert kept.columns == d.columns and {r.p_low_quality for r in kept.collect()} == {"mine"}
+
+
 def test_chain_feeds_earlier_predictions():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (400, 1)).astype(float)
@@ -629,7 +695,11 @@ def test_components(spark):
 # 9
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("shapes, rules", [(url_filter.MAX_SHAPES, url_filter.MAX_BROADCAST_RULES), (0, url_filter.MAX_BROADCAST_RULES), (0, 1)])
+def test_urls(spark, monkeypatch, shapes, rules):
+    """Rows with their expressions beside them, and a row for each expression with and without a broadcast."""
+    monkeypatch.setattr(url_filter, "MAX_SHAPES", shapes)
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", rules)
     cases = {
         "http://a.example.com/en/1": "block", "http://example.com/en/77": "allow", "http://EXAMPLE.com/en/7#x": "allow", "http://xexample.com/en/7": "block", "https://b.example.net/de/8?q": "block",
         "http://" + "a." * 20_000 + "net/de/8": "allow", "http://" + "a." * 20_000 + "example.net/de/8": "block", "ftp://net/de/": "allow", "http://example.org": "allow", "no url": "allow", "": "allow", "x://y://org/es/": "allow", "http://org/es/?a": "block",
@@ -645,6 +715,13 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0), url_filter.production_rules(spark)).count() == 0
 
 
+def test_rules_of_one_expression_and_of_no_path(spark):
+    rules = spark.createDataFrame([("block", "a.b", "/x"), ("allow", "a.b", "/x"), ("block", "b", None), ("allow", "", "/x"), ("block", None, "/x")], "verdict string, host string, path string")
+    df = spark.createDataFrame([("http://c.a.b/xy",), ("http://q.b/",), ("http://q.c/x",), ("http:///x",)], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == {"http://c.a.b/xy": ("a.b/x", "allow"), "http://q.b/": ("b", "block"), "http://q.c/x": (None, "allow"), "http:///x": (None, "allow")}
+
+
 # 10
 
 
@@ -680,7 +757,7 @@ def test_pipeline_equals_its_parts(spark, sf):
     d = read(spark, sf, "documents")
     got = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     chain = toxicity.train(d, read(spark, sf, "labels"), categories=toxicity.CATEGORIES)
-    mild = {r.doc_id for r in toxicity.score(d, chain).where(F.col("p_toxic") < toxicity.LIMIT).collect()}
+    mild = {r.doc_id for r in toxicity.score(d, chain).where(F.col("p_toxic") < toxicity.PRODUCTION.limit).collect()}
     rows = [(r.doc_id, (r.text or "").encode()) for r in d.orderBy("doc_id").collect() if r.doc_id in mild]
     first = {i for i, (c, _) in ngram_join.brute_force(rows).items() if i == c}
     items = [(str(r.item_id), (r.text or "").encode()) for r in read(spark, sf, "benchmark").collect()]

@@ -22,32 +22,52 @@ from .common import append_columns, as_bytes, materialize, numbered, word_list
 #: Most labelled rows that the models are fitted on (a sample by the hash of the id); scoring covers all rows.
 MAX_TRAIN_ROWS = 10_000
 FOLDS = 5
-#: Words a model may use, and how far their share must differ between the classes, in standard errors.
-MAX_WORDS, LEAST_Z, LEAST_DOCS = 120, 4.5, 6
-#: Words also count by their first bytes, so that a stem with many endings is one feature.
-STEMS = (4, 5, 6, 7, 8)
 
 
-def features(text: bytes, among: frozenset | None = None) -> tuple[dict[bytes, int], int]:
+@dataclass(frozen=True)
+class Settings:
+    """What a model may use of a text, and from when a document is rejected.
+
+    ``max_words`` words and stems a category, each in at least ``least_docs`` training texts and with
+    shares in the two classes that differ by ``least_z`` standard errors. Words of more bytes than a
+    number in ``stems`` also count by so many first bytes, so that a stem with many endings is one
+    feature. Beside whether a text holds a word counts how often per 1000 words, at most ``most_rate``.
+    A document is rejected from a probability of ``limit`` on: held-out probabilities of clean documents
+    lie close to 0, those of toxic ones with rare words between this and 0.5.
+    """
+
+    max_words: int = 120
+    least_z: float = 4.5
+    least_docs: int = 6
+    stems: tuple[int, ...] = (4, 5, 6, 7, 8)
+    most_rate: float = 20.0
+    limit: float = 0.3
+
+
+PRODUCTION = Settings()
+
+
+def features(text: bytes, among: frozenset | None = None, stems: tuple[int, ...] = PRODUCTION.stems) -> tuple[dict[bytes, int], int]:
     """Occurrences of words and stems (marked by ``*``), only those of ``among`` if given, and the number of words."""
     words = word_list(text)
     counts = Counter(words)
     found: dict[bytes, int] = {}
+    shortest = min(stems, default=1 << 30)
     for w, n in counts.items():
-        for f in (w, *[w[:k] + b"*" for k in STEMS if len(w) > k]) if len(w) > STEMS[0] else (w,):
+        for f in (w, *[w[:k] + b"*" for k in stems if len(w) > k]) if len(w) > shortest else (w,):
             if among is None or f in among:
                 found[f] = found.get(f, 0) + n
     return found, len(words)
 
 
-def _values(rows: list[tuple[dict[bytes, int], int]], words: list[bytes]) -> np.ndarray:
-    """For each word whether a text holds it, then how often per 1000 words (20 at most, as tenths)."""
+def _values(rows: list[tuple[dict[bytes, int], int]], words: list[bytes], most_rate: float = PRODUCTION.most_rate) -> np.ndarray:
+    """For each word whether a text holds it, then how often per 1000 words (``most_rate`` at most, as tenths)."""
     out = np.zeros((len(rows), 2 * len(words)))
     column = {w: k for k, w in enumerate(words)}
     for i, (own, n) in enumerate(rows):
         for w in own.keys() & column.keys():
             out[i, column[w]] = 1.0
-            out[i, len(words) + column[w]] = min(20.0, 1000.0 * own[w] / n) / 10
+            out[i, len(words) + column[w]] = min(most_rate, 1000.0 * own[w] / n) / 10
     return out
 
 
@@ -66,13 +86,14 @@ class LinearModel:
 @dataclass
 class Chain:
     models: list[LinearModel] = field(default_factory=list)
+    settings: Settings = PRODUCTION
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def spread_out(ranked: list[tuple[bytes, float]], most: int = MAX_WORDS) -> list[bytes]:
+def spread_out(ranked: list[tuple[bytes, float]], most: int = PRODUCTION.max_words, stems: tuple[int, ...] = PRODUCTION.stems) -> list[bytes]:
     """At most ``most`` words and stems of (word, standard errors), best first: those that no shorter stem of theirs equals, then others.
 
     Else the endings of the commonest stems would leave no place for rarer stems.
@@ -81,15 +102,15 @@ def spread_out(ranked: list[tuple[bytes, float]], most: int = MAX_WORDS) -> list
     alone, implied = [], []
     for w, z in ranked:
         body = w.rstrip(b"*")
-        shorter = [errors.get(body[:k] + b"*", 0.0) for k in STEMS if k < len(body)]
+        shorter = [errors.get(body[:k] + b"*", 0.0) for k in stems if k < len(body)]
         (implied if max(shorter, default=0.0) >= z else alone).append(w)
     return (alone + implied)[:most]
 
 
-def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
+def _choose_words(labelled: DataFrame, n_categories: int, settings: Settings) -> list[list[bytes]]:
     """For each category the words whose document share differs most between its classes.
 
-    labelled: __text binary, __y0, __y1, …; tasks count before the shuffle, the best 20 * MAX_WORDS words reach the driver.
+    labelled: __text binary, __y0, __y1, …; tasks count before the shuffle, the best 20 * ``max_words`` words reach the driver.
     """
     ys = [f"__y{i}" for i in range(n_categories)]
 
@@ -104,7 +125,7 @@ def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
             labels = np.array([c.to_pylist() for c in batch.columns[1:]]).T
             for text, y in zip(batch.column(0), labels, strict=True):
                 one = np.concatenate(([1], y))
-                for f in features(text.as_py())[0]:
+                for f in features(text.as_py(), None, settings.stems)[0]:
                     before = counts.get(f)
                     counts[f] = one if before is None else before + one
                 if len(counts) > 100_000:
@@ -113,7 +134,7 @@ def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
         yield rows()
 
     by_word = labelled.select("__text", *ys).mapInArrow(run, "word binary, n long, " + ", ".join(f"{y} long" for y in ys))
-    counts = materialize(by_word.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= LEAST_DOCS), "counts")
+    counts = materialize(by_word.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= settings.least_docs), "counts")
     total = labelled.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     out = []
     for y in ys:
@@ -122,8 +143,8 @@ def _choose_words(labelled: DataFrame, n_categories: int) -> list[list[bytes]]:
         share = F.col("n") / n
         spread = F.sqrt(F.greatest(F.lit(1e-12), share * (1 - share) * (1 / n1 + 1 / n0)))
         z = F.abs(F.col(y) / n1 - (F.col("n") - F.col(y)) / n0) / spread
-        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(20 * MAX_WORDS)
-        out.append(spread_out([(bytes(r.word), r.z) for r in best.collect()]))
+        best = counts.select("word", z.alias("z")).where(F.col("z") >= settings.least_z).orderBy(F.desc("z"), "word").limit(20 * settings.max_words)
+        out.append(spread_out([(bytes(r.word), r.z) for r in best.collect()], settings.max_words, settings.stems))
     return out
 
 
@@ -161,6 +182,31 @@ def fit_chain(values: list[np.ndarray], words: list[list[bytes]], labels: dict[s
     return chain
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__text, __y0, __y1, … and fold of at most ``max_rows`` labelled documents, in a written table.
+
+    Label rows are drawn by the hash of the id before they meet the documents, and once more by their place in
+    the written table if repeated ids make more of them.
+    """
+    marks = labels.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"), *[F.expr(p).cast("int").alias(f"__y{i}") for i, p in enumerate(categories.values())]
+    ).dropna()
+    ys = [f"__y{i}" for i in range(len(categories))]
+    marks = materialize(marks.orderBy(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)), "__id", *ys).limit(max_rows), "marks")
+    own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+    fold = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).alias("fold")
+    if marks.select("__id").distinct().count() < marks.count():  # equal rows of an id that is repeated on both sides would multiply
+        marks = materialize(marks.groupBy("__id", *ys).agg(F.count("*").alias("__times")), "marks")
+    else:
+        marks = marks.withColumn("__times", F.lit(1).cast("long"))
+    met = materialize(own.join(F.broadcast(marks), "__id").select("__text", *ys, fold, "__times"), "met")  # at most max_rows marks
+    total = met.agg(F.sum("__times")).first()[0] or 0
+    if total > max_rows:
+        place = F.monotonically_increasing_id()  # of a written table
+        met = met.withColumn("__place", place).where(F.pmod(F.xxhash64("__place"), F.lit(total)) < max_rows).limit(max_rows).withColumn("__times", F.lit(1).cast("long"))
+    return materialize(met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select("__text", *ys, "fold"), "labelled")
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -169,45 +215,37 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = MAX_TRAIN_ROWS,
+    settings: Settings = PRODUCTION,
 ) -> Chain:
     """Fit a chain on labelled documents.
 
     ``categories`` maps each category, in chain order, to a SQL predicate over
-    ``labels``. At most about ``max_rows`` rows are taken, by the hash of the id
-    and of all labels if they are fewer; rows with null ids or null labels are
-    left out, null texts have no words. Of repeated label rows all count.
+    ``labels``. At most ``max_rows`` rows are taken, by the hash of the id, and of all
+    labels if they are fewer; rows with null ids or null labels are left out, null
+    texts have no words. Of repeated label rows all count.
     """
-    marks = labels.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), *[F.expr(p).cast("int").alias(f"__y{i}") for i, p in enumerate(categories.values())]
-    ).dropna()
-    n = marks.count()
-    if n > max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
     ys = [f"__y{i}" for i in range(len(categories))]
-    labelled = materialize(
-        docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
-        .join(F.broadcast(marks) if marks.count() <= 10 * max_rows else marks, "__id")
-        .select("__text", *ys, F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).alias("fold")),
-        "labelled",
-    )
-    words = _choose_words(labelled, len(categories))
+    labelled = training_rows(docs, labels, categories, max_rows, id_col, text_col)
+    words = _choose_words(labelled, len(categories), settings)
     vocabulary = frozenset(w for own in words for w in own)
 
     def run(batches):
         for batch in batches:
-            rows = [features(t.as_py(), vocabulary) for t in batch.column(0)]
-            cells = [pa.array([v.astype(np.float32).tobytes() for v in _values(rows, own)], pa.binary()) for own in words]
+            rows = [features(t.as_py(), vocabulary, settings.stems) for t in batch.column(0)]
+            cells = [pa.array([v.astype(np.float32).tobytes() for v in _values(rows, own, settings.most_rate)], pa.binary()) for own in words]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cells], names=[*batch.schema.names[1:], *[f"x{i}" for i in range(len(words))]])
 
-    # at most about max_rows rows of 2 * MAX_WORDS numbers reach the driver
+    # at most max_rows rows of 2 * max_words numbers for each category reach the driver
     table = labelled.mapInArrow(run, ", ".join([*[f"{y} int" for y in ys], "fold long", *[f"x{i} binary" for i in range(len(words))]])).toArrow()
     n = len(table)
     if not n:
-        return Chain([LinearModel(c, [], np.zeros(0), np.zeros(i), -35.0) for i, c in enumerate(categories)])
+        return Chain([LinearModel(c, [], np.zeros(0), np.zeros(i), -35.0) for i, c in enumerate(categories)], settings)
     values = [np.frombuffer(b"".join(table[f"x{i}"].to_pylist()), np.float32).reshape(n, -1).astype(float) for i in range(len(words))]
     order = np.lexsort([*[v[:, k] for v in values for k in range(v.shape[1])][:50], *[table[y].to_numpy() for y in ys], table["fold"].to_numpy()])  # rows arrive in any order
     labels_ = {c: table[y].to_numpy()[order] for c, y in zip(categories, ys, strict=True)}
-    return fit_chain([v[order] for v in values], words, labels_, table["fold"].to_numpy()[order])
+    chain = fit_chain([v[order] for v in values], words, labels_, table["fold"].to_numpy()[order])
+    chain.settings = settings
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", prefix: str = "p_") -> DataFrame:
@@ -215,14 +253,14 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", prefix: str
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def make():
-        models = shared.value.models
+        models, settings = shared.value.models, shared.value.settings
         vocabulary = frozenset(w for m in models for w in m.words)
 
         def work(texts):
-            rows = [features(t, vocabulary) if t else ({}, 0) for t in as_bytes(texts)]
+            rows = [features(t, vocabulary, settings.stems) if t else ({}, 0) for t in as_bytes(texts)]
             before = np.zeros((len(texts), 0))
             for m in models:
-                before = np.hstack([before, _sigmoid(m.logits(_values(rows, m.words), before))[:, None]])
+                before = np.hstack([before, _sigmoid(m.logits(_values(rows, m.words, settings.most_rate), before))[:, None]])
             return [pa.array(before[:, i], pa.float64()) for i in range(len(models))]
 
         return work
@@ -232,24 +270,21 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", prefix: str
 
 #: Categories of the registered query, in chain order.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-#: Probability from which a document is rejected. Held-out probabilities of clean documents lie close to 0, those of toxic
-#: ones with rare words between this and 0.5.
-LIMIT = 0.3
 
 
-def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic (probability of at least ``LIMIT``) of every document.
+def toxicity_report(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and toxic (probability of at least the limit) of every document.
 
     Null, empty and wordless texts have no words and are judged by the bias alone;
     repeated rows are judged alike and get a row each; words that tie are chosen in
     byte order; without labels nothing is toxic; other columns do not pass.
     """
-    chain = train(docs, labels, categories=CATEGORIES)
-    return score(docs.select("doc_id", "text"), chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= LIMIT).alias("toxic"))
+    chain = train(docs, labels, categories=CATEGORIES, settings=settings)
+    return score(docs.select("doc_id", "text"), chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= settings.limit).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
     """``docs``, all columns whatever their names, without the documents judged toxic (see ``toxicity_report``)."""
-    chain = train(docs, labels, categories=CATEGORIES)
+    chain = train(docs, labels, categories=CATEGORIES, settings=settings)
     inner, text, restored = numbered(docs, "text")
-    return restored(score(inner, chain, text_col=text).where(F.col("p_toxic") < LIMIT))
+    return restored(score(inner, chain, text_col=text).where(F.col("p_toxic") < settings.limit))

@@ -1,8 +1,9 @@
 """URL filters by host suffix and path prefix, in DataFrame functions only.
 
-Each URL is expanded into expressions (host suffix, path prefix); they meet the
-rules in an equi-join on a short prefix of their SHA-256 digest, and a join hit
-counts only if the full digest agrees. The longest rule that fits wins.
+Each URL is expanded into expressions (host suffix, path prefix), one for each shape that
+rules have (labels of the host, length of the path); they meet the rules in an equi-join
+on a short prefix of their SHA-256 digest, and a join hit counts only if the full digest
+agrees. The longest rule that fits wins. With few shapes the rows are not shuffled.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rules of the registered query: (verdict, host, path).
 RULES = [
     ("block", "com", "/en/"),
@@ -23,6 +26,8 @@ _RULE_SCHEMA = "verdict string, host string, path string"
 SHORT = 8
 #: Most rules that are broadcast; larger lists are joined through a shuffle.
 MAX_BROADCAST_RULES = 200_000
+#: Most shapes of rules (labels of the host, length of the path) for which a row keeps its expressions; beyond, each is a row.
+MAX_SHAPES = 24
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -68,48 +73,62 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", def
         F.length(F.coalesce("path", F.lit(""))).alias("path_size"),
         F.size(F.split("host", r"\.")).alias("labels"),
     )
-    facts = rules.agg(F.count("*").alias("n"), F.collect_set("path_size").alias("sizes"), F.min(F.col("hit.host_size")).alias("least"), F.max("labels").alias("labels")).first()
-    sizes = sorted(facts.sizes)  # a rule's path is at most as long as a URL
-    # a suffix of more labels than any rule's host fits none, so a host of very many labels costs no more
-    labels = F.least(F.size(F.split("__host", r"\.")), F.lit(facts.labels or 1))
-    hosts = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), labels),
-            lambda i: F.call_function("substring_index", F.col("__host"), F.lit("."), -i),
-        ),
-        lambda h: F.length(h) >= F.lit(facts.least or 0),
-    )
-    prefixes = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("__path"))
-    cells = F.flatten(
-        F.transform(hosts, lambda h: F.transform(prefixes, lambda n: F.concat(h, F.substr("__path", F.lit(1), n))))
-    )
-    rows = (
-        pages.select(
-            F.struct(*[pages[c] for c in keep]).alias("__row"),
-            url_host(pages[url_col]).alias("__host"),
-            url_path(pages[url_col]).alias("__path"),
-            F.monotonically_increasing_id().alias("__id"),
-        )
-        .select("__row", "__host", "__path", "__id", F.explode_outer(cells).alias("__cell"))
-        .withColumn("__digest", F.sha2("__cell", 256))
-    )
-    small = rules.select("short", "digest", "hit")
-    if facts.n <= MAX_BROADCAST_RULES:
-        small = F.broadcast(small)
-    joined = rows.join(small, (F.substring(rows["__digest"], 1, SHORT) == small["short"]), "left")
-    hit = F.when(F.col("__digest") == F.col("digest"), F.col("hit"))
-    best = joined.groupBy("__id").agg(
-        F.first("__row").alias("__row"), F.first("__host").alias("host"), F.first("__path").alias("path"), F.max(hit).alias("__hit")
-    )
+    shapes = sorted((r.labels, r.path_size) for r in rules.select("labels", "path_size").distinct().limit(MAX_SHAPES + 1).collect())
+    n_rules = rules.limit(MAX_BROADCAST_RULES + 1).count()
+    # a short prefix names a few rules: their digests tell which one it is
+    known = rules.groupBy("labels", "path_size", "short").agg(F.collect_list(F.struct("digest", "hit")).alias("named"))
+    apart = pages.select(F.struct(*[pages[c] for c in keep]).alias("__row"), url_host(pages[url_col]).alias("__host"), url_path(pages[url_col]).alias("__path"))
+    if len(shapes) <= MAX_SHAPES and n_rules <= MAX_BROADCAST_RULES:
+        best = _beside(apart, known, shapes)
+    else:
+        best = _apart(apart, known, n_rules)
     return best.select(
         *[F.col("__row")[c].alias(c) for c in keep],
-        "host",
-        "path",
+        F.col("__host").alias("host"),
+        F.col("__path").alias("path"),
         F.col("__hit.rule").alias("rule"),
         F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"),
     )
 
 
+def _suffix(labels: Column) -> Column:
+    return F.call_function("substring_index", F.col("__host"), F.lit("."), -labels)
+
+
+def _confirmed(digest: Column, named: Column) -> Column:
+    """The rule among those of a short prefix whose whole digest agrees; of equal expressions the one that wins."""
+    return F.array_max(F.transform(F.filter(named, lambda x: x["digest"] == digest), lambda x: x["hit"]))
+
+
+def _beside(rows: DataFrame, known: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """A broadcast join for each shape of rules; rows stay where they are, one each."""
+    hits = []
+    for k, (labels, size) in enumerate(shapes):
+        fits = (F.size(F.split("__host", r"\.")) >= labels) & (F.length("__path") >= size) & (F.col("__host") != "")
+        cell = F.when(fits, _digest(_suffix(F.lit(labels)), F.substr("__path", F.lit(1), F.lit(size))))
+        own = known.where((F.col("labels") == labels) & (F.col("path_size") == size)).select(F.col("short").alias(f"__short{k}"), F.col("named").alias(f"__named{k}"))
+        rows = rows.withColumn(f"__digest{k}", cell).join(F.broadcast(own), F.substring(f"__digest{k}", 1, SHORT) == F.col(f"__short{k}"), "left")
+        hits.append(_confirmed(F.col(f"__digest{k}"), F.col(f"__named{k}")))
+    none = F.lit(None).cast(known.schema["named"].dataType.elementType["hit"].dataType)
+    best = F.array_max(F.array_compact(F.array(*hits, none))) if hits else none
+    return rows.select("__row", "__host", "__path", best.alias("__hit"))
+
+
+def _apart(rows: DataFrame, known: DataFrame, n_rules: int) -> DataFrame:
+    """A row for each expression of a url; rows are numbered in a written table, so numbers do not change if a task runs again."""
+    numbered = materialize(rows.withColumn("__id", F.monotonically_increasing_id()), "urls")
+    facts = known.agg(F.collect_set("path_size").alias("sizes"), F.max("labels").alias("labels")).first()
+    sizes = F.filter(F.array(*[F.lit(n) for n in sorted(facts.sizes)]).cast("array<int>"), lambda n: n <= F.length("__path"))  # as many as lengths of paths
+    labels = F.sequence(F.lit(1), F.least(F.size(F.split("__host", r"\.")), F.lit(facts.labels or 1)))
+    cells = F.flatten(F.transform(labels, lambda i: F.transform(sizes, lambda n: F.struct(i.alias("labels"), n.alias("size")))))
+    each = numbered.where("__host <> ''").select("__id", "__host", "__path", F.explode(cells).alias("c"))
+    each = each.select("__id", F.col("c.labels").alias("labels"), F.col("c.size").alias("path_size"), _digest(_suffix(F.col("c.labels")), F.substr("__path", F.lit(1), F.col("c.size"))).alias("__digest"))
+    each = each.withColumn("short", F.substring("__digest", 1, SHORT))
+    met = each.join(F.broadcast(known) if n_rules <= MAX_BROADCAST_RULES else known, ["labels", "path_size", "short"])
+    hits = met.select("__id", _confirmed(F.col("__digest"), F.col("named")).alias("__hit")).where("__hit IS NOT NULL")
+    return numbered.join(hits.groupBy("__id").agg(F.max("__hit").alias("__hit")), "__id", "left")
+
+
 def production_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, _RULE_SCHEMA)
 
