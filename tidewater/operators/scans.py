@@ -195,6 +195,9 @@ def _reached(exits: DataFrame, key: str) -> DataFrame:
     return reached
 
 
+_CLIP = (("first", T.LongType()), ("n", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType()))
+
+
 def cut_clips(words: DataFrame, key: str, *, least: float = 30, most: float = 240, gap: float = 3, by: str = "end", sentences: bool = False, block: int | None = None) -> DataFrame:
     """Greedy clips per key: (key, clip, first, n, start, end).
 
@@ -203,8 +206,57 @@ def cut_clips(words: DataFrame, key: str, *, least: float = 30, most: float = 24
     ends before a word over the span or the gap; the last word of a transcript that ends
     without either is not part of its clip. With ``sentences`` a clip starts after
     sentence-final punctuation at an upper-case word. ``first`` counts the key's words by pos.
+    Keys whose pos stay below ``block`` take one shuffle of their words; others are cut block by block.
     """
     block = block or BLOCK
+    rows = words.select(key, F.expr(f"floor(pos / {block})").alias("part"), "pos", F.col(by).cast("double").alias("t"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), *(["word"] if sentences else []))
+    schema = T.StructType([rows.schema[key], *[T.StructField(n, t) for n, t in _CLIP]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            name, part = table.column(0)[0].as_py(), table.column(1)[0].as_py()
+            if part != 0:  # a key of more blocks: cut below
+                return pa.RecordBatch.from_arrays([pa.array([name], schema_arrow), *[pa.array([None], k) for k in kinds]], names=schema.fieldNames())
+            t = np.maximum.accumulate(table.column(3).to_numpy())
+            said = [None, *table.column(6).to_pylist()] if sentences else []
+            starts = [not sentences or i == 0 or bool(said[i] and said[i].endswith(_SENTENCE_END) and said[i + 1] and said[i + 1].isupper()) for i in range(len(t))]
+            clips, at, out = _Clips(0, len(t), t, starts, most, gap), 0, []
+            while at is not None and at < len(t):
+                s, after = clips.step(at)
+                if s is not None and t[after - 1] - t[s] >= least:
+                    out.append((s, after - s))
+                at = after
+            first = np.array([s for s, _ in out], np.int64)
+            n = np.array([m for _, m in out], np.int64)
+            a, b = table.column(4).to_numpy()[first], table.column(5).to_numpy()[first + n - 1]
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(out), schema_arrow), pa.array(first), pa.array(n), pa.array(a), pa.array(b)], names=schema.fieldNames())
+
+        for batch, stretches in _groups(batches, 2):
+            schema_arrow = batch.column(0).type
+            for new, begin, end in stretches:
+                if new and held:
+                    yield solved()
+                    held.clear()
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield solved()
+
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    found = written(rows.repartition(key, "part").sortWithinPartitions(key, "part", "pos").mapInArrow(run, schema), "clips")
+    large = found.where("first IS NULL").select(key).distinct()
+    if not large.isEmpty():
+        beside = small(large.select(F.col(key).alias("__key")))
+        own = F.col(key).eqNullSafe(F.col("__key"))
+        found = found.where("first IS NOT NULL").join(beside, own, "left_anti").unionByName(_cut_blocks(words.join(beside, own, "left_semi"), key, least=least, most=most, gap=gap, by=by, sentences=sentences, block=block))
+    number = (F.row_number().over(W.partitionBy(key).orderBy("first")) - 1).cast("long")  # a row per clip
+    return found.select(key, number.alias("clip"), "first", "n", "start", "end")
+
+
+def _cut_blocks(words: DataFrame, key: str, *, least: float, most: float, gap: float, by: str, sentences: bool, block: int) -> DataFrame:
+    """(key, first, n, start, end) of the clips of keys of many words, as ``cut_clips``."""
     own = with_ordinal(words.select(key, "pos", "start", "end", "word"), [key], ["pos"], "i").withColumn("t", F.col(by).cast("double"))
     totals = own.groupBy(key).agg(F.count("*").alias("total"))
     own = joined_on(own, small(totals), [key]).withColumn("block", F.floor(F.col("i") / block))
@@ -259,7 +311,7 @@ def cut_clips(words: DataFrame, key: str, *, least: float = 30, most: float = 24
             p = [r[1] for r in mine if r[7]]
             yield pa.RecordBatch.from_arrays([pa.array(name.to_pylist() * len(p), name.type), pa.array(p, pa.int64()), pa.array([clips.exit(x) for x in p], pa.int64())], names=schema.fieldNames())
 
-    out_schema = T.StructType([rows.schema[key], *[T.StructField(n, t) for n, t in (("first", T.LongType()), ("n", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType()))]])
+    out_schema = T.StructType([rows.schema[key], *[T.StructField(n, t) for n, t in _CLIP]])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, held in blocks(batches):
@@ -291,10 +343,9 @@ def cut_clips(words: DataFrame, key: str, *, least: float = 30, most: float = 24
         found = small(entries.select(F.col(key).alias("__key"), F.col("block").alias("__block"), "entry"))
         placed = rows.join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.col("block") == F.col("__block")), "left").withColumn("entry", F.when(F.col("total") <= block, F.lit(0).cast("long")).otherwise(F.col("entry")))
     found = sorted_rows(placed.select(*fields, "entry")).mapInArrow(lambda it: walk(it), out_schema)
-    return with_ordinal(found, [key], ["first"], "clip").select(key, "clip", "first", "n", F.col("start").cast("double"), F.col("end").cast("double"))
+    return found
 
 
-def with_previous(clips: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """``clips`` with ``previous``, all words of the transcript before the clip; a transcript is one row here, as its text is."""
-    texts = words.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("__words"))
-    return clips.join(texts, key).withColumn("previous", F.array_join(F.slice("__words", F.lit(1), F.col("first").cast("int")), " ")).drop("__words")
+def with_previous(clips: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``clips`` with ``previous``, the words of the transcript (``text``, words between spaces) before the clip."""
+    return clips.join(texts.select(key, text), key).withColumn("previous", F.array_join(F.slice(F.split(text, " "), F.lit(1), F.col("first").cast("int")), " ")).drop(text)

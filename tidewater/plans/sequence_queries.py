@@ -168,14 +168,14 @@ def _transcripts(spark, sf):
 
 @query("J4 Q6")
 def clip_cut(spark, sf):
-    words = _transcripts(spark, sf)
-    return Sc.with_previous(Sc.cut_clips(words, "video", least=30, most=240, gap=2.6), words, "video")
+    clips = Sc.cut_clips(_transcripts(spark, sf), "video", least=30, most=240, gap=2.6)
+    return Sc.with_previous(clips, table(spark, sf, "documents").withColumnRenamed("doc_id", "video"), "video", "text")
 
 
 @query("J5")
 def clip_cut_sentences(spark, sf):
-    words = _transcripts(spark, sf)
-    return Sc.with_previous(Sc.cut_clips(words, "video", least=10, most=240, gap=3.2, by="start", sentences=True), words, "video")
+    clips = Sc.cut_clips(_transcripts(spark, sf), "video", least=10, most=240, gap=3.2, by="start", sentences=True)
+    return Sc.with_previous(clips, table(spark, sf, "documents").withColumnRenamed("doc_id", "video"), "video", "text")
 
 
 @query("J4 L12", f"WITH {FRAMES}, g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 36000 THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n, min(t) AS start, max(t) AS \"end\" FROM s GROUP BY ALL")
