@@ -219,3 +219,59 @@ def test_all_vectors_equal(spark):
 
 def test_queries_are_registered():
     assert {"op11_periodic_runs", "op12_lexical_search", "op13_embedding_dedup"} <= set(queries.queries())
+
+
+# 4
+
+
+def test_names_do_not_decide_alone():
+    from tidewater.llm.html_text import main_text, page_lines
+
+    kept = ['<article class="widget"><p>body</p></article>', '<article><table class="discussion"><tr><td>body</td></tr></table></article>', '<main><div class="banner">body</div></main>', '<main class="with-sidebar"><p>body</p></main>']
+    assert [main_text(page_lines(p), []) for p in kept] == ["body"] * 4
+    dropped = ["ad-300x250", "promo_inline", "cookie-banner-v2", "AdSlot2", "post-comments", "sponsored-content"]
+    for name in dropped:
+        assert main_text(page_lines(f'<article><p>body</p><div class="{name}">other</div></article>'), []) == "body", name
+    for name in ("share-price", "adhesive", "menu-planning-tips", "noticeable"):
+        assert main_text(page_lines(f'<article><p class="{name}">body</p></article>'), []) == "body", name
+    teaser = '<article><h1>Title</h1><p>' + "long text " * 40 + '</p></article><article><h2><a href="/x">Other story</a></h2><p>in short</p></article>'
+    assert "Other" not in main_text(page_lines(teaser), []) and "long text" in main_text(page_lines(teaser), [])
+    listing = "".join(f"<article><h2>Part {i}</h2><p>{'words ' * 9}</p></article>" for i in range(3))
+    assert main_text(page_lines(listing), []).count("Part") == 3
+
+
+def test_differencing_decides_on_doubtful_lines_of_articles(spark):
+    """A banner that other pages of the host show goes, one of its own stays; against all neighbours by a plain subsequence."""
+    from tidewater.llm.html_text import DOUBTFUL, MAIN, extract, page_lines
+
+    def page(i):
+        return f'<body><nav>menu</nav><article><div class="banner">{"Sale today" if i % 3 else f"Hero {i}"}</div><p>text {i}</p><div class="widget"><p>Top ten</p><p>own {i}</p></div></article></body>'
+
+    def common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        found, i, j = set(), len(a), len(b)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                found.add(i - 1)
+                i, j = i - 1, j - 1
+        return found
+
+    pages = [(i, f"http://h/{i:03}", page(i)) for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string"), blocks=4).collect()}
+    lines = [page_lines(p) for *_, p in pages]
+    assert all({s for s, _ in x} == {MAIN, DOUBTFUL} for x in lines)
+    for i, own in enumerate(lines):
+        doubtful = [t for s, t in own if s == DOUBTFUL]
+        gone = set()
+        for k in (i - 1, i + 1):
+            if 0 <= k < len(lines):
+                gone |= {doubtful[x] for x in common(doubtful, [t for s, t in lines[k] if s == DOUBTFUL])}
+        assert got[i] == "\n\n".join(t for s, t in own if s == MAIN or t not in gone)
+    assert "Hero 3" in got[3] and "Sale" not in got[4] and all("Top ten" not in t for t in got.values())

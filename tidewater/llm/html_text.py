@@ -1,11 +1,12 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines (its blocks) with what its structure says of each: part
-of the article, part of something that is no article (menus, notices, adverts,
-comments …), or open. Pages of a host are ordered by URL path and each is paired
-with its nearest neighbours that are no copies of it; open lines that the longest
-common subsequence of the two pages shares are the site's, not the page's, and are
-deleted, whatever share of the page they are. Lines of a marked article stay: pages
+of the article, part of something that is no article (menus, adverts, comments …),
+doubtful (in the article, but below a name such as banner or widget that says little),
+or open. Pages of a host are ordered by URL path and each is paired with its nearest
+neighbours that are no copies of it; open and doubtful lines that the longest common
+subsequence of the two pages shares are the site's, not the page's, and are deleted,
+whatever share of the page they are. Other lines of a marked article stay: pages
 that carry the same article, or quote the same passage, would else lose it.
 """
 
@@ -27,7 +28,7 @@ BLOCK_PAGES, MAX_BLOCKS = 500, 50_000
 #: Blocks of a task, on average.
 TASK_BLOCKS = 4
 
-MAIN, OPEN = 1, 2
+MAIN, OPEN, DOUBTFUL = 1, 2, 3
 
 #: HTML elements whose content is never article text.
 _SKIPPED = frozenset("script style noscript template svg math canvas iframe object embed audio video head title select option datalist button form input textarea nav footer aside menu dialog map".split())
@@ -36,16 +37,18 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr script style noscript template svg button input select".split())
 #: Words in class, id and role that name what is not the article.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle banner banners sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices "
-    "notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side aside "
-    "footer foot masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion "
-    "widget widgets pagination pager skip search disclaimer copyright tags tagcloud complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices "
+    "notification popup newsletter subscribe subscription nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside "
+    "footer share sharing related recommended recommendations comment comments commentlist disqus pagination teaser teasers "
+    "disclaimer copyright tagcloud complementary contentinfo".split()
 )
+#: Words that often do so, but name articles and their parts as well; what other pages of the host show decides.
+_DOUBTED = frozenset("banner banners alert modal overlay signup login side foot masthead topbar toolbar social reply replies respond discussion widget widgets pager skip search tags".split())
 #: Words that may stand beside them in a name without changing what it names; 'with-sidebar' or 'share-price' names something else.
 _BESIDE = frozenset(
     "site page main post entry article blog user reader global primary secondary mobile desktop top bottom left right upper lower inner outer fixed sticky floating "
     "container wrapper wrap box bar area section block group list item items link links button buttons icon icons form field panel column col row content body text title "
-    "header head heading message msg unit slot space image img thread node author count number form js id the".split()
+    "header head heading message msg unit slot space image img thread node author count number form js id the inline footer sub mini small large big wide narrow vertical horizontal new old alt ext std".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[a-zA-Z][^<>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -55,53 +58,102 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 
 
-def _names_other(token: str, main: bool) -> bool:
-    """Whether a class, id or role names something that is not the article: all its words do, or may stand beside one that does."""
+def _names_other(token: str, main: bool) -> int:
+    """2 if a class, id or role names something that is not the article, 1 if it may, else 0.
+
+    All its words must name such a thing or may stand beside one that does; numbers and
+    one or two letters (sizes, versions) say nothing.
+    """
     parts = [x.lower() for x in _PART.findall(token) if not x.isdigit()]
+    parts = [x for x in parts if len(x) > 2 or x in _NAMES or x in _DOUBTED]
     named = not _NAMES.isdisjoint(parts) or not main and "header" in parts
-    return token.lower() in _NAMES or named and all(x in _NAMES or x in _BESIDE for x in parts)
+    doubted = not _DOUBTED.isdisjoint(parts)
+    if token.lower() in _NAMES:
+        return 2
+    if not (named or doubted) or any(x not in _NAMES and x not in _DOUBTED and x not in _BESIDE for x in parts):
+        return 0
+    return 2 if named else 1
 
 
-def _named_off(tag: str, main: bool) -> bool:
-    """Whether class, id, role or hiding marks of a tag say that it is not the article; a header in the article is its own."""
+def _named_off(tag: str, main: bool) -> int:
+    """What class, id, role or hiding marks of a tag say: 2 it is not the article, 1 it may be none, 0 nothing. A header in the article is its own."""
+    says = 0
     for name, a, b, c in _ATTR.findall(tag):
         raw, name = a or b or c, name.lower()
         value = raw.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
-                return True
-        elif any(_names_other(t, main) for t in raw.split()):
-            return True
-    return False
+                return 2
+        else:
+            says = max([says, *(_names_other(t, main) for t in raw.split())])
+    return says
+
+
+class _Line:
+    """A block that is being read: its pieces, the state and article of its first one, and how much of it is links."""
+
+    def __init__(self) -> None:
+        self.pieces: list[str] = []
+        self.state, self.article, self.linked, self.size = OPEN, 0, 0, 0
+
+    def add(self, piece: str, state: int, article: int, linked: bool) -> None:
+        if not self.pieces:
+            self.state, self.article, self.linked, self.size = state, article, 0, 0
+        self.pieces.append(piece)
+        n = len(piece.strip())
+        self.size += n
+        self.linked += n if linked else 0
+
+
+def _without_teasers(lines: list[tuple[int, str, int, bool]]) -> list[tuple[int, str]]:
+    """(state, text) of lines (state, text, article, is a link); articles that begin with a link and are short beside the longest one are teasers of other pages."""
+    size: dict[int, int] = {}
+    opens: dict[int, bool] = {}
+    for _, text, article, link in lines:
+        if article:
+            size[article] = size.get(article, 0) + len(text)
+            opens.setdefault(article, link)
+    longest = max(size.values(), default=0)
+    teasers = {a for a, n in size.items() if opens[a] and 3 * n < longest}
+    return [(OPEN if article in teasers else state, text) for state, text, article, _ in lines]
 
 
 def page_lines(page: str | None) -> list[tuple[int, str]]:
     """(state, text) of each block in page order; character references decoded, white space folded, empty blocks left out."""
     if not page:
         return []
-    out: list[tuple[int, str]] = []
-    pieces: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, is off, is in the article, is off whatever it holds
-    off = main = shut = False
-    in_main = False  # of the block that is being read
+    out: list[tuple[int, str, int, bool]] = []
+    line = _Line()
+    # open elements: name, is off, is in the article, is off whatever it holds, is doubtful
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    off = main = shut = doubt = False
+    article = links = 0  # of the page's articles the one that is open or was last; open links
     at, n = 0, len(page)
 
     def end_block():
-        if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip(" ")
+        if line.pieces:
+            text = _SPACE.sub(" ", html.unescape("".join(line.pieces))).strip(" ")
             text = " ".join(text.split())
-            pieces.clear()
+            line.pieces.clear()
             if text:
-                out.append((MAIN if in_main else OPEN, text))
+                out.append((line.state, text, line.article, 0 < line.size <= line.linked))
+
+    def state():
+        return DOUBTFUL if main and doubt else MAIN if main else OPEN
+
+    def cut(k: int):
+        nonlocal off, main, shut, doubt, links
+        links -= sum(x[0] == "a" for x in stack[k:])
+        del stack[k:]
+        off, main, shut, doubt = stack[-1][1:] if stack else (False, False, False, False)
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at and not off:
-            in_main = in_main if pieces else main
-            pieces.append(page[at : m.start()])
+            line.add(page[at : m.start()], state(), article if main else 0, links > 0)
         at = m.end()
         tag = _TAG.match(m[0])
         if tag is None:
@@ -109,13 +161,12 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         closing, name = tag[1], tag[2].lower()
         if name not in _INLINE:
             end_block()
-        elif name == "br" and pieces:
-            pieces.append(" ")
+        elif name == "br" and line.pieces:
+            line.pieces.append(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    off, main, shut = stack[-1][1:] if stack else (False, False, False)
+                    cut(k)
                     break
             continue
         if name in _RAW:
@@ -127,24 +178,25 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         if name == "p" or name == "li":  # an open paragraph or item ends here
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    off, main, shut = stack[-1][1:] if stack else (False, False, False)
+                    cut(k)
                     break
                 if stack[k][0] not in _INLINE:
                     break
         # a name shuts out what it wraps, but not an article below it; an element's kind does
         now_shut = shut or name in _SKIPPED or name == "header" and not main
         opens = name in ("article", "main") or "main" in m[0] and re.search(r"role\s*=\s*[\"']?main\b", m[0], re.I) is not None
-        now_off = off or name not in ("html", "body") and len(m[0]) > len(name) + 2 and _named_off(m[0], main)
+        says = _named_off(m[0], main or opens) if name not in ("html", "body") and len(m[0]) > len(name) + 2 else 0
+        now_off, now_doubt = off or says == 2, doubt or says == 1 and not opens
         if opens and not main:
-            now_off = len(m[0]) > len(name) + 2 and _named_off(m[0], True)
-        off, main, shut = now_off or now_shut, main or opens and not now_off, now_shut
-        stack.append((name, off, main, shut))
+            now_off, now_doubt = says == 2, False
+            article += not now_off
+        off, main, shut, doubt = now_off or now_shut, main or opens and not now_off, now_shut, now_doubt
+        links += name == "a"
+        stack.append((name, off, main, shut, doubt))
     if at < n and not off:
-        in_main = in_main if pieces else main
-        pieces.append(page[at:])
+        line.add(page[at:], state(), article if main else 0, links > 0)
     end_block()
-    return out
+    return _without_teasers(out)
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -181,14 +233,13 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[int, str]], neighbours: list[list[str]]) -> str:
-    """The article's lines, or without an article the open lines that no neighbour shares."""
+    """The article's lines, or without an article the open ones; doubtful and open lines that a neighbour shares go."""
     has_main = any(state == MAIN for state, _ in lines)
+    own = [k for k, (state, _) in enumerate(lines) if state != MAIN]
     gone: set[int] = set()
-    if not has_main:
-        own = [text for _, text in lines]
-        for other in neighbours:
-            gone |= common_lines(own, other)
-    return "\n\n".join(text for k, (state, text) in enumerate(lines) if state == MAIN or not has_main and k not in gone)
+    for other in neighbours:
+        gone |= {own[k] for k in common_lines([lines[k][1] for k in own], other)}
+    return "\n\n".join(text for k, (state, text) in enumerate(lines) if state == MAIN or k not in gone and (state == DOUBTFUL or not has_main))
 
 
 _HOST = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
@@ -237,9 +288,9 @@ def _boundaries(pages: DataFrame, blocks: int | None) -> list[tuple[tuple[str, s
 def extract(pages: DataFrame, *, blocks: int | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A page without a marked article loses every line that the nearest page before or
-    after it in its host shares, copies (pages of the same open lines) and pages
-    without lines passed over; copies of a page get the same text. Copies are passed
+    A page loses every line outside a marked article, and every doubtful one in it, that the
+    nearest page before or after it in its host shares, copies (pages of the same such
+    lines) and pages without such lines passed over. Beside an article nothing else stays. Copies are passed
     over within a block and at its edges. Null pages are empty and have an empty
     text; pages without a url are ordered by what there is and form one host; of
     pages of equal host, path and id all get their text; texts may be of any length;
@@ -277,7 +328,7 @@ def extract(pages: DataFrame, *, blocks: int | None = None) -> DataFrame:
                 yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
         def open_lines(row):
-            return [t for s, t in zip(row[7], row[8], strict=True) if s == OPEN]
+            return [t for s, t in zip(row[7], row[8], strict=True) if s != MAIN]
 
         def batch_of(out):
             cols = list(zip(*out, strict=True)) or [(), (), ()]
@@ -287,27 +338,27 @@ def extract(pages: DataFrame, *, blocks: int | None = None) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-        # a run: neighbouring pages of a host with the same open lines; (host, lines, pages without an article)
+        # a run: neighbouring pages of a host with the same open lines; (host, lines, pages that differencing decides on)
         before = run = None
         out: list[tuple] = []
 
         def close(after):
             if run is not None and run[2]:
                 near = [x[1] for x in (before, after) if x is not None and x[0] == run[0]]
-                text = main_text([(OPEN, t) for t in run[1]], near)
-                out.extend((page_id, url, text) for page_id, url in run[2])
+                out.extend((page_id, url, main_text(lines, near)) for page_id, url, lines in run[2])
 
         for row in rows():
             host, own = row[2], open_lines(row)
-            has_main = MAIN in row[7]
-            if not row[1] and (has_main or not own):
-                out.append((row[5], row[6], main_text(list(zip(row[7], row[8], strict=True)), [])))
+            settled = MAIN in row[7] and DOUBTFUL not in row[7] or not own
+            lines = list(zip(row[7], row[8], strict=True))
+            if not row[1] and settled:
+                out.append((row[5], row[6], main_text(lines, [])))
             if own:
                 if run is None or run[0] != host or run[1] != own:
                     close((host, own))
                     before, run = run, (host, own, [])
-                if not row[1] and not has_main:
-                    run[2].append((row[5], row[6]))
+                if not row[1] and not settled:
+                    run[2].append((row[5], row[6], lines))
             if len(out) >= 500:
                 yield batch_of(out)
                 out.clear()
