@@ -93,9 +93,13 @@ def with_prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str
     """``df`` with ``name``: the sum of ``value`` over the rows of its key that come before; null is a key like others.
 
     A key, however many rows it has, is summed in ranges of the first column of
-    ``order``, and each range is shifted by the sums of those before it.
+    ``order``, and each range is shifted by the sums of those before it. Tables of no more
+    rows than a task ranks are summed by key.
     """
-    split = ranged(df, order[0])
+    cuts = _cuts(df, order[0])
+    if not cuts:
+        return df.withColumn(name, F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    split = _split(df, order[0], cuts)
     sums = split.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
     before = F.sum("__sum").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))  # a row per key and range
     base = sums.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__base"))
@@ -118,18 +122,27 @@ def counts_until(points: DataFrame, events: DataFrame, keys: list[str], ident: l
     return both.withColumn("n", F.sum("__one").over(w)).where("__one = 0").select(*keys, *ident, "n")
 
 
-def ranged(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``__range``, the number of its quantile of ``order``: 64, or more if that is over ``RANGE_ROWS`` rows each."""
-    few = df.agg(F.count("*").alias("n"), F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10_000).alias("c")).first()
-    cuts = few.c or []
-    if few.n > 64 * RANGE_ROWS:  # more rows than 64 tasks should sort take more ranges
-        n = min(MAX_RANGES, few.n // RANGE_ROWS)
-        cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("c")).first().c
+def _cuts(df: DataFrame, order: str) -> list:
+    """Quantiles of ``order`` that cut the table in ranges of about ``RANGE_ROWS`` rows, 64 at least; none if all rows are no more than that."""
+    n = df.count()
+    if n <= RANGE_ROWS:
+        return []
+    parts = max(64, min(MAX_RANGES, n // RANGE_ROWS))
+    found = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first().c
+    return sorted(set(found or []))
+
+
+def _split(df: DataFrame, order: str, cuts: list) -> DataFrame:
     # the place among sorted cuts is one more than that of the last cut below the value
-    part = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(order))) if cuts else F.lit(0)
     return df.withColumn("__range", part)
 
 
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``__range``, the number of its quantile of ``order``; one range if a task can rank all rows."""
+    return _split(df, order, _cuts(df, order))
+
+
 #: Rows that a task ranks, about, and most ranges.
 RANGE_ROWS, MAX_RANGES = 1_000_000, 512
 
