@@ -275,3 +275,26 @@ def test_differencing_decides_on_doubtful_lines_of_articles(spark):
                 gone |= {doubtful[x] for x in common(doubtful, [t for s, t in lines[k] if s == DOUBTFUL])}
         assert got[i] == "\n\n".join(t for s, t in own if s == MAIN or t not in gone)
     assert "Hero 3" in got[3] and "Sale" not in got[4] and all("Top ten" not in t for t in got.values())
+
+
+# 3
+
+
+def test_parts_of_a_benchmark_equal_one_automaton(spark, sf, monkeypatch):
+    """Many parts, several filters and several tasks for a part give what one automaton gives; columns with clashing names stay."""
+    from tidewater.llm import decontaminate
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 12, 13, 14, 30])))) for i in range(60)] + [(60, None), (61, "!!")]
+    texts = [(i, " ".join([*rng.choices(words, k=20), rng.choice(asked[:60])[1], *rng.choices(words, k=5), rng.choice(asked[:60])[1][:40]])) for i in range(200)] + [(200, None), (201, ""), (202, LONG)]
+    items = spark.createDataFrame(asked, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, hit_items string, part int")
+    rows = lambda **o: sorted((r.doc_id, r.n_words, tuple(map(tuple, r.hit_spans)), tuple(r.hit_items), r.part) for r in decontaminate.find_hits(docs, items, **o).collect())
+    want = rows()
+    plain = decontaminate.brute_force([t.encode() if t else None for _, t in texts], [(str(i), t.encode()) for i, t in asked if t])
+    assert [(r[1], sum(b - a for a, b in r[2]), list(r[3])) for r in want] == plain and sum(bool(r[3]) for r in want) > 100
+    monkeypatch.setattr(decontaminate, "MAX_FILTER_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "PART_DOCUMENTS", 20)
+    assert rows(max_automaton_bytes=300) == want
+    assert decontaminate.find_hits(docs.limit(0), items, max_automaton_bytes=300).count() == 0

@@ -4,6 +4,11 @@ The automaton of all normalised test items is built once (its size is checked)
 and sent to the tasks; training texts stream through it word by word while it
 tracks the longest suffix that occurs in some item. A match of ``min_words``
 words, or of a whole shorter item, marks its words as hit.
+
+Items beyond the size of one automaton are dealt to parts. One scan of the documents
+looks the hashes of their windows up among those of all items, which tells the parts that
+a document may hit; only such documents go to the tasks of these parts, each of which
+builds its automaton from the part's items and decides.
 """
 
 from __future__ import annotations
@@ -12,17 +17,24 @@ import hashlib
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WRITTEN, append_columns, as_bytes, discard, materialize, numbered, word_list
+from .common import WRITTEN, append_columns, as_bytes, discard, materialize, numbered, release_memory, word_list
 
-#: Most bytes of test items in one automaton; larger benchmarks take several passes. Two MiB of items of 30,000 different
+#: Most bytes of test items in one automaton (a longer item has one of its own); larger benchmarks are dealt to parts. Two MiB of items of 30,000 different
 #: words make about 345,000 states, 205 MB in the driver and in each Python worker.
 MAX_AUTOMATON_BYTES = 2 << 20
 
+#: Bytes of items whose window hashes one scan of the documents holds: about 13 bytes for each of their words.
+MAX_FILTER_BYTES = 64 << 20
+#: Documents that one task of a part scans, on average.
+PART_DOCUMENTS = 20_000
+
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -143,6 +155,107 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, the same in every process."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _windows(words: list[bytes], known: _Hashes, size: int) -> np.ndarray:
+    """Hashes of all stretches of ``size`` words."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(len(words) - size + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+        return out ^ (out >> np.uint64(32)) ^ np.uint64(size)
+
+
+def _window_parts(items: DataFrame, min_words: int) -> pa.Table:
+    """(hash, part, size) of the windows of items (part, body)."""
+
+    def run(batches):
+        known = _Hashes()
+        for batch in batches:
+            hashes, parts, sizes = [np.zeros(0, np.uint64)], [], []
+            for part, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                words = word_list(text)
+                if words:
+                    size = min(len(words), min_words)
+                    hashes.append(_windows(words, known, size))
+                    parts += [part] * len(hashes[-1])
+                    sizes += [size] * len(hashes[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32())], names=["hash", "part", "size"])
+
+    return items.select("part", "body").mapInArrow(run, "hash long, part int, size int").distinct().toArrow()
+
+
+def _may_hit(docs: DataFrame, text_col: str, table: pa.Table, name: str) -> DataFrame:
+    """``docs`` with ``name``, the parts that have a window whose hash one of the text's has."""
+    hashes, parts, sizes = (table.column(c).to_numpy() for c in ("hash", "part", "size"))
+    by = np.argsort(hashes.view(np.uint64), kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((hashes.view(np.uint64)[by], parts[by], sorted(set(sizes.tolist()))))
+
+    def make():
+        sorted_hashes, of, used = shared.value
+        known = _Hashes()
+
+        def work(texts):
+            out = []
+            for text in as_bytes(texts):
+                words = word_list(text) if text else []
+                found: set[int] = set()
+                for size in used:
+                    own = np.unique(_windows(words, known, size))
+                    a, b = np.searchsorted(sorted_hashes, own, "left"), np.searchsorted(sorted_hashes, own, "right")
+                    for x, y in zip(a[b > a].tolist(), b[b > a].tolist(), strict=True):
+                        found.update(of[x:y].tolist())
+                out.append(sorted(found))
+                if len(known) > 1_000_000:
+                    known.clear()
+            return [pa.array(out, pa.list_(pa.int32()))]
+
+        return work
+
+    return append_columns(docs, [text_col], [T.StructField(name, T.ArrayType(T.IntegerType()))], make)
+
+
+def _scan_parts(items: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """(id, hit_spans, hit_items) of texts (part, id, body) against the items (part, item, body) of their part.
+
+    A part of many texts is dealt to several tasks; each gets the part's items first.
+    """
+    tasks = texts.groupBy("part").agg(F.ceil(F.count("*") / PART_DOCUMENTS).cast("int").alias("tasks"))  # a row per part
+    dealt = texts.join(F.broadcast(tasks), "part").select("part", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("item"), "body")
+    known = items.join(F.broadcast(tasks), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "item", "body")
+    rows = known.unionByName(dealt).repartition("part", "task").sortWithinPartitions("part", "task", "kind", "item", "body")
+
+    def run(batches):
+        at, own, automaton = None, [], None
+        for batch in batches:
+            ids, spans, found = [], [], []
+            for part, task, kind, key, item, body in zip(*[c.to_pylist() for c in batch.columns[:5]], as_bytes(batch.column(5)), strict=True):
+                if (part, task) != at:
+                    at, own, automaton = (part, task), [], None
+                if kind == 0:
+                    own.append((item, body))
+                    continue
+                automaton = automaton or ItemAutomaton(own, min_words)
+                s, hits = automaton.scan(word_list(body))
+                if s:
+                    ids.append(key)
+                    spans.append([{"start": a, "end": b} for a, b in s])
+                    found.append(sorted(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(found, pa.list_(pa.string()))], names=["id", "hit_spans", "hit_items"])
+        release_memory()
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), *_FIELDS[1:]]))
+
+
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -172,40 +285,54 @@ def find_hits(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("body")
     ).where("body is not null")
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    passes = max(1, -(-total // max_automaton_bytes))
-    out, before = docs, len(WRITTEN)
-    for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k)
-        rows = sorted((r.item, r.body.encode("utf-8", "surrogatepass")) for r in part.toLocalIterator())
+    if total <= max_automaton_bytes:
+        rows = sorted((r.item, r.body.encode("utf-8", "surrogatepass")) for r in items.toLocalIterator())
         shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(rows, min_words))
 
-        def make(shared=shared, more=k > 0):
+        def one():
             automaton = shared.value
 
-            def work(texts, *earlier):
-                n_words, spans, items = [], [], []
-                for i, text in enumerate(as_bytes(texts)):
+            def work(texts):
+                n_words, spans, found = [], [], []
+                for text in as_bytes(texts):
                     words = word_list(text) if text else []
-                    s, found = automaton.scan(words)
-                    if more:
-                        s = _merge(s, [(x["start"], x["end"]) for x in earlier[0][i].as_py()])
-                        found = found.union(earlier[1][i].as_py())
+                    s, hits = automaton.scan(words)
                     n_words.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in s])
-                    items.append(sorted(found))
-                return [
-                    pa.array(n_words, pa.int64()),
-                    pa.array(spans, _SPANS_ARROW),
-                    pa.array(items, pa.list_(pa.string())),
-                ]
+                    found.append(sorted(hits))
+                return [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(found, pa.list_(pa.string()))]
 
             return work
 
-        out = append_columns(out, [text_col] + (["hit_spans", "hit_items"] if k else []), _FIELDS, make)
-        if passes > 1:  # one automaton in memory at a time, one copy of the documents on disk
-            out = materialize(out, "hits")
-            discard(docs.sparkSession, before, out)
-    return out
+        return append_columns(docs, [text_col], _FIELDS, one)
+
+    before, n_parts = len(WRITTEN), -(-total // max_automaton_bytes)
+    items = items.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(n_parts)).cast("int"))
+    scans = -(-total // MAX_FILTER_BYTES)
+    inner, text, _ = numbered(docs, text_col)
+    marked = inner
+    for k in range(scans):
+        table = _window_parts(items.where(F.pmod("part", F.lit(scans)) == k), min_words)
+        marked = _may_hit(marked, text, table, f"parts{k}")
+    every = F.array_distinct(F.concat(*[F.col(f"parts{k}") for k in range(scans)]))
+    # numbers are those of the written table, which the rest reads
+    written = materialize(marked.withColumn("__parts", every).drop(*[f"parts{k}" for k in range(scans)]).withColumn("__id", F.monotonically_increasing_id()), "candidates")
+    hits = _scan_parts(items, written.select(F.explode("__parts").alias("part"), F.col("__id").alias("id"), F.col(text).alias("body")), min_words)
+    by_text = hits.groupBy("id").agg(F.flatten(F.collect_list("hit_spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("__items"))
+    joined = materialize(written.join(by_text, written["__id"] == by_text["id"], "left").drop("__id", "__parts", "id"), "hits")
+    discard(docs.sparkSession, before, joined)
+
+    def merged():
+        def work(texts, spans, found):
+            n_words = [len(word_list(t)) if t else 0 for t in as_bytes(texts)]
+            own = [[{"start": a, "end": b} for a, b in _merge([(x["start"], x["end"]) for x in s or []], [])] for s in spans.to_pylist()]
+            return [pa.array(n_words, pa.int64()), pa.array(own, _SPANS_ARROW), pa.array([f or [] for f in found.to_pylist()], pa.list_(pa.string()))]
+
+        return work
+
+    out = append_columns(joined, [text, "__spans", "__items"], _FIELDS, merged).drop("__spans", "__items")
+    new = {f.name for f in _FIELDS}
+    return out.select(*[out[f"c{i}"].alias(n) for i, n in enumerate(docs.columns) if n not in new], *[f.name for f in _FIELDS])
 
 
 def hit_words() -> Column:
