@@ -298,3 +298,36 @@ def test_parts_of_a_benchmark_equal_one_automaton(spark, sf, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART_DOCUMENTS", 20)
     assert rows(max_automaton_bytes=300) == want
     assert decontaminate.find_hits(docs.limit(0), items, max_automaton_bytes=300).count() == 0
+
+
+# 1, 6, 10
+
+
+def test_very_long_rows_have_shards_of_their_own(spark):
+    from tidewater.llm import sharding
+
+    rows = [(i, "x" * (5000 if i % 10 == 0 else 20)) for i in range(60)] + [(None, None), (60, "")]
+    got = sharding.document_shards(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()
+    assert len(got) == 62 and all(r.shard_rows == 1 and r.shard_bytes == 5000 for r in got if r.n_bytes == 5000)
+    assert all(r.shard_bytes <= 400 for r in got if r.n_bytes < 5000)
+
+
+def test_templates_that_compress_alike():
+    """Of equal wordings the first is named; of wordings that fit alike the one with fewer differences, then the longest."""
+    from tidewater.llm import licenses
+
+    same = [("one", "Under the terms of this licence here"), ("two", "Under the terms of this licence here")]
+    assert [h["license"] for h in licenses.Scanner(same).scan("x under the terms of this licence here y")] == ["one"]
+    nested = [("short", "the terms of this licence"), ("long", "Under the terms of this licence here")]
+    assert [h["license"] for h in licenses.Scanner(nested).scan("x under the terms of this licence here y")] == ["long"]
+    assert [h["license"] for h in licenses.Scanner(nested).scan("x by the terms of this licence there y")] == ["short"]
+
+
+def test_digests_of_awkward_rows(spark):
+    from tidewater.llm import bpe
+
+    rows = [(1, None), (2, ""), (3, "two words"), (3, "two words"), (4, "long " * 20_000)]
+    got = bpe.digests(spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, n_tokens string")).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got[:2]] == [(0, empty, empty)] * 2
+    assert got[2][2:] == got[3][2:] and got[4].n_tokens >= 20_000 and got[4].decoded_sha256 == hashlib.sha256(" ".join(["long"] * 20_000).encode()).hexdigest()  # the tokenizer has no token for the last space

@@ -255,7 +255,12 @@ def _pieces(config: str) -> dict[int, str]:
 
 
 def digests(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "text", max_words: int = MAX_TABLE_WORDS) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of whole texts; null counts as the empty text."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of whole texts.
+
+    Null counts as the empty text, which has no tokens and the digests of empty strings; texts of any length are
+    encoded whole; repeated rows get equal results; columns of the new names are replaced, all others pass through;
+    an empty table gives an empty one. Words outside the table of at most ``max_words`` are encoded where they stand.
+    """
     sc = docs.sparkSession.sparkContext
     config = sc.broadcast(_config(tokenizer))
     table = sc.broadcast(word_table(docs, config, text_col, max_words))

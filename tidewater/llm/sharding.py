@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import materialize
 
 #: Bits of the key's hash, then of the row's; past both, rows that are the same in all columns are told apart by position.
 WORD_BITS = 60
@@ -101,22 +101,28 @@ def assign_shards(
 
 
 def write_shards(df: DataFrame, path: str, **options) -> DataFrame:
-    """Write ``df`` as one folder of Parquet files per shard; returns (shard, n_rows, bytes)."""
+    """Write ``df`` as one folder of Parquet files per shard; returns (shard, n_rows, bytes).
+
+    Rows are dealt as ``assign_shards`` deals them, with its options and its edge cases (nulls,
+    very long and repeated rows); ``shard`` names the folder and replaces a column of that
+    name. An empty table writes an empty folder and returns no rows.
+    """
     placed = materialize(assign_shards(df, **options), "placed")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard").agg(F.count("*").alias("n_rows"), F.first("shard_bytes").alias("bytes"))
 
 
 def document_shards(docs: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Shard of every document by the hash of its id; sizes are the text's UTF-8 bytes."""
+    """doc_id, n_bytes and shard of every document, by the hash of its id; sizes are the text's UTF-8 bytes.
+
+    Null and empty texts have 0 bytes, null ids hash like any value, a text over the limit has a
+    shard of its own, repeated rows are spread by position; other columns do not pass; no
+    documents give no rows.
+    """
     narrow = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return assign_shards(narrow, key=["doc_id"], bytes_col=F.col("n_bytes"), limit=limit)
 
 
-def shard_paths_folder(spark) -> str:
-    return shared_path(spark, "shards")
-
-
 #: The same shards in SQL: a bucket is the shortest prefix of the key's hash whose bytes fit.
 ORACLE_SQL = f"""
 WITH h AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
