@@ -25,6 +25,7 @@ def query(ids: str, sql: str | None = None):
 
 def _load() -> None:
     from . import (  # noqa: F401
+        annotation_queries,
         benchmark_queries,
         expression_queries,
         memory_queries,
