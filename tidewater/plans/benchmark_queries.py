@@ -1,6 +1,6 @@
 """The benchmark drivers: load annotations, cut them in chunks, answer, merge, evaluate.
 
-A driver is a data set's questions, a solver and an evaluator. Chunks of videos are
+A driver is a data set's questions, read from annotation files of its format, a solver and an evaluator. Chunks of videos are
 answered by the solver's seam and come back as one table of answer rows with the
 run's name and parameters, which is what merged shard files hold. Layered drivers
 pass the layers that keep short memory to the solver and name them in the run.
@@ -20,6 +20,9 @@ from tidewater.functions import timeline as T
 from tidewater.operators import metrics as M
 from tidewater.operators import sequences as S
 from tidewater.operators.matching import consuming_match
+from tidewater.sources import annotations as A
+from tidewater.sources.files import write_json_arrays, write_jsonl, write_named
+from tidewater.sources.scratch import new_folder
 
 from .registry import query
 from .tables import table
@@ -72,6 +75,54 @@ def choice_questions(spark, sf) -> DataFrame:
     return d.select(F.col("doc_id").alias("qid"), F.col("source").alias("video_id"), F.get(tasks, F.pmod("doc_id", F.lit(12)).cast("int")).alias("task"), F.char(F.lit(65) + F.col("n_chars") % 4).alias("correct_choice"), "n_chars")
 
 
+_OPTIONS = ["w", "x", "y", "z"]
+#: Questions of a video in the annotation files.
+PER_VIDEO = 100
+
+
+def _as_samples(spark, q: DataFrame) -> DataFrame:
+    path = new_folder(spark, "annotations")
+    one = F.struct(F.col("qid").cast("string").alias("question"), "choices", F.get("choices", F.ascii("correct_choice") - 65).alias("answer"), F.col("n_chars").cast("double").alias("end_time"), "task")
+    by = q.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", one.alias("q")))), lambda x: x["q"]).alias("conversations"))
+    write_json_arrays(by.select(F.col("video").alias("video_id"), F.concat(F.lit("videos/"), "video", F.lit(".mp4")).alias("video_path"), "conversations"), path, CHUNKS)
+    return A.load_samples(spark, path)
+
+
+def _as_streamed_choices(spark, q: DataFrame) -> DataFrame:
+    path = new_folder(spark, "annotations")
+    lettered = F.transform("choices", lambda x, i: F.concat(F.char(65 + i), F.lit(". "), x))
+    line = q.select(F.col("qid").cast("string").alias("question"), lettered.alias("options"), F.col("correct_choice").alias("answer"), F.col("n_chars").alias("video_end"), F.concat("video", F.lit(".mp4")).alias("video"), "task")
+    write_jsonl(line, path)
+    return A.load_streamed_choices(spark, path, "videos")
+
+
+def _as_named_choices(spark, q: DataFrame) -> DataFrame:
+    path = new_folder(spark, "annotations")
+    named = F.map_from_arrays(F.array(*[F.lit(c) for c in "ABCD"]), "choices")
+    one = F.struct(F.col("qid").cast("string").alias("Question"), named.alias("Choices"), F.col("correct_choice").alias("Correct Answer"))
+    groups = q.groupBy("video").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("video", F.lit("_"), F.col("qid").cast("string")), one))).alias("g"))
+    files = groups.select(F.concat(F.replace("video", F.lit("/"), F.lit("_")), F.lit(".json")).alias("name"), F.to_json(F.create_map("video", "g")).alias("value"))
+    write_named(files, path, "name", "value").agg(F.sum("size")).collect()
+    return A.load_named_choices(spark, path, "videos")
+
+
+#: Data sets whose annotations come in another form than video samples.
+FORMATS = {"streamingbench": _as_streamed_choices, "vidhalluc_ach_mcq": _as_named_choices}
+
+
+def annotated_questions(spark, sf, driver: Driver) -> DataFrame:
+    """The questions of a driver, from annotation files of its data set's format: qid, video_id, task, correct_choice and n_chars.
+
+    Documents stand for the annotations; they are written in that format, a video per ``PER_VIDEO`` questions, and loaded.
+    """
+    choices = F.array(*[F.lit(x) for x in _OPTIONS])
+    q = choice_questions(spark, sf).withColumns({"choices": choices, "video": F.concat("video_id", F.lit("/"), F.floor(F.col("qid") / PER_VIDEO).cast("string"))})
+    loaded = A.questions_of(FORMATS.get(driver.name, _as_samples)(spark, q))
+    return loaded.select(
+        F.col("question").cast("long").alias("qid"), F.substring_index("video_id", "/", 1).alias("video_id"), "task", X.text_to_letter(F.col("choices"), F.col("answer")).alias("correct_choice"), F.col("end_time").cast("long").alias("n_chars")
+    )
+
+
 def sql_rows(driver: Driver) -> str:
     """Answer rows of ``choice_questions`` in SQL."""
     return f"""a AS (SELECT doc_id AS qid, source AS video_id, {TASKS}[doc_id % 12 + 1] AS task, chr((65 + n_chars % 4)::INTEGER) AS correct_choice, n_chars, retrieve_size, chunk_size,
@@ -143,12 +194,14 @@ def _register(name: str, layered: bool, sql: Callable[[Driver], str] | None, bod
 
 
 def _choice(spark, sf, driver):
-    return evaluate_choice(answered(choice_questions(spark, sf), driver, solve_choice))
+    # means of floating point numbers depend on the order of rows in their last digits
+    found = evaluate_choice(answered(annotated_questions(spark, sf, driver), driver, solve_choice))
+    return found.withColumns({c: F.round(c, 9) for c in ("qa_acc", "error_rate", "latency", "fps")})
 
 
 def _choice_sql(driver):
-    return f"""WITH {sql_rows(driver)} SELECT '{driver.run}' AS run, retrieve_size, chunk_size, count(*) AS n, avg(CASE WHEN pred_choice = correct_choice THEN 100.0 ELSE 0.0 END::DOUBLE) AS qa_acc,
-  avg((pred_choice NOT IN ('A', 'B', 'C', 'D'))::INT::DOUBLE) AS error_rate, avg(response_time_s) AS latency, avg(processing_fps) AS fps FROM a GROUP BY ALL"""
+    return f"""WITH {sql_rows(driver)} SELECT '{driver.run}' AS run, retrieve_size, chunk_size, count(*) AS n, round(avg(CASE WHEN pred_choice = correct_choice THEN 100.0 ELSE 0.0 END::DOUBLE), 9) AS qa_acc,
+  round(avg((pred_choice NOT IN ('A', 'B', 'C', 'D'))::INT::DOUBLE), 9) AS error_rate, round(avg(response_time_s), 9) AS latency, round(avg(processing_fps), 9) AS fps FROM a GROUP BY ALL"""
 
 
 for _name, _layered in (("mlvu", True), ("qaego4d", True), ("cgbench", False), ("vidhalluc_ach_mcq", False)):
@@ -163,7 +216,7 @@ _PLACES = {"head": 0.0, "q25": 0.25, "mid": 0.5, "q75": 0.75, "tail": 1.0}
 
 def _shifted(spark, sf, driver):
     """Of 100 videos one question with a window each, its window moved to five places at its length; results by place."""
-    q = choice_questions(spark, sf)
+    q = annotated_questions(spark, sf, driver)
     one = F.row_number().over(W.partitionBy("video_id").orderBy(S.seeded_order(2025, "qid"), "qid"))
     picked = q.withColumn("r", one).where("r = 1 and n_chars > 0").orderBy(S.seeded_order(2025, "qid"), "qid").limit(100).drop("r")  # the driver takes 100 videos
     length = F.lit(30.5)
@@ -192,7 +245,7 @@ def _submission_sql(driver):
     return f"WITH {sql_rows(driver)} SELECT '{driver.run}' AS run, qid AS q_uid, CASE WHEN pred_choice = '?' THEN 0 ELSE ascii(pred_choice) - 65 END::INTEGER AS answer FROM a WHERE retrieve_size = 64"
 
 
-_register("egoschema", True, _submission_sql, lambda spark, sf, driver: submission(answered(choice_questions(spark, sf), driver, solve_choice)))
+_register("egoschema", True, _submission_sql, lambda spark, sf, driver: submission(answered(annotated_questions(spark, sf, driver), driver, solve_choice)))
 
 
 # open questions judged by a model: activitynet_qa, rvs_ego, rvs_movie
@@ -228,7 +281,7 @@ def _families(spark, sf, driver):
         rows = solve_choice(rows, driver)
         return rows.withColumn("pred_answer", F.when(F.col("task").isin(FORWARD), F.concat(F.lit("("), "pred_choice", F.lit(") "))).otherwise(F.concat("pred_choice", F.lit(". because"))))
 
-    return evaluate_families(answered(choice_questions(spark, sf), driver, solve)).select("run", "family", F.round("accuracy", 9).alias("accuracy"), "n_tasks", F.round("latency", 9).alias("latency"))
+    return evaluate_families(answered(annotated_questions(spark, sf, driver), driver, solve)).select("run", "family", F.round("accuracy", 9).alias("accuracy"), "n_tasks", F.round("latency", 9).alias("latency"))
 
 
 def _families_sql(driver):
@@ -243,7 +296,7 @@ _register("ovobench", True, _families_sql, _families)
 
 
 def _tasks(spark, sf, driver):
-    return evaluate_tasks(answered(choice_questions(spark, sf), driver, solve_choice)).withColumn("accuracy", F.round("accuracy", 9))
+    return evaluate_tasks(answered(annotated_questions(spark, sf, driver), driver, solve_choice)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 def _tasks_sql(driver):
@@ -260,7 +313,14 @@ _register("videomme", False, _tasks_sql, _tasks)
 
 
 def _binary(spark, sf, driver):
-    q = table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), F.when(F.col("quality") == 1, "Yes.").otherwise("no").alias("answer"))
+    # a folder of files of yes and no questions, each of a part of the labels
+    path, labels = new_folder(spark, "annotations"), table(spark, sf, "labels")
+    asked = F.array(F.struct(F.col("doc_id").cast("string").alias("question"), F.when(F.col("quality") == 1, "Yes.").otherwise("no").alias("answer")))
+    one = F.to_json(F.struct(F.concat(F.lit("part_"), F.col("doc_id").cast("string")).alias("id"), asked.alias("questions")))
+    name = F.concat(F.floor(F.col("doc_id") / (100 * PER_VIDEO)).cast("string"), F.lit("_questions.json"))
+    files = labels.where("doc_id is not null and quality is not null").groupBy(name.alias("name")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    write_named(files, path, "name", "value").agg(F.sum("size")).collect()
+    q = A.questions_of(A.load_judged_splits(spark, path, "videos")).select(F.col("question").cast("long").alias("qid"), "answer")
     forms = F.array(*[F.lit(x) for x in ("yes", "(Yes)", "No, it isn't", "F", "perhaps")])
     return evaluate_binary(answered(q, driver, lambda rows, d: rows.withColumn("pred_answer", F.get(forms, pick(d, 5).cast("int")))))
 
