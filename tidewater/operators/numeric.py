@@ -112,3 +112,16 @@ def merge_moment_states(states: DataFrame, key: str) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("n", "mean", "m2")))
     folded = states.groupBy(key).agg(F.aggregate(parts, start, join).alias("s"))
     return folded.select(key, F.col("s.n").alias("n"), F.col("s.mean").alias("mean"), F.try_divide(F.col("s.m2"), F.col("s.n") - 1).alias("var"))
+
+
+def row_losses(df: DataFrame, logits: str, labels: str, name: str = "loss") -> DataFrame:
+    """``df`` with ``name``: the mean of -log softmax(logits)[label] over the positions of a row whose label is not negative.
+
+    logits: an array per position, labels: an index per position (negative: masked). A row whose labels are
+    all masked, or without positions, has a null loss; a null array as well.
+    """
+    from tidewater.functions import vectors as V
+
+    each = F.zip_with(logits, labels, lambda x, y: F.when(y >= 0, -V.log_softmax_at(x, y)))
+    known = F.filter(each, lambda x: x.isNotNull())
+    return df.withColumn(name, F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)))

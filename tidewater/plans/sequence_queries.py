@@ -360,3 +360,14 @@ def spatial_pool(spark, sf):
     g = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
     g = g.withColumns({"x": F.col("i") % 8, "y": F.floor(F.col("i") / 8)})
     return N.pool_grid(g, ["vec_id"], "x", "y", "v", 4).withColumn("mean", F.round("mean", 6))
+
+
+@query("I33", """WITH t AS (SELECT vec_id, i, list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda x: x::DOUBLE) AS x, (vec_id * 5 + i * 3) % 9 - 1 AS y FROM embeddings, range(8) r(i)),
+l AS (SELECT vec_id, ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[y + 1] AS loss FROM t WHERE y >= 0)
+SELECT e.vec_id, round(avg(loss), 6) AS loss FROM embeddings e LEFT JOIN l ON e.vec_id = l.vec_id GROUP BY e.vec_id""")
+def row_losses(spark, sf):
+    """Each vector as logits of eight tokens over eight words; a ninth of the labels is masked."""
+    positions = F.sequence(F.lit(0), F.lit(7))
+    labels = F.transform(positions, lambda i: (F.pmod(F.col("vec_id") * 5 + i * 3, F.lit(9)) - 1).cast("int"))
+    e = table(spark, sf, "embeddings").select("vec_id", V.tokens(V.doubles(F.col("embedding")), 8).alias("logits"), labels.alias("labels"))
+    return N.row_losses(e, "logits", "labels").select("vec_id", F.round("loss", 6).alias("loss"))
