@@ -112,6 +112,13 @@ def require_complete(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.groupBy(key).agg(F.when(c == n, c).otherwise(F.raise_error(F.concat(F.lit("group of "), c.cast("string"), F.lit(" rows")))).alias("n"))
 
 
+def with_missing(df: DataFrame, key: str, place: str, n: int) -> DataFrame:
+    """(key, place, missing): the places of each group, each once, and marked as missing those from 0 to n - 1 that no row has."""
+    own = df.groupBy(key).agg(F.collect_set(place).alias("__own"))
+    every = own.select(key, "__own", F.explode(F.array_union("__own", F.sequence(F.lit(0), F.lit(n - 1)))).alias(place))
+    return every.select(key, place, (~F.array_contains("__own", F.col(place))).alias("missing"))
+
+
 def softmax_states(df: DataFrame, keys: list[str], score: Column, value: Column) -> DataFrame:
     """keys and a mergeable state (m, l, o): greatest score, sum of weights and of weighted values relative to it.
 
