@@ -27,3 +27,15 @@ def test_groups_that_the_end_of_the_table_cuts(spark, tmp_path):
     assert sorted(tuple(r) for r in M.with_missing(rows, "k", "p", 3).collect()) == [("a", 0, False), ("a", 1, True), ("a", 2, False), ("b", 0, True), ("b", 1, True), ("b", 2, True), ("b", 5, False)]
     with pytest.raises(Exception, match="group of 4 rows"):  # a member that no group has room for is still an error
         M.require_complete(M.with_missing(rows, "k", "p", 3), "k", 3).collect()
+
+
+def test_lines_of_many_offsets(spark, tmp_path):
+    """A regular expression with a repeated group needs stack for each entry."""
+    from tidewater.sources import files as S
+
+    rows = spark.range(40_000).select("id", F.lit("x").alias("t"))
+    S.write_jsonl_indexed(rows, f"{tmp_path}/lines", 1)
+    assert S.read_jsonl_indexed(spark, f"{tmp_path}/lines", "id long, t string").agg(F.count("id"), F.sum("id"), F.count("*")).first()[:] == (40_000, 799_980_000, 40_000)
+    lines = ["7", "[0, 2, 9]", "[0 2]", "[0,, 2]", "[0, 2,]", "[]", "[a]"]
+    df = spark.createDataFrame([(v, "f") for v in [*lines, "[ 0,2 ,\t4,6,8,10,12 ]"]], "value string, file string")
+    assert sorted(r.value for r in S.without_index_line(df).collect()) == sorted(lines)

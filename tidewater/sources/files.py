@@ -23,7 +23,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, skip_bad: bool =
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST").json(path)
 
 
-_OFFSETS = r"^\s*\[\s*\d+(\s*,\s*\d+)*\s*\]\s*$"
+#: An array of numbers: a line of these characters without what breaks the array. A repeated group would recurse once per entry and overflow the stack.
+_OFFSETS, _BROKEN = r"^\s*\[\s*\d[\d\s,]*\]\s*$", r"\d\s+\d|,\s*[,\]]"
 
 
 def without_index_line(lines: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def without_index_line(lines: DataFrame) -> DataFrame:
     Other lines that are arrays of numbers stay. Only files with such lines are counted.
     """
     entries = F.from_json("value", "array<long>")
-    marked = lines.withColumn("__n", F.when(F.col("value").rlike(_OFFSETS) & (F.get(entries, F.lit(0)) == 0), F.size(entries)))
+    marked = lines.withColumn("__n", F.when(F.col("value").rlike(_OFFSETS) & ~F.col("value").rlike(_BROKEN) & (F.get(entries, F.lit(0)) == 0), F.size(entries)))
     sizes = lines.groupBy("file").agg((F.count("*") - 1).alias("__others"))
     index = marked.where("__n IS NOT NULL").join(sizes, "file").where("__n = __others").select("file", F.col("value").alias("__index")).distinct()
     found = F.col("index_of") == F.col("file")
