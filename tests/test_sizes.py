@@ -39,3 +39,10 @@ def test_lines_of_many_offsets(spark, tmp_path):
     lines = ["7", "[0, 2, 9]", "[0 2]", "[0,, 2]", "[0, 2,]", "[]", "[a]"]
     df = spark.createDataFrame([(v, "f") for v in [*lines, "[ 0,2 ,\t4,6,8,10,12 ]"]], "value string, file string")
     assert sorted(r.value for r in S.without_index_line(df).collect()) == sorted(lines)
+
+
+def test_values_at_the_threshold(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), 1, float(20 + i)) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["stepwise_gate"](spark, str(tmp_path)).collect())
+    assert got == sorted(_sql("stepwise_gate", tmp_path, "events")) == [(i, True) for i in range(400)]
