@@ -46,3 +46,12 @@ def test_values_at_the_threshold(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(tuple(r) for r in entry.queries()["stepwise_gate"](spark, str(tmp_path)).collect())
     assert got == sorted(_sql("stepwise_gate", tmp_path, "events")) == [(i, True) for i in range(400)]
+
+
+def test_negative_zeros_of_sound(spark, tmp_path):
+    rows = [(1, [-2e-7] * 2 + [-0.0] * 2 + [0.0] * 2 + [1.0] * 58, 1), (2, [0.5] * 64, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("sound_chunks", "sound_slices"):
+        got = sorted(repr(tuple(r)) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(repr(tuple(r)) for r in _sql(name, tmp_path, "embeddings"))
+        assert name == "sound_slices" or "-0.0" in got[0]

@@ -13,10 +13,16 @@ from .sequences import joined_on
 def mixed_down(samples: Column, channels: int) -> Column:
     """The mean of the channels at each time; a frame that is cut off at the end counts with the channels it has."""
     x = samples.cast("array<double>")
-    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / F.size(part)
+    mean = lambda part: F.aggregate(part, F.lit(-0.0), lambda a, v: a + v) / F.size(part)
     return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / channels).cast("int") - 1), lambda i: mean(F.slice(x, i * channels + 1, channels)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded; unlike Spark's round, what is negative and too small stays a negative zero."""
+    near = F.round(x, digits)
+    return F.when((near == 0) & x.cast("string").startswith("-"), F.lit(-0.0)).otherwise(near)
+
+
 def mono(chunks: DataFrame, samples: str, channels: int) -> DataFrame:
     """``chunks`` with one channel; an empty or null chunk has no samples."""
     filled = F.size(F.coalesce(samples, F.array())) > 0

@@ -174,7 +174,9 @@ def _sound(spark, sf):
 
 @query("A18", f"WITH {_SOUND} SELECT label, vec_id, list_transform(x, lambda v: round(v, 6)) AS x FROM s")
 def sound_chunks(spark, sf):
-    return _sound(spark, sf).withColumn("x", F.transform("x", lambda v: F.round(v, 6)))
+    from tidewater.operators.audio import rounded
+
+    return _sound(spark, sf).withColumn("x", F.transform("x", lambda v: rounded(v, 6)))
 
 
 @query("A18", f"""WITH {_SOUND}, n AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 32 AS base, x FROM s), v AS (SELECT label, base + i AS i, x[i + 1] AS v FROM n, range(32) t(i)),
@@ -188,7 +190,7 @@ def sound_slices(spark, sf):
     spans = table(spark, sf, "embeddings").select("label", "vec_id", start.alias("start"), (start + 1 + F.pmod("vec_id", F.lit(7))).alias("end"))
     got = audio.sliced(_sound(spark, sf).withColumnRenamed("vec_id", "chunk"), ["label"], "chunk", "x", spans, 50.0, "vec_id")
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    return got.select("label", "vec_id", F.size("x").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("x", F.lit(0)), 6).alias("first"))
+    return got.select("label", "vec_id", F.size("x").cast("long").alias("n"), audio.rounded(total, 6).alias("total"), audio.rounded(F.get("x", F.lit(0)), 6).alias("first"))
 
 
 @query("L18 C7", """WITH r AS (SELECT doc_id, length(text) AS n FROM documents) SELECT doc_id, doc_id AS used, n AS result FROM r WHERE n % 5 <> 0""")
