@@ -55,3 +55,15 @@ def test_negative_zeros_of_sound(spark, tmp_path):
         got = sorted(repr(tuple(r)) for r in entry.queries()[name](spark, str(tmp_path)).collect())
         assert got == sorted(repr(tuple(r)) for r in _sql(name, tmp_path, "embeddings"))
         assert name == "sound_slices" or "-0.0" in got[0]
+
+
+def test_ranges_of_wide_rows(spark):
+    """Few rows of many bytes are ranked in ranges, too: 400 texts of 100 kB are no one task's."""
+    from tidewater.operators import sequences as S
+
+    wide = spark.range(400).select("id", F.repeat(F.lit("x"), 100_000).alias("text"), F.array(F.lit(1.0)).alias("v"))
+    assert S.ranged(wide, "id").select("__range").distinct().count() > 32
+    assert S.ranged(wide.select("id"), "id").select("__range").distinct().count() == 1
+    assert {r.id: r["rank"] for r in S.with_rank(wide, "id").select("id", "rank").collect()} == {i: i for i in range(400)}
+    named = wide.select(F.format_string("%03d", "id").alias("name"), "text")
+    assert {r.name: r["rank"] for r in S.with_rank(named, "name").select("name", "rank").collect()} == {f"{i:03d}": i for i in range(400)}

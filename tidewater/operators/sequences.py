@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def joined_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,12 +123,27 @@ def counts_until(points: DataFrame, events: DataFrame, keys: list[str], ident: l
     return both.withColumn("n", F.sum("__one").over(w)).where("__one = 0").select(*keys, *ident, "n")
 
 
+def _size(field: T.StructField) -> Column | int:
+    """Bytes of a column, about; a number for those of one width."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.coalesce(8 * F.size(F.col(f"`{field.name}`")), F.lit(0))
+    return 8
+
+
 def _cuts(df: DataFrame, order: str) -> list:
-    """Quantiles of ``order`` that cut the table in ranges of about ``RANGE_ROWS`` rows, 64 at least; none if all rows are no more than that."""
-    n = df.count()
-    if n <= RANGE_ROWS:
+    """Quantiles of ``order`` that cut the table in ranges of about ``RANGE_ROWS`` rows or ``RANGE_BYTES``, 64 at least; none if all rows are no more than both."""
+    sizes = [_size(f) for f in df.schema.fields]
+    wide = [s for s in sizes if isinstance(s, Column)]
+    if wide and not isinstance(df.schema[order].dataType, T.StringType):  # strings have no quantiles
+        n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0))).first()
+    else:
+        n, size = df.count(), 0
+    size += n * sum(s for s in sizes if isinstance(s, int)) if wide else 0
+    if n <= RANGE_ROWS and size <= RANGE_BYTES:
         return []
-    parts = max(64, min(MAX_RANGES, n // RANGE_ROWS))
+    parts = max(64, min(MAX_RANGES, max(n // RANGE_ROWS, size // RANGE_BYTES)))
     found = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first().c
     return sorted(set(found or []))
 
@@ -143,8 +159,8 @@ def ranged(df: DataFrame, order: str) -> DataFrame:
     return _split(df, order, _cuts(df, order))
 
 
-#: Rows that a task ranks, about, and most ranges.
-RANGE_ROWS, MAX_RANGES = 1_000_000, 512
+#: Rows and bytes that a task ranks, about, and most ranges.
+RANGE_ROWS, RANGE_BYTES, MAX_RANGES = 1_000_000, 32 << 20, 512
 
 
 def contiguous_parts(df: DataFrame, order: str, n: int) -> DataFrame:
