@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import duckdb
 import pytest
@@ -67,3 +68,12 @@ def test_ranges_of_wide_rows(spark):
     assert {r.id: r["rank"] for r in S.with_rank(wide, "id").select("id", "rank").collect()} == {i: i for i in range(400)}
     named = wide.select(F.format_string("%03d", "id").alias("name"), "text")
     assert {r.name: r["rank"] for r in S.with_rank(named, "name").select("name", "rank").collect()} == {f"{i:03d}": i for i in range(400)}
+
+
+def test_prefixes_meet_starts_of_texts(spark, tmp_path):
+    """What is shuffled of a text is as long as the prefixes that it is compared with."""
+    spark.createDataFrame([(1, "It is. It was."), (2, "It is. No."), (3, "It. is"), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["prefix_match_join"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(_sql("prefix_match_join", tmp_path, "documents"))
+    heads = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS __head" in line]
+    assert heads and not any(re.search(r"[\[ ]text#\d+[,\]]", line) for line in heads)

@@ -31,13 +31,14 @@ def prefix_match(left: DataFrame, right: DataFrame, text: str, prefix: str) -> D
 
     Both meet on as many first characters as the greatest power of two in the prefix's
     length, so a text has a key for each such power in use (at most the logarithm of the
-    longest prefix), and what meets agrees in half of the prefix or more.
+    longest prefix), and what meets agrees in half of the prefix or more. A text's start is
+    compared with prefixes of less than twice a key's characters, so it goes along cut to those.
     """
     cut = right.where(F.length(prefix) > 0).withColumn("__n", F.pow(F.lit(2), F.floor(F.log2(F.length(prefix)))).cast("int"))
     used = F.broadcast(cut.select("__n").distinct())  # at most 31 rows
     key = lambda c: F.xxhash64(F.expr(f"substring(`{c}`, 1, __n)"))
-    texts = left.join(used, F.length(text) >= F.col("__n")).withColumn("__h", key(text))
-    return texts.join(cut.withColumn("__h", key(prefix)), ["__n", "__h"]).where(F.col(text).startswith(F.col(prefix))).drop("__n", "__h")
+    texts = left.join(used, F.length(text) >= F.col("__n")).withColumns({"__h": key(text), "__head": F.expr(f"substring(`{text}`, 1, __n - 1 + __n)")})
+    return texts.join(cut.withColumn("__h", key(prefix)), ["__n", "__h"]).where(F.col("__head").startswith(F.col(prefix))).drop("__n", "__h", "__head")
 
 
 #: Shorter intervals are treated as of this length, 2 ** -20.
