@@ -77,3 +77,10 @@ def test_prefixes_meet_starts_of_texts(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted(_sql("prefix_match_join", tmp_path, "documents"))
     heads = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS __head" in line]
     assert heads and not any(re.search(r"[\[ ]text#\d+[,\]]", line) for line in heads)
+
+
+def test_long_lines_of_offsets_by_extension(spark, tmp_path):
+    from tidewater.sources import files as S
+
+    S.write_jsonl_indexed(spark.range(30_000).select("id", F.lit("x").alias("t")), f"{tmp_path}/a.jsonl", 1)
+    assert S.read_by_extension(spark, f"{tmp_path}/a.jsonl", "id long, t string").agg(F.count("*"), F.sum("id")).first()[:] == (30_000, 449_985_000)
