@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -134,8 +137,11 @@ def track_boxes(boxes: DataFrame, key: str, *, threshold: float = 0.7, least: in
         tracks: list[list[tuple]] = []
         live: list[list[tuple]] = []
         before = None
-        for frame, rows in pdf.sort_values(["frame", "x1", "y1"]).groupby("frame"):
-            new = [(int(frame), float(r.x1), float(r.y1), float(r.x2), float(r.y2)) for r in rows.itertuples()]
+        # null frames are in no group; plain lists, as a table per frame costs far more than its boxes
+        rows = pdf[pdf["frame"].notna()].sort_values(["frame", "x1", "y1"])
+        boxes = zip(rows["frame"].astype("int64").tolist(), *[rows[c].astype("float64").tolist() for c in ("x1", "y1", "x2", "y2")], strict=True)
+        for frame, own in groupby(boxes, key=itemgetter(0)):
+            new = list(own)
             old = live if before == frame - 1 else []
             taken: dict[int, tuple[float, tuple]] = {}
             opened = []
