@@ -67,9 +67,11 @@ def _multiply(n_keys: int, k: int, score: str, width: int, digits: int, names: l
         at = own.column("__at").to_numpy()
         until = asked.column("__until").to_numpy(zero_copy_only=False).astype(np.float64)
         for start in range(0, asked.num_rows, strip):
-            found = np.round(_products(q[start : start + strip], b, score, width), digits)
-            limit = until[start : start + strip, None]
-            found = np.where(np.isnan(limit) | (at[None, :] < np.nan_to_num(limit)), found, -np.inf)
+            found = _products(q[start : start + strip], b, score, width)
+            np.round(found, digits, out=found)  # in place: a strip is the largest thing that a task holds
+            limit = until[start : start + strip]
+            for i in np.flatnonzero(~np.isnan(limit)):
+                found[i, ~(at < limit[i])] = -np.inf
             row, col = _k_best(found, k)
             rows.append(row + start)
             cols.append(col)
