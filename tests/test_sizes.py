@@ -95,3 +95,20 @@ def test_tracks_make_no_table_per_frame(spark):
     assert sorted((r.video, r.track, r.frame) for r in J.track_boxes(boxes, "video").collect()) == [("v", 0, 0), ("v", 0, 1), ("v", 0, 2)]
     folded = [c for c in J.track_boxes.__code__.co_consts if hasattr(c, "co_names")]
     assert folded and not any("itertuples" in c.co_names for c in folded)
+
+
+def test_files_of_records_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """An array is one row of one task, so files must not grow with the table."""
+    from tidewater.sources import files as S
+
+    rows = spark.range(2_000).select("id", F.lit("é" * 40).alias("t"))
+    monkeypatch.setattr(S, "FILE_BYTES", 20_000)
+    S.write_json_arrays(rows, f"{tmp_path}/b.json", 2)
+    S.write_jsonl_indexed(rows, f"{tmp_path}/a.jsonl", 2)
+    for name in ("a.jsonl", "b.json"):
+        sizes = [f.stat().st_size for f in (tmp_path / name).glob("part-*")]
+        assert len(sizes) > 5 and max(sizes) < 40_000
+        assert S.read_by_extension(spark, f"{tmp_path}/{name}", "id long, t string").agg(F.count("*"), F.sum("id")).first()[:] == (2_000, 1_999_000)
+    monkeypatch.setattr(S, "FILE_BYTES", 1 << 20)
+    S.write_json_arrays(rows, f"{tmp_path}/c.json", 2)
+    assert len(list((tmp_path / "c.json").glob("part-*"))) == 2

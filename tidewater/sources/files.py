@@ -103,12 +103,19 @@ def existing_only(df: DataFrame, listing: DataFrame, column: str) -> DataFrame:
     return df.join(listing.select(column).distinct(), column, "left_semi")
 
 
+#: Bytes of lines that go to one file of records: an array is read as one row, and a task holds the offsets of a file.
+FILE_BYTES = 16 << 20
+
+
 def _in_files(df: DataFrame, files: int) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(files)
+    """Records as JSON, in ``files`` parts; in more if these would exceed ``FILE_BYTES``."""
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    size = lines.agg(F.sum(F.octet_length("value").cast("long") + 1)).first()[0] or 0
+    return lines.repartition(max(files, -(-size // FILE_BYTES)))
 
 
 def write_json_arrays(df: DataFrame, path: str, files: int = 1) -> None:
-    """Files that each hold one JSON array of records."""
+    """Files that each hold one JSON array of records, ``files`` of them or as many as ``FILE_BYTES`` asks for."""
 
     def framed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = "["
@@ -125,7 +132,7 @@ def write_json_arrays(df: DataFrame, path: str, files: int = 1) -> None:
 
 
 def write_jsonl_indexed(df: DataFrame, path: str, files: int = 1) -> None:
-    """JSONL files whose last line has the offset of each record, in characters."""
+    """JSONL files whose last line has the offset of each record, in characters; ``files`` of them or as many as ``FILE_BYTES`` asks for."""
 
     def with_offsets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, at = [], 0
