@@ -63,3 +63,35 @@ def test_clips_of_a_transcript_in_blocks(spark, sentences, most, block):
     key = lambda r: (r[0] or "", r[1])
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 15
     assert Sc.cut_clips(df.limit(0), "video").count() == 0
+
+
+@pytest.mark.parametrize("sentences, by, block", [(False, "end", None), (True, "start", None), (True, "start", 40), (False, "start", 40)])
+def test_clips_inside_rows(spark, sentences, by, block):
+    rng, rows, want = random.Random(3), [("none", None, None, None), ("empty", [], [], [])], []
+    for key, n in (("a", 300), (None, 90), ("b", 1), ("c", 40), ("d", 41)):
+        t, words = 0.0, []
+        for _ in range(n):
+            t += rng.choice([0.25, 0.5, 1.0, 1.0, 2.5, 4.0])
+            words.append((t, t + 0.25, rng.choice(["A", "b", "C.", "d?", "E", "", "Éa", "É", "x.\n"])))
+        rows.append((key, *map(list, zip(*words, strict=True))))
+        want += [(key, *c[:5]) for c in _plain_clips(words, 1.5, 9.0, 3.0, by, sentences)]
+    df = spark.createDataFrame(rows, "video string, start array<double>, end array<double>, word array<string>").coalesce(1)
+    cut = Sc.cut_transcripts(df, key="video", n=F.size("start"), least=1.5, most=9.0, gap=3.0, by=by, sentences=sentences, block=block)
+    assert cut.columns == ["video", "clip", "first", "n", "start", "end"]
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, cut.collect()), key=key) == sorted(want, key=key) and len(want) > 15
+
+
+@pytest.mark.parametrize("name", ["clip_cut", "clip_cut_sentences"])
+def test_words_of_clips_are_not_shuffled(spark, sf, name):
+    """A transcript is one row: its words as rows of their own took most of the time, and were cut twice if the cut was planned twice."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_words_before_keep_spaces(spark):
+    df = spark.createDataFrame([(" a  b é c ", n) for n in range(7)] + [(None, 1)], "text string, first long")
+    split = " a  b é c ".split(" ")
+    assert [r.p for r in df.select(Sc.words_before("text", "first").alias("p")).collect()] == [" ".join(split[:n]) for n in range(7)] + [None]

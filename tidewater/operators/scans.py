@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,29 +155,38 @@ _SENTENCE_END = (".", "?", "!")
 class _Clips:
     """A block of a transcript: rows from ``first`` on, times up to where a clip from its last row can reach."""
 
-    def __init__(self, first: int, total: int, times: list[float], starts: list[bool], most: float, gap: float) -> None:
+    def __init__(self, first: int, total: int, times: list[float] | np.ndarray, starts: list[bool] | np.ndarray, most: float, gap: float) -> None:
         self.first, self.end, self.total = first, first + len(starts), total
-        t = np.array(times)
+        t = np.asarray(times)
         n = len(starts)
         # the first row after each whose time is more than ``most`` later, or that comes after a gap, at the latest the last row
         over = np.searchsorted(t, t[:n] + most, side="right")
         gaps = np.append(np.flatnonzero(np.diff(t) > gap) + 1, len(t))
         nxt = np.minimum(np.maximum(over, np.arange(n) + 1), gaps[np.searchsorted(gaps, np.arange(n), side="right")])
         self.next = np.minimum(nxt, max(total - 1 - first, 0)).tolist()
-        at, self.start_at = None, [None] * n  # the first row from each on at which a clip may start
-        for i in range(n - 1, -1, -1):
-            at = i if starts[i] else at
-            self.start_at[i] = at
+        # the first row from each on at which a clip may start; n if there is none
+        able = np.append(np.flatnonzero(starts), n)
+        self.start_at = able[np.searchsorted(able, np.arange(n))].tolist()
 
     def step(self, p: int) -> tuple[int | None, int | None]:
         """(start of the clip that is cut from row p on, or None, and the row at which the next one is looked for)."""
         s = self.start_at[p - self.first]
-        if s is None:
+        if self.first + s == self.end:
             return None, self.end if self.end < self.total else None
         if self.first + s + 1 >= self.total:
             return None, None
         return self.first + s, self.first + self.next[s]
 
+    def whole(self, t: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """(first, n) of the clips of at least ``least``, if the block is all of a transcript and ``t`` its times."""
+        at, out = 0, []
+        while at is not None and at < self.end:
+            s, after = self.step(at)
+            if s is not None and t[after - 1] - t[s] >= least:
+                out.append((s, after - s))
+            at = after
+        return out
+
     def exit(self, p: int) -> int | None:
         while p is not None and p < self.end:
             p = self.step(p)[1]
@@ -223,12 +233,7 @@ def cut_clips(words: DataFrame, key: str, *, least: float = 30, most: float = 24
             t = np.maximum.accumulate(table.column(3).to_numpy())
             said = [None, *table.column(6).to_pylist()] if sentences else []
             starts = [not sentences or i == 0 or bool(said[i] and said[i].endswith(_SENTENCE_END) and said[i + 1] and said[i + 1].isupper()) for i in range(len(t))]
-            clips, at, out = _Clips(0, len(t), t, starts, most, gap), 0, []
-            while at is not None and at < len(t):
-                s, after = clips.step(at)
-                if s is not None and t[after - 1] - t[s] >= least:
-                    out.append((s, after - s))
-                at = after
+            out = _Clips(0, len(t), t, starts, most, gap).whole(t, least)
             first = np.array([s for s, _ in out], np.int64)
             n = np.array([m for _, m in out], np.int64)
             a, b = table.column(4).to_numpy()[first], table.column(5).to_numpy()[first + n - 1]
@@ -346,6 +351,57 @@ def _cut_blocks(words: DataFrame, key: str, *, least: float, most: float, gap: f
     return found
 
 
-def with_previous(clips: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``clips`` with ``previous``, the words of the transcript (``text``, words between spaces) before the clip."""
-    return clips.join(texts.select(key, text), key).withColumn("previous", F.array_join(F.slice(F.split(text, " "), F.lit(1), F.col("first").cast("int")), " ")).drop(text)
+def cut_transcripts(transcripts: DataFrame, *, key: str, n: Column, least: float = 30, most: float = 240, gap: float = 3, by: str = "end", sentences: bool = False, block: int | None = None) -> DataFrame:
+    """``cut_clips`` where each transcript is one row: its other columns with clip, first, n, start, end, a row per clip.
+
+    transcripts: key, arrays start, end and, with ``sentences``, word, in the order of the
+    words. Clips are cut inside the row, so no word is shuffled; rows of more than ``block``
+    words are cut block by block, and there the key must be unique. ``n`` is the number of words of
+    a row; 0 will do where it is at most ``block``.
+    """
+    block = block or BLOCK
+    arrays = ["start", "end", *(["word"] if sentences else [])]
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, t) for c, t in _CLIP])))
+    def cut(start: pa.Array, end: pa.Array, said: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(start), 0).to_numpy()
+        bounds = np.append(0, np.cumsum(lengths)).tolist()
+        a, b = (x.flatten().to_numpy(zero_copy_only=False) for x in (start, end))
+        times = a if by == "start" else b
+        able = np.full(len(a), not sentences)
+        if sentences:
+            words = said.flatten()
+            after = np.flatnonzero(pc.fill_null(pc.match_substring_regex(words, f"[{''.join(_SENTENCE_END)}]\\z"), False).to_numpy(zero_copy_only=False)) + 1
+            after = after[after < len(words)]
+            able[after] = [bool(w) and w.isupper() for w in words.take(pa.array(after)).to_pylist()]
+            able[[x for x in bounds[:-1] if x < len(a)]] = True
+        first, size, offsets = [], [], [0]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if high > low:
+                t = np.maximum.accumulate(times[low:high])
+                out = _Clips(0, high - low, t, able[low:high], most, gap).whole(t, least)
+                first += [low + s for s, _ in out]
+                size += [m for _, m in out]
+            offsets.append(len(first))
+        first, size, offsets = np.array(first, np.int64), np.array(size, np.int64), np.array(offsets, np.int32)
+        own = first - np.repeat(np.array(bounds[:-1], np.int64), np.diff(offsets))
+        clips = pa.StructArray.from_arrays([pa.array(own), pa.array(size), pa.array(a[first], pa.float64()), pa.array(b[first + size - 1], pa.float64())], names=[c for c, _ in _CLIP])
+        return pa.ListArray.from_arrays(pa.array(offsets), clips)
+
+    kept = [c for c in transcripts.columns if c not in ("start", "end", "word")]
+    long = F.coalesce(n > block, F.lit(False))
+    once = cut.asNondeterministic()  # else the filter on empty arrays that Spark puts below the explode cuts a second time
+    clips = once(*[F.col(c) for c in arrays], *([] if sentences else [F.lit(None).cast("array<string>")]))
+    found = transcripts.where(~long).select(*kept, clips.alias("__clips")).select(*kept, F.posexplode("__clips").alias("clip", "__c"))
+    found = found.select(*kept, F.col("clip").cast("long").alias("clip"), "__c.*")
+    large = transcripts.where(long)
+    if large.isEmpty():
+        return found
+    words = large.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "__w")).select(key, F.col("pos").cast("long").alias("pos"), "__w.*")
+    words = words if sentences else words.withColumn("word", F.lit(None).cast("string"))
+    return found.unionByName(joined_on(large.select(*kept), cut_clips(words, key, least=least, most=most, gap=gap, by=by, sentences=sentences, block=block), [key]))
+
+
+def words_before(text: str, first: str) -> Column:
+    """The words of ``text`` (words between single spaces) before its ``first``-th, which it must have: what stands left of that many spaces."""
+    return F.expr(f"substring_index({text}, ' ', cast({first} as int))")

@@ -159,23 +159,25 @@ def explode_words(spark, sf):
     return w.select("item_id", "pos", "word", F.round("word_start", 6).alias("word_start"), F.round("word_end", 6).alias("word_end"))
 
 
-def _transcripts(spark, sf):
-    """Words of the documents as transcripts with times from their lengths."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("video"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    at = F.pmod(F.col("pos") * 7 + F.col("video"), F.lit(5)) * 0.25 + F.col("pos") * 2.0
-    return d.withColumns({"start": at, "end": at + 0.5, "pos": F.col("pos").cast("long")})
+def _clips(spark, sf, **options):
+    """Clips of the documents as transcripts with times from the places of their words, and the words before each."""
+    words = F.split("text", " ")
+    start = F.transform(words, lambda w, i: F.pmod(i * 7 + F.col("video"), F.lit(5)) * 0.25 + i * 2.0)
+    d = table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("video"), "text", start.alias("start"), words.alias("word"))
+    d = d.withColumn("end", F.transform("start", lambda t: t + 0.5))
+    n = F.when(F.octet_length("text") < Sc.BLOCK, 0).otherwise(F.size(words))
+    clips = Sc.cut_transcripts(d, key="video", n=n, **options)
+    return clips.select("video", "clip", "first", "n", "start", "end", Sc.words_before("text", "first").alias("previous"))
 
 
 @query("J4 Q6")
 def clip_cut(spark, sf):
-    clips = Sc.cut_clips(_transcripts(spark, sf), "video", least=30, most=240, gap=2.6)
-    return Sc.with_previous(clips, table(spark, sf, "documents").withColumnRenamed("doc_id", "video"), "video", "text")
+    return _clips(spark, sf, least=30, most=240, gap=2.6)
 
 
 @query("J5")
 def clip_cut_sentences(spark, sf):
-    clips = Sc.cut_clips(_transcripts(spark, sf), "video", least=10, most=240, gap=3.2, by="start", sentences=True)
-    return Sc.with_previous(clips, table(spark, sf, "documents").withColumnRenamed("doc_id", "video"), "video", "text")
+    return _clips(spark, sf, least=10, most=240, gap=3.2, by="start", sentences=True)
 
 
 @query("J4 L12", f"WITH {FRAMES}, g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 36000 THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n, min(t) AS start, max(t) AS \"end\" FROM s GROUP BY ALL")
