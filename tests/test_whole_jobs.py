@@ -33,6 +33,19 @@ def test_votes_of_whole_blocks(spark, sf):
     assert {(r.vec_id,) for r in entry.queries()["recent_union_topk"](spark, sf).collect()} == set(want.fetchall())
 
 
+def test_votes_of_layers_meet(spark, tmp_path):
+    # block i has its one key in layers 0 to i, so layer l ranks the blocks from l on, and equal scores go by id
+    rows = [(i, [1.0 if layer <= i and k == 0 else 0.0 for layer in range(8) for k in range(8)], i % 3) for i in range(1, 9)]
+    _write(spark, tmp_path, embeddings=([(0, [1.0] * 64, 0), *rows], "vec_id long, embedding array<float>, label int"))
+    want = {}
+    for layer in range(2, 8):
+        order = sorted(range(9), key=lambda i: (-8.0 if i == 0 else -1.0 if layer <= i else 0.0, i))
+        for i in order[:5]:
+            want[i] = want.get(i, 0.0) + 1.0 + layer % 2
+    got = {r.vec_id: r.votes for r in entry.queries()["layer_vote_all_blocks"](spark, str(tmp_path)).collect()}
+    assert got == want and want[0] == 9.0
+
+
 def _write(spark, path, **tables):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
